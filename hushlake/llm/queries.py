@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, packing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op8_packing": packing.op8_packing,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,

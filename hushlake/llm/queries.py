@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing
+from . import line_dedup, packing, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op8_packing": packing.op8_packing,
 }
 ORACLES = {

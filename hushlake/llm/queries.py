@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, toxicity
+from . import language_id, line_dedup, packing, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_language_id": language_id.op3_language_id,
     "op8_packing": packing.op8_packing,
 }
 ORACLES = {

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, packing, toxicity
+from . import html_text, language_id, line_dedup, packing, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_language_id": language_id.op3_language_id,
     "op8_packing": packing.op8_packing,
+    "op9_html_text": html_text.op9_html_text,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import html_text, language_id, line_dedup, packing, toxicity
+from . import ann, html_text, language_id, line_dedup, packing, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_language_id": language_id.op3_language_id,
+    "op5_ann": ann.op5_ann,
+    "op7_topk": topk.op7_topk,
     "op8_packing": packing.op8_packing,
     "op9_html_text": html_text.op9_html_text,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
+    "op7_topk": topk.ORACLE_SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, html_text, language_id, line_dedup, packing, topk, toxicity
+from . import ann, html_text, language_id, line_dedup, packing, pieces, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_topk": topk.op7_topk,
     "op8_packing": packing.op8_packing,
     "op9_html_text": html_text.op9_html_text,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,

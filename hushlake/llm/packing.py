@@ -14,23 +14,34 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, texts, written
 
-_TWO_SPACES = re.compile(r"\s\s")
+#: White space other than space and line feed: texts that hold it take the general way.
+_RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A single space between two characters that aren't white space always begins a pre-token.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LONG = 64
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies spell bytes: printable Latin-1 as itself, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class ChunkEncoder:
-    """Token ids of whole texts as little-endian bytes. A text falls into chunks at single inner spaces, where the
-    byte-level pre-tokenizer always cuts, so chunks that come again are looked up instead of encoded again."""
+    """Token ids of whole texts as little-endian bytes. A text falls into chunks at single inner spaces and line feeds,
+    where the byte-level pre-tokenizer always cuts, so chunks that come again are looked up, not encoded again."""
 
-    LIMIT = 300_000
+    LIMIT = 400_000
     _made: dict[str, ChunkEncoder] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tok, self.seen = Tokenizer.from_file(path), {}
+        self.tok, self.letters = Tokenizer.from_file(path), _byte_letters()
+        self.model = self.tok.model
+        self.seen: dict[str, bytes] = {}  # chunks behind a space, without it; those without a space before begin with one
+        self.line = self._ids(["\n"])[0]
 
     @classmethod
     def at(cls, path: str) -> ChunkEncoder:
@@ -46,22 +57,44 @@ class ChunkEncoder:
             return b""
         if "<|" in text:  # a special token may stand here and span chunks
             return self._ids([text])[0]
-        plain = text[0] != " " and text[-1] != " " and not _TWO_SPACES.search(text)
-        first, *rest = text.split(" ") if plain else _CUT.split(text)
-        seen = self.seen
-        try:
-            return b"".join([seen["^" + first], *[seen[x] for x in rest]])
-        except KeyError:
-            if len(seen) > self.LIMIT:
-                seen.clear()
-            new = [x for x in dict.fromkeys(rest) if x not in seen]
-            keys, chunks = ["^" + first, *new], [first, *[" " + x for x in new]]
-            got = dict(zip(keys, self._ids(chunks), strict=True))
-            seen |= {k: v for k, v in got.items() if len(k) <= _LONG}
-            return b"".join([got["^" + first], *[got[x] if x in got else seen[x] for x in rest]])
+        odd = "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n"
+        if odd or _RARE_SPACE.search(text):
+            chunks = _CUT.split(text)
+            chunks[0] = " " + chunks[0]
+            return b"".join(self._looked_up(chunks))
+        if "\n" in text:
+            return self.line.join([b"".join(self._looked_up((" " + x).split(" ")[1:], True)) for x in text.split("\n")])
+        return b"".join(self._looked_up(text.split(" "), True))
+
+    def _looked_up(self, chunks: list[str], mark: bool = False) -> list[bytes]:
+        if mark:
+            chunks[0] = " " + chunks[0]
+        got = list(map(self.seen.get, chunks))
+        if None in got:
+            new = {chunks[i]: b"" for i, x in enumerate(got) if x is None}
+            hard = [c for c in new if not self._easy(c, new)]
+            new.update(zip(hard, self._ids([c[1:] if c[0] == " " else " " + c for c in hard]), strict=True))
+            got = [new[c] if x is None else x for c, x in zip(chunks, got, strict=True)]
+            if len(self.seen) > self.LIMIT:
+                self.seen.clear()
+            self.seen.update((k, v) for k, v in new.items() if len(k) <= _LONG)
+        return got
+
+    def _easy(self, chunk: str, out: dict[str, bytes]) -> bool:
+        """Letters, perhaps with closing marks: one or two pre-tokens, which go to the merges directly."""
+        bare = chunk[1:] if chunk[0:1] == " " else chunk
+        word = bare.rstrip(".,;:!?$&%#*")
+        if not word.isalpha():
+            return False
+        lead = "" if chunk[0] == " " else self.letters[32]
+        ids = [t.id for t in self.model.tokenize(lead + word.encode().decode("latin-1").translate(self.letters))]
+        if len(word) < len(bare):
+            ids += [t.id for t in self.model.tokenize(bare[len(word) :])]
+        out[chunk] = np.array(ids, "<u4").tobytes()
+        return True
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(chunks, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(chunks, add_special_tokens=False)] if chunks else []
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id: int, with_ids: bool = False) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, html_text, language_id, line_dedup, packing, pieces, topk, toxicity
+from . import ann, html_text, language_id, line_dedup, packing, pieces, substring_dedup, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_language_id": language_id.op3_language_id,
     "op5_ann": ann.op5_ann,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_topk": topk.op7_topk,
     "op8_packing": packing.op8_packing,
     "op9_html_text": html_text.op9_html_text,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
+    "op6_substring_dedup": substring_dedup.ORACLE_SQL,
     "op7_topk": topk.ORACLE_SQL,
 }

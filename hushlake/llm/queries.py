@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, html_text, language_id, line_dedup, packing, pieces, substring_dedup, topk, toxicity
+from . import ann, html_text, jaccard_join, language_id, line_dedup, packing, pieces, substring_dedup, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_language_id": language_id.op3_language_id,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_ann": ann.op5_ann,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_topk": topk.op7_topk,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
+    "op4_jaccard_join": jaccard_join.ORACLE_SQL,
     "op6_substring_dedup": substring_dedup.ORACLE_SQL,
     "op7_topk": topk.ORACLE_SQL,
 }

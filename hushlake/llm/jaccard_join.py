@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHash, grams, mix, small_batches, texts, written
@@ -22,7 +22,6 @@ GROUPS = 64
 LEAF = 32
 #: Members of a bucket that one tree holds; larger buckets are joined chunk by chunk.
 CHUNK = 1024
-BLOCK = "key long, doc long, label long, n int, vec binary, lead boolean"
 
 
 class Rule:
@@ -117,8 +116,8 @@ def _stars(keyed: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "key long, doc long, lead long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose sets link. Only documents in a pair are read into sets."""
+def _sets(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """(doc_id, s): the sets of the documents in pairs; only their texts are read into sets."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -126,7 +125,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([rule.shingles(t, hashes).tobytes() for t in texts(b)], pa.binary())], names=["doc_id", "s"])
 
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    own = written(docs.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary"))
+    return written(docs.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary"))
+
+
+def _verified(pairs: DataFrame, own: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
     left, right = own.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), own.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,27 +175,25 @@ class RTree:
         return (np.concatenate(out_q), np.concatenate(out_p)) if out_q else (np.zeros(0, np.int64),) * 2
 
 
-def _block_pairs(members: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): pairs of members of a bucket that may link and have different labels; pairs with the bucket's lead were
-    verified before. Buckets over CHUNK members are joined chunk with chunk, each pair of chunks in its own group."""
-    w = Window.partitionBy("key").orderBy("doc")
-    placed = members.withColumn("c", ((F.row_number().over(w) - 1) / CHUNK).cast("int"))
-    chunks = placed.groupBy("key").agg((F.max("c") + 1).alias("cs"))
-    paired = placed.join(chunks, "key").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)))
-    paired = paired.select("*", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"))
+def _block_pairs(members: DataFrame, points: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): pairs of members (key, doc, label) of a bucket that may link and have different labels. Buckets over CHUNK
+    members fall into chunks by a hash, and each pair of chunks is a group of its own; vectors join last."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("cs"))
+    placed = members.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64("doc"), F.col("cs")).cast("int"))
+    paired = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)))
+    paired = paired.select("key", "doc", "label", "c", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2")).join(points, "doc")
 
     def match(t: pa.Table) -> pa.Table:
         doc, label, n, c = (t.column(x).to_numpy() for x in ("doc", "label", "n", "c"))
-        lead = t.column("lead").to_numpy()
         vec = np.frombuffer(b"".join(t.column("vec").to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
         n = n.astype(np.int64)
-        left = np.nonzero(c == c.min())[0]
-        right = np.nonzero(c == c.max())[0]
+        left, right = np.nonzero(c == t.column("c1")[0].as_py())[0], np.nonzero(c == t.column("c2")[0].as_py())[0]
+        if not len(left) or not len(right):
+            return pa.table({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         q, p = RTree(n[right], vec[right]).search(n[left], vec[left], rule)
         q, p = left[q], right[p]
-        ok = (doc[q] != doc[p]) & (label[q] != label[p]) & ~lead[q] & ~lead[p]
-        a, b = np.minimum(doc[q[ok]], doc[p[ok]]), np.maximum(doc[q[ok]], doc[p[ok]])
-        ab = np.unique(np.stack([a, b], 1), axis=0)
+        ok = (doc[q] != doc[p]) & (label[q] != label[p])
+        ab = np.unique(np.stack([np.minimum(doc[q[ok]], doc[p[ok]]), np.maximum(doc[q[ok]], doc[p[ok]])], 1), axis=0)
         return pa.table({"a": ab[:, 0], "b": ab[:, 1]})
 
     return paired.groupBy("key", "c1", "c2").applyInArrow(match, "a long, b long").distinct()
@@ -219,20 +220,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     reps = real.join(classes.withColumnRenamed("rep", "doc_id"), ["c1", "c2", "n", "doc_id"], "left_semi")
     keyed = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
     stars = written(_stars(keyed))
-    first = written(_verified(stars.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), docs, rule))
+    pairs = written(stars.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct())
+    own = _sets(pairs, docs, rule)
+    first = written(_verified(pairs, own, rule))
     roots = components(first)
 
     def labelled(df: DataFrame, name: str, out: str) -> DataFrame:
         r = roots.select(F.col("node").alias(name), F.col("root").alias("__r"))
         return df.join(r, name, "left").withColumn(out, F.coalesce("__r", name)).drop("__r")
 
-    # what the stars leave open: buckets with members in several components
-    seen = written(labelled(labelled(stars, "doc", "ld"), "lead", "ll"))
-    open_ = seen.filter("ld <> ll").select("key").distinct()
-    left = seen.join(open_, "key", "left_semi")
-    members = left.select("key", "doc", F.col("ld").alias("label"), F.lit(False).alias("lead")).unionByName(left.select("key", F.col("lead").alias("doc"), F.col("ll").alias("label"), F.lit(True).alias("lead")).distinct())
+    # What the stars leave open: pairs of members other than the lead, of different components; these are all among
+    # the documents whose sets are there already.
+    seen = written(labelled(stars.select("key", "doc"), "doc", "label"))
+    open_ = seen.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
     points = reps.groupBy(F.col("doc_id").alias("doc")).agg(F.max(F.struct("n", "vec")).alias("p")).select("doc", "p.n", "p.vec")
-    second = written(_verified(written(_block_pairs(members.join(points, "doc"), rule)), docs, rule))
+    maybe = written(_block_pairs(seen.join(open_, "key", "left_semi"), points, rule))
+    second = written(_verified(maybe, own, rule))
     over = labelled(labelled(second, "a", "la"), "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     up = components(over).select(F.col("node").alias("r1"), F.col("root").alias("r2"))
     final = labelled(mapped, "rep", "r1").join(up, "r1", "left").withColumn("root", F.coalesce("r2", "r1", "doc_id"))

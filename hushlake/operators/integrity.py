@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
+import re
+import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +27,21 @@ def duplicates(df: DataFrame, normalised: bool = False, key: str = "doc_id") ->
 
 
 def simhash(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, simhash): for each of 64 bits the sign of a sum over 3-word shingles of the first 8 bytes of SHA-256. The
-    64 sums are one vector aggregate, partial on the map side."""
-    w = F.split(integrity_text(F.col(text)), " ")
-    n = F.greatest(F.size(w) - 2, F.lit(1))
-    shingles = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(w, i, 3), " "))
-    rows = df.select(key, F.explode(shingles).alias("s")).select(key, F.substring(F.sha2("s", 256), 1, 16).alias("h"))
-    # 16 hex digits as two halves: each half fits a signed long
-    hi, lo = F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.conv(F.substring("h", 9, 8), 16, 10).cast("long")
-    rows = rows.select(key, hi.alias("hi"), lo.alias("lo"))
-    bit = lambda c, i: F.shiftright(c, i).bitwiseAND(F.lit(1))
-    sums = [F.sum(bit(F.col("hi"), i) * 2 - 1).alias(f"b{i + 32}") for i in range(32)] + [F.sum(bit(F.col("lo"), i) * 2 - 1).alias(f"b{i}") for i in range(32)]
-    g = rows.groupBy(key).agg(*sums)
-    value = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(f"b{i}") >= 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(64)])
-    return g.select(key, value.alias("simhash"))
+    """(key, simhash): for each of 64 bits the sign of a sum over 3-word shingles of the first 8 bytes of SHA-256. One
+    narrow Arrow stage: as 64 aggregates the plan took minutes to compile, and shingles would have been shuffled."""
+
+    def bits(t: str | None) -> int:
+        words = re.findall(r"\w+", unicodedata.normalize("NFKC", t or "").casefold())
+        shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+        raw = b"".join(hashlib.sha256(s.encode("utf-8", "replace")).digest()[:8] for s in shingles)
+        ones = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        return int(np.packbits(2 * ones >= len(shingles)).view(">i8")[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bits(t) for t in b.column(1).to_pylist()], pa.int64())], names=[key, "simhash"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, simhash long")
 
 
 def near_pairs(df: DataFrame, split: str, key: str = "doc_id", distance: int = 2, ratio: float | None = 0.85) -> DataFrame:

@@ -18,7 +18,7 @@ BAND = 1.5
 #: Groups beyond those that a linked pair can differ in; a set with more empty groups offers these as well.
 SPARE = 2
 #: Dimensions of the count vectors.
-GROUPS = 64
+GROUPS = 256
 LEAF = 32
 #: Members of a bucket that one tree holds; larger buckets are joined chunk by chunk.
 CHUNK = 1024
@@ -147,6 +147,21 @@ def _verified(pairs: DataFrame, own: DataFrame, rule: Rule) -> DataFrame:
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
+def _bounded(pairs: DataFrame, points: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) that the summed coordinate minima of their count vectors allow to link: vectors are far smaller
+    than sets, so most chance meetings end here."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            va, vb = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").reshape(-1, GROUPS) for i in (2, 3))
+            va, vb = va.astype(np.int64), vb.astype(np.int64)
+            good = rule.enough(np.minimum(va, vb).sum(1), va.sum(1) + vb.sum(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    left, right = (points.select(F.col("doc").alias(x), F.col("vec").alias(f"v{x}")) for x in "ab")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "va", "vb").mapInArrow(check, "a long, b long")
+
+
 class RTree:
     """Count vectors in leaves, packed by size and then by their fullest groups; a leaf keeps the maxima of its points."""
 
@@ -220,7 +235,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     reps = real.join(classes.withColumnRenamed("rep", "doc_id"), ["c1", "c2", "n", "doc_id"], "left_semi")
     keyed = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
     stars = written(_stars(keyed))
-    pairs = written(stars.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct())
+    points = written(reps.groupBy(F.col("doc_id").alias("doc")).agg(F.max(F.struct("n", "vec")).alias("p")).select("doc", "p.n", "p.vec"))
+    pairs = written(_bounded(stars.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), points, rule))
     own = _sets(pairs, docs, rule)
     first = written(_verified(pairs, own, rule))
     roots = components(first)
@@ -229,13 +245,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         r = roots.select(F.col("node").alias(name), F.col("root").alias("__r"))
         return df.join(r, name, "left").withColumn(out, F.coalesce("__r", name)).drop("__r")
 
-    # What the stars leave open: pairs of members other than the lead, of different components; these are all among
-    # the documents whose sets are there already.
+    # What the stars leave open: pairs of members other than the lead, of different components.
     seen = written(labelled(stars.select("key", "doc"), "doc", "label"))
     open_ = seen.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    points = reps.groupBy(F.col("doc_id").alias("doc")).agg(F.max(F.struct("n", "vec")).alias("p")).select("doc", "p.n", "p.vec")
     maybe = written(_block_pairs(seen.join(open_, "key", "left_semi"), points, rule))
-    second = written(_verified(maybe, own, rule))
+    second = written(_verified(maybe, _sets(maybe, docs, rule), rule))
     over = labelled(labelled(second, "a", "la"), "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     up = components(over).select(F.col("node").alias("r1"), F.col("root").alias("r2"))
     final = labelled(mapped, "rep", "r1").join(up, "r1", "left").withColumn("root", F.coalesce("r2", "r1", "doc_id"))

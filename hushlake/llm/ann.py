@@ -1,4 +1,5 @@
-"""Approximate nearest neighbours: product quantisation with a score-aware loss, four-bit table scans, exact reranking."""
+"""Nearest neighbours: product quantisation with a score-aware loss, four-bit table scans, exact reranking of every row that
+the codes leave open."""
 
 from __future__ import annotations
 
@@ -16,9 +17,11 @@ from .vectors import best, dimension, distinct_rows, matrix, merged, query_block
 TRAIN_ROWS = 8000
 #: Weight of the residual along the vector against that across it: the former changes the largest inner products most.
 PARALLEL = 4.0
-#: Candidates of each scanned batch that are scored exactly.
+#: Candidates of each scanned batch that give a query its kth score; all rows that may reach it are scored then.
 RERANK = 48
 CODES = 16
+#: Pairs of query and row whose vectors are gathered at a time.
+PAIRS = 1 << 16
 
 
 def _split(dim: int) -> list[slice]:
@@ -79,13 +82,33 @@ def _tables(q: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
     return np.stack([(a[:, :, None] + b[:, None]).reshape(len(q), 256) for a, b in zip(t[::2], t[1::2], strict=True)], 1).astype(np.float32)
 
 
+def _residual(x: np.ndarray, codes: np.ndarray, books: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """What the codes miss of unit x: (component along x, length of the rest)."""
+    r = x.copy()
+    for s, p in enumerate(_split(x.shape[1])):
+        r[:, p] -= books[s][codes[:, s]]
+    along = (r * x).sum(1)
+    return along, np.sqrt(((r - along[:, None] * x) ** 2).sum(1))
+
+
+def _least(kth: np.ndarray, along: np.ndarray, across: np.ndarray, places: int) -> np.ndarray:
+    """(query, row): the smallest coded score that a row may have whose cosine s is at least kth. The residual's part of s
+    is at most along s + across sqrt(1 - s^2), so the coded score is at least (1 - along) s - across sqrt(1 - s^2), which
+    falls up to s = low and rises from there. The last term covers the rounding of float32 tables and sums."""
+    keep = 1 - along
+    size = np.sqrt(keep**2 + across**2)
+    low = -keep / np.where(size > 0, size, 1)
+    s = np.minimum(np.maximum(kth[:, None], low[None]), 1)
+    return keep * s - across * np.sqrt(1 - s * s) - (places + 4) * 2.0**-22 * (2 + np.abs(along) + across)
+
+
 def _unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = np.sqrt((m * m).sum(1))
     return m / np.where(n > 0, n, 1)[:, None], n
 
 
 def build_index(rows: DataFrame, sample_rows: int = TRAIN_ROWS) -> tuple[DataFrame, list[np.ndarray], int]:
-    """(table of vec_id, embedding and codes of every usable row, code books, dimension)."""
+    """(table of vec_id, codes, embedding and residual of every usable row, code books, dimension)."""
     dim = dimension(rows)
     ids = rows.filter("embedding IS NOT NULL").select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows)
     sample = _unit(table_matrix(ids, dim)[1])
@@ -97,51 +120,86 @@ def build_index(rows: DataFrame, sample_rows: int = TRAIN_ROWS) -> tuple[DataFra
             ids, m = matrix(b.column(0), b.column(1), dim)
             x, norm = _unit(m)
             ids, m, x = ids[norm > 0], m[norm > 0], x[norm > 0]
-            codes = np.concatenate([_packed(_assign(x[i : i + 4096], sent.value)[0]) for i in range(0, len(x), 4096)]) if len(x) else []
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(list(m), pa.list_(pa.float64()))], names=["vec_id", "codes", "embedding"])
+            codes = np.concatenate([_assign(x[i : i + 4096], sent.value)[0] for i in range(0, len(x), 4096)]) if len(x) else np.zeros((0, len(sent.value)), np.uint8)
+            along, across = _residual(x, codes, sent.value)
+            columns = [pa.array(ids), pa.array([c.tobytes() for c in _packed(codes)], pa.binary()), pa.array(list(m), pa.list_(pa.float64())), pa.array(along), pa.array(across)]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "codes", "embedding", "along", "across"])
 
-    table = written(rows.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(encode, "vec_id long, codes binary, embedding array<double>"))
+    table = written(rows.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(encode, "vec_id long, codes binary, embedding array<double>, along double, across double"))
     return table, books, dim
 
 
-def _scan(qid: np.ndarray, q: np.ndarray, tables: np.ndarray, b: pa.RecordBatch, k: int, dim: int, rerank: int) -> tuple[np.ndarray, ...]:
-    """(query number, vec_id, cosine) of one batch's best."""
+def _exact(q: np.ndarray, m: np.ndarray, norm: np.ndarray, qn: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Cosines of pairs; each is computed alike wherever it stands, so equal vectors score alike in all batches."""
+    out = np.zeros(len(qn))
+    for i in range(0, len(qn), PAIRS):
+        own, at = q[qn[i : i + PAIRS]], v[i : i + PAIRS]
+        out[i : i + PAIRS] = (own * m[at]).sum(1) / (np.sqrt((own * own).sum(1)) * norm[at])
+    return out
+
+
+def _scan(qid: np.ndarray, q: np.ndarray, tables: np.ndarray, b: pa.RecordBatch, k: int, dim: int, rerank: int, floor: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(query number, vec_id, cosine) of one batch's best: all that are among the k best here and not under floor."""
     ids, m = matrix(b.column(0), b.column(2), dim)
     if not len(ids):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     codes = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(ids), -1)
+    along, across = (b.column(i).to_numpy() for i in (3, 4))
     first, owner, kept = distinct_rows(ids, m, k + 1)
-    codes, m = np.ascontiguousarray(codes[first].T), m[first]
-    norm = np.sqrt((m * m).sum(1))
+    codes, m, along, across = np.ascontiguousarray(codes[first].T), m[first], along[first], across[first]
+    x, norm = _unit(m)
     begin = np.searchsorted(owner, np.arange(len(first) + 1))
-    out = []
+
+    def found(qn: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
+        exact = _exact(q, m, norm, qn, v)
+        ok = exact >= kth[qn]
+        qn, v, exact = qn[ok], v[ok], exact[ok]
+        n = begin[v + 1] - begin[v]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[v], n)
+        qn, exact, vec = np.repeat(qn, n), np.repeat(exact, n), kept[place]
+        other = vec != qid[qn]
+        return qn[other], vec[other], exact[other]
+
+    out, kth = [], floor.copy()
     for lo in range(0, len(q), 256):
         t = tables[lo : lo + 256]
         score = np.zeros((len(t), len(first)), np.float32)
         for place, c in enumerate(codes):
             score += t[:, place, c]
-        r = min(len(first), rerank)
+        r = min(len(first), max(rerank, k + 1))
         top = np.argpartition(score, len(first) - r, axis=1)[:, len(first) - r :]
-        qn = np.repeat(np.arange(lo, lo + len(t)), r)
-        v = top.ravel()
-        own = q[qn]
-        exact = (own * m[v]).sum(1) / (np.sqrt((own * own).sum(1)) * norm[v])
-        n = begin[v + 1] - begin[v]
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[v], n)
-        qn, exact, vec = np.repeat(qn, n), np.repeat(exact, n), kept[place]
-        other = vec != qid[qn]
-        qn, exact, vec = qn[other], exact[other], vec[other]
-        b5 = best(qn, exact, vec, k)
-        out.append((qn[b5], vec[b5], exact[b5]))
+        got = found(np.repeat(np.arange(lo, lo + len(t)), r), top.ravel())
+        kth[lo : lo + len(t)] = _kth(*got, k, kth)[lo : lo + len(t)]
+        own = kth[lo : lo + len(t)]
+        open_ = score >= _least(own, along, across, len(codes))
+        np.put_along_axis(open_, top, False, 1)
+        at = np.flatnonzero(open_.any(0))
+        near = _unit(q[lo : lo + len(t)])[0] @ x[at].T >= own[:, None] - 1e-9  # up to rounding; found() decides
+        qn, v = np.nonzero(near & open_[:, at])
+        got = tuple(np.concatenate(c) for c in zip(got, found(qn + lo, at[v]), strict=True))
+        b5 = best(got[0], got[2], got[1], k)
+        out.append(tuple(c[b5] for c in got))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+def _kth(qn: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int, floor: np.ndarray) -> np.ndarray:
+    """Each query's kth score where k rows are found, and floor if that is higher or they are not."""
+    keep = best(qn, score, vec, k)
+    n = np.bincount(qn[keep], minlength=len(floor))
+    full = n >= k
+    out = floor.copy()
+    out[full] = np.maximum(out[full], score[keep][np.cumsum(n)[full] - 1])
+    return out
+
+
 def search(rows: DataFrame, every: int = 50, k: int = 5, rerank: int = RERANK, sample_rows: int = TRAIN_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by every, the k nearest other rows by cosine.
 
     Null, zero, null- or non-finite-holding vectors, those of an uncommon length, and rows without vec_id take no part.
     Equal vectors tie and go by vec_id; rows repeated outright count once. Queries are scanned in blocks of bounded
-    size against the codes of all rows; scores are exact. An empty table gives an empty table.
+    size against the codes of all rows; every row is scored exactly unless its code and residual show that it can't reach
+    the kth score, so none of the k nearest is missed. rerank only says how many rows of a batch give the first kth
+    score. An empty table gives an empty table.
     """
     spark = rows.sparkSession
     table, books, dim = build_index(rows, sample_rows)
@@ -156,12 +214,13 @@ def search(rows: DataFrame, every: int = 50, k: int = 5, rerank: int = RERANK, s
             tables = _tables(_unit(q)[0], books)
             got = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
             for b in batches:
-                got = tuple(np.concatenate(c) for c in zip(got, _scan(qid, q, tables, b, k, dim, rerank), strict=True))
+                floor = _kth(*got, k, np.full(len(qid), -np.inf))
+                got = tuple(np.concatenate(c) for c in zip(got, _scan(qid, q, tables, b, k, dim, rerank, floor), strict=True))
                 keep = best(got[0], got[2], got[1], k)
                 got = tuple(c[keep] for c in got)
             yield pa.RecordBatch.from_arrays([pa.array(qid[got[0]]), pa.array(got[1]), pa.array(got[2])], names=["query_id", "vec_id", "score"])
 
-        parts.append(table.select("vec_id", "codes", "embedding").mapInArrow(run, "query_id long, vec_id long, score double"))
+        parts.append(table.select("vec_id", "codes", "embedding", "along", "across").mapInArrow(run, "query_id long, vec_id long, score double"))
     return merged(parts, k, lambda: spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"))
 
 

@@ -204,6 +204,22 @@ def test_ann_recall_and_scores(spark):
     assert hit / total >= 0.9
 
 
+def test_ann_finds_all_nearest_among_near_copies(spark):
+    rng = np.random.default_rng(21)
+    m = rng.normal(size=(6000, 16))
+    m[::2] = m[0] + rng.normal(0, 0.02, (3000, 16))
+    df = spark.createDataFrame([(i, m[i].tolist()) for i in range(len(m))], "vec_id long, embedding array<double>").repartition(1)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    got = {}
+    for r in ann.search(df, every=25).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    assert set(got) == set(range(0, len(m), 25))
+    for q, found in got.items():
+        s = u @ u[q]
+        s[q] = -2
+        assert [found[k] for k in range(1, 6)] == np.argsort(-s)[:5].tolist()
+
+
 def test_language_id(spark):
     rng = random.Random(9)
     lex = {"xx": "ab ba aab bba abab", "yy": "cd dc ccd ddc cdcd"}

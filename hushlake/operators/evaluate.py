@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
+from fractions import Fraction
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,14 +100,48 @@ def averages(per_label: DataFrame) -> DataFrame:
     return f.agg(ratio(2 * tp, 2 * tp + fp + fn).alias("micro_f1"), F.avg("f1").alias("macro_f1"), weighted.alias("weighted_f1"))
 
 
+def _poisson_steps() -> np.ndarray:
+    """Cumulative Poisson(1) probabilities as 64-bit thresholds: a hash's weight is the number of thresholds it reaches."""
+    steps, p, total = [], Fraction(math.exp(-1)), Fraction(0)
+    for k in range(1, 20):
+        total += p
+        p /= k
+        steps.append(min(int(total * 2**64), 2**64 - 1))
+    return np.array(steps, np.uint64)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijective 64-bit finaliser."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
 def bootstrap_recall(doc_counts: DataFrame, resamples: int = 1000, seed: int = 20260806) -> DataFrame:
     """95 % interval of recall: every document gets a Poisson(1) weight in each resample from a hash of its id and the
-    resample, so all resamples come from one distributed pass. Agrees with drawing with replacement up to noise."""
-    u = F.abs(F.xxhash64("doc_id", F.col("r"), F.lit(seed)) % 1_000_000_007) / F.lit(1_000_000_007.0)
-    steps = [0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
-    weight = reduce(lambda acc, p: acc + F.when(u > p, 1).otherwise(0), steps, F.lit(0))
-    each = doc_counts.select("doc_id", "tp", "fn", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r"))
-    recalls = each.groupBy("r").agg(ratio(F.sum(F.col("tp") * weight), F.sum((F.col("tp") + F.col("fn")) * weight)).alias("recall"))
+    resample, so all resamples come from one distributed pass. Agrees with drawing with replacement up to noise. Weights
+    are made and summed in one Arrow stage; only one row per resample and partition is shuffled."""
+    steps, turn = _poisson_steps(), _mix(np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, resamples), np.int64)
+        for b in batches:
+            h, *counts = (c.to_numpy() for c in b.columns)
+            h, counts = h.view(np.uint64), np.stack(counts)
+            for i in range(0, len(h), 256):
+                u = _mix(h[i : i + 256, None] ^ turn)
+                weight = np.zeros(u.shape, np.int64)
+                for p in steps:
+                    some = u >= p
+                    if not some.any():
+                        break
+                    weight += some
+                total += counts[:, i : i + 256] @ weight
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(total[0]), pa.array(total[1])], names=["r", "tp", "fn"])
+
+    count = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c)
+    each = doc_counts.select(F.xxhash64("doc_id", F.lit(seed)).alias("h"), count("tp"), count("fn")).mapInArrow(sums, "r long, tp long, fn long")
+    recalls = each.groupBy("r").agg(ratio(F.sum("tp"), F.sum(F.col("tp") + F.col("fn"))).alias("recall"))
     return recalls.filter("recall IS NOT NULL").agg(F.percentile("recall", 0.025).alias("low"), F.percentile("recall", 0.975).alias("high"))
 
 

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,25 @@ def test_greedy_matching(spark):
     assert {tuple(r) for r in evaluate.relaxed_counts(e, p, same_label=False).collect()} == {(1, 2, 0, 0), (2, 1, 0, 0)}
 
 
+def test_recall_interval_resamples_documents(spark, tmp_path):
+    from hushlake.plans import catalog
+
+    n = 1500  # alike modulo 500: resampling residue classes would widen the interval by the root of 3
+    hit = [i % 500 % 2 == 0 for i in range(n)]
+    rows = [(i, 1, 1.0, "A", "O", 1, 1 if hit[i] else 7) for i in range(n)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string, l_partkey long, l_suppkey long")
+    df.write.parquet(str(tmp_path / "lineitem.parquet"))
+    low, high = catalog.QUERIES["recall_interval"](spark, str(tmp_path)).first()
+    draws = np.sort(np.random.default_rng(22).choice(np.array(hit, float), (1000, n)).mean(1))
+    assert abs(low - draws[24]) < 0.006 and abs(high - draws[974]) < 0.006
+
+
+def test_bootstrap_weights_of_few_and_no_documents(spark):
+    schema = "doc_id string, tp long, fn long"
+    assert tuple(evaluate.bootstrap_recall(spark.createDataFrame([], schema)).first()) == (None, None)
+    assert tuple(evaluate.bootstrap_recall(spark.createDataFrame([("a", 3, 1), ("b", 0, 0)], schema)).first()) == (0.75, 0.75)
+
+
 def test_simhash_and_near_pairs(spark):
     long = " ".join(f"word{i}" for i in range(200))
     df = spark.createDataFrame([(1, long, "a"), (2, long + " more", "b"), (3, "something else entirely here", "b"), (4, long, "b")], "doc_id long, text string, split string")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHash, appended, grams, plus, small_batches, texts, without, written
@@ -36,53 +36,65 @@ def windows(words: list[bytes], hashes: WordHash, window: int) -> tuple[np.ndarr
 
 
 def _fingerprints(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, c1, c2, fs) per document of at least window words: a 128-bit hash of its words, and its fingerprints."""
+    """(doc_id, h, c1, c2, fs) per document of at least window words: hashes of its text and (128 bits) of its words, and its
+    fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for b in batches:
             rows = []
-            for doc, t in zip(b.column(0).to_pylist(), texts(b), strict=True):
+            for doc, h, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), texts(b), strict=True):
                 words = t.split()
                 if len(words) >= window:
                     fs = np.unique(windows(words, hashes, window)[1]).view(np.int64)
                     c = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.int64)
-                    rows.append((doc, int(c[0]), int(c[1]), fs))
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "c1", "c2", "fs"])
+                    rows.append((doc, h, int(c[0]), int(c[1]), fs))
+            cols = list(zip(*rows, strict=True)) or [[], [], [], [], []]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "h", "c1", "c2", "fs"])
 
-    return docs.mapInArrow(run, "doc_id long, c1 long, c2 long, fs array<long>")
+    return docs.withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id long, h long, c1 long, c2 long, fs array<long>")
+
+
+def _own(text: Column, h: Column) -> Column:
+    """Whether a row's text is the one that h means; null h stands for the only text of its doc_id."""
+    return h.isNull() | (h == F.xxhash64(text))
 
 
 def _repeated_starts(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, copy, starts): whether all of a document's windows start in a smaller one, else which do."""
+    """(doc_id, h, copy, starts): whether all of a row's windows start in a smaller document, else which do. h is the hash
+    of the row's text where its doc_id has several texts, else null."""
     prints = written(_fingerprints(docs, window))
     first = prints.groupBy("c1", "c2").agg(F.min("doc_id").alias("first"))
-    marked = prints.join(first, ["c1", "c2"]).select("doc_id", "fs", (F.col("doc_id") > F.col("first")).alias("copy"))
-    marked = written(marked.groupBy("doc_id", "copy").agg(F.first("fs").alias("fs")))  # an id that comes twice is one document here
-    each = marked.filter(~F.col("copy")).select("doc_id", F.explode("fs").alias("f"))
+    marked = prints.join(first, ["c1", "c2"]).select("doc_id", "h", "fs", (F.col("doc_id") > F.col("first")).alias("copy"))
+    several = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi")).filter("lo < hi")
+    several = written(several.select("doc_id", F.lit(True).alias("several")))
+    marked = marked.join(several, "doc_id", "left").withColumn("h", F.when(F.col("several"), F.col("h")))
+    marked = written(marked.groupBy("doc_id", "h", "copy").agg(F.first("fs").alias("fs")))  # a row that comes twice is one here
+    each = marked.filter(~F.col("copy")).select("doc_id", "h", F.explode("fs").alias("f"))
     shared = each.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f")
-    to_index = each.join(shared, "f").groupBy("doc_id").agg(F.collect_list("f").alias("fs"))
+    to_index = each.join(shared, "f").groupBy("doc_id", "h").agg(F.collect_list("f").alias("fs")).withColumnRenamed("doc_id", "__id")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for b in batches:
             out: list[tuple] = []
-            for doc, t, fs in zip(b.column(0).to_pylist(), texts(b), b.column(2), strict=True):
+            for doc, h, t, fs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b), b.column(3), strict=True):
                 w, f = windows(t.split(), hashes, window)
                 at = np.nonzero(np.isin(f, fs.values.to_numpy().view(np.uint64)))[0]
-                out.append((w[at].view(np.int64), f[at].view(np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32)))
-            cols = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32)]
+                out.append((w[at].view(np.int64), f[at].view(np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32), np.full(len(at), h or 0, np.int64), np.full(len(at), h is None)))
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)]
             for lo in range(0, max(1, len(cols[0])), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in cols], names=["w", "f", "doc_id", "start"])
+                *part, h, none = (c[lo : lo + 100_000] for c in cols)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, part), pa.array(h, mask=none)], names=["w", "f", "doc_id", "start", "h"])
 
-    index = written(docs.join(to_index, "doc_id").select("doc_id", "text", "fs").mapInArrow(emit, "w long, f long, doc_id long, start int"))
+    own = docs.join(to_index, (F.col("doc_id") == F.col("__id")) & _own(F.col("text"), F.col("h")))
+    index = written(own.select("doc_id", "h", "text", "fs").mapInArrow(emit, "w long, f long, doc_id long, start int, h long"))
     least = index.groupBy("w", "f").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w", "f", "lo")
     hits = index.join(least, ["w", "f"]).filter("doc_id > lo")
-    starts = hits.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    copies = marked.filter("copy").select("doc_id").distinct()
-    return copies.select("doc_id", F.lit(True).alias("copy"), F.array().cast("array<int>").alias("starts")).unionByName(starts.select("doc_id", F.lit(False).alias("copy"), "starts"))
+    starts = hits.groupBy("doc_id", "h").agg(F.collect_list("start").alias("starts"))
+    copies = marked.filter("copy").select("doc_id", "h").distinct()
+    return copies.select("doc_id", "h", F.lit(True).alias("copy"), F.array().cast("array<int>").alias("starts")).unionByName(starts.select("doc_id", "h", F.lit(False).alias("copy"), "starts"))
 
 
 def factors(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -101,13 +113,13 @@ def dedup_substrings(docs: DataFrame, window: int = 50, rejoin: bool = True) ->
     Words are runs of anything but ASCII white space; kept words are joined by one space (without rejoin, texts that
     lose nothing keep their layout). Windows are judged on the input. Null and empty texts, and texts under window
     words, lose nothing and null comes back as ''. Documents without doc_id lose nothing and serve nobody as a source;
-    rows of equal doc_id aren't sources for each other. Other columns stay; those named n_words or n_removed give way.
+    rows of equal doc_id aren't sources for each other, and each is judged by its own text. Other columns stay; those named n_words or n_removed give way.
     """
     small_batches(docs.sparkSession)
     docs = without(docs, ["n_words", "n_removed", "copy", "starts"])
     known = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    spans = _repeated_starts(known, window).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
+    spans = _repeated_starts(known, window).withColumnsRenamed({"doc_id": "__id", "h": "__h"})
+    joined = docs.join(spans, (F.col("doc_id").cast("long") == F.col("__id")) & _own(F.col("text"), F.col("__h")), "left").drop("__id", "__h")
     others = docs.drop("text")
     out = plus(others, "text string, n_words long, n_removed long")
 

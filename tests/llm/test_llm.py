@@ -82,6 +82,22 @@ def test_substring_dedup(spark):
     assert removed > 100 and substring_dedup.dedup_substrings(docs(spark, [])).count() == 0
 
 
+def test_substring_dedup_of_rows_sharing_an_id(spark):
+    rng = random.Random(23)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    a, b = own(80), own(60)
+    rows = [(1, a), (2, a), (2, own(20) + a[10:70] + own(20)), (2, own(90)), (2, own(5)), (3, own(30) + b), (3, b + own(40)), (4, own(10) + b), (4, own(10) + b), (4, b), (5, own(60)), (5, a)]
+    # 4 comes twice outright
+    rows[8] = rows[7]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    want = []
+    for i, w in rows:
+        seen = {tuple(o[p : p + 50]) for j, o in rows if j < i for p in range(len(o) - 49)}
+        gone = {q for p in range(len(w) - 49) if tuple(w[p : p + 50]) in seen for q in range(p, p + 50)}
+        want.append((i, " ".join(x for q, x in enumerate(w) if q not in gone), len(w), len(gone)))
+    assert sorted(tuple(r) for r in substring_dedup.dedup_substrings(df).select("doc_id", "text", "n_words", "n_removed").collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("k, num", [(4, 85), (5, 80)])
 def test_jaccard_join(spark, k, num):
     texts = corpus(3)

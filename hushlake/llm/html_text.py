@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .common import appended, plus, small_batches, texts, without
 
 # HTML element names by role, and class or id words that mark what isn't the article.
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "select", "math", "object", "canvas", "audio", "video")
+RAW = ("script", "style", "textarea", "title", "iframe")
+SKIPPED = ("noscript", "template", "svg", "select", "math", "object", "canvas", "audio", "video")
 NOT_ARTICLE = ("nav", "header", "footer", "aside", "form", "button", "label", "fieldset", "dialog", "menu", "head")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 INLINE = ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr")
@@ -32,6 +33,7 @@ ROLES = ("alert", "alertdialog", "banner", "complementary", "contentinfo", "dial
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*+[^>]*>|\Z", re.I) for t in RAW}
+_SKIPPED = re.compile(rf"""<!--.*?(?:-->|\Z)|<({"|".join(RAW)})(?![^\s/>]).*?(?:</\1\s*+[^>]*>|\Z)|<(/?)({"|".join(SKIPPED)})(?![^\s/>])(?:((?:[^>"']|"[^"]*"|'[^']*')*+)>|([^>]*+)(?:>|\Z))""", re.S | re.I)
 #: Features of a word: always, in a link, in a marked part, outside of the article element there is, in a list item.
 #: Features of a tag: block, list or link, other inline, each in an unmarked part; any in a marked part.
 WORD, TAG = 5, 4
@@ -56,6 +58,27 @@ def _marked(tag: str, attrs: str) -> bool:
     return False
 
 
+def _closed(tag: str, attrs: str) -> bool:
+    """Only SVG and MathML elements close themselves; HTML ones have an end tag or none."""
+    return tag in ("svg", "math") and attrs.endswith("/")
+
+
+def _ends(source: str) -> dict[int, int]:
+    """Start of each skipped element that has its end tag -> where that tag ends."""
+    ends: dict[int, int] = {}
+    starts: dict[str, list[int]] = {t: [] for t in SKIPPED}
+    for m in _SKIPPED.finditer(source):
+        if not m[3]:
+            continue
+        tag = m[3].lower()
+        if not m[2]:
+            if not _closed(tag, m[4] or m[5] or ""):
+                starts[tag].append(m.start())
+        elif starts[tag]:
+            ends[starts[tag].pop()] = m.end()
+    return ends
+
+
 class Page:
     """A page as a run of nodes: words (with their text) and tags, each with its features."""
 
@@ -69,6 +92,7 @@ class Page:
         inside = marked = 0
         has_article = re.search(r"<(article|main)\b", source, re.I) is not None
         at = 0
+        ends: dict[int, int] | None = None
         for m in iter(lambda: _TAG.search(source, at), None):
             if m.start() > at:
                 self._words(source[at : m.start()], deep, marked, has_article and not inside)
@@ -80,6 +104,11 @@ class Page:
                 at = _RAW_END[tag].search(source, at).end()
                 self._tag(tag, marked)
                 continue
+            if tag in SKIPPED and not (m[1] or m[4]):  # without its end tag, only the tag itself goes
+                ends = _ends(source) if ends is None else ends
+                at = ends.get(m.start(), at)
+                self._tag(tag, marked)
+                continue
             if m[1] or m[4]:  # an end tag closes down to its start tag, if there is one
                 if deep.get(tag):
                     while True:

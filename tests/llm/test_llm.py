@@ -267,6 +267,13 @@ def test_html_text(spark):
     assert got == {1: want, 2: "", 3: "", 4: "only words stand here", 5: "", 6: "cut off &am"} and w[0] > 0 and (w[5:] < 0).all()
 
 
+@pytest.mark.parametrize("gap", ['<svg class="i"/>', "<math />", "<object data='x'>", "<select>", "<noscript>", "<svg><g/><svg></svg><text>drawn</text></svg>", "<select><option>one</select>", "<object><b>old</b></object>"])
+@pytest.mark.parametrize("later", ["", "<svg><text>drawn</text></svg><object><p>old</p></object><select><option>one</option></select>"])
+def test_html_text_keeps_what_follows_a_skipped_element(gap, later):
+    page = f"<html><body><article><p>First part of the article here.{gap} Second part goes on.</p>{later}<p>Third part ends it all.</p></article></body></html>"
+    assert html_text.Page(page).extract(np.array(html_text.fitted_weights())).split() == "First part of the article here. Second part goes on. Third part ends it all.".split()
+
+
 def test_pipeline_stages(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     texts = [f"{t}" for t in corpus(11) if t]

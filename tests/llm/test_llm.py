@@ -286,6 +286,102 @@ def test_pipeline_stages(spark, tmp_path):
     assert len(ids) == len(set(ids)) and 0 < len(ids) < len(texts)
 
 
+def pipeline_corpus():
+    rng = random.Random(24)
+    word = lambda lang: "".join(rng.choices("abe" if lang == "xx" else "cdo", k=rng.randint(4, 7)))
+    lines = lambda lang, n: [" ".join(word(lang) for _ in range(20)) for _ in range(n)]
+    rows = [(lang, lines(lang, rng.randint(3, 6))) for lang in ["xx", "yy"] * 15]
+    often, seldom, passage = lines("xx", 1)[0], lines("yy", 1)[0], lines("xx", 3)
+    for i in range(0, 20, 2):
+        rows[i][1].insert(1, f"  {often.upper() if i % 4 else often} ")
+    for i in range(1, 19, 2):
+        rows[i][1].insert(1, seldom)
+    for i in (20, 22, 26):
+        rows[i][1].extend(passage)
+    near = [[*x[:-1], " ".join([*x[-1].split()[:-1], "changed"])] for _, x in rows[6:10]]
+    other = [[*x[:2], *lines(k, 2)] for k, x in rows[10:14]]
+    rows += [(None, x) for x in near + other] + [("xx", [often]), ("xx", [often, "", "  "]), ("xx", lines("xx", 100)), (None, lines("yy", 3)), (None, lines("yy", 3)), (None, lines("xx", 4) + lines("yy", 2)), (None, passage)]
+    rows += [("xx", ["12 34", "5"]), ("yy", [""]), ("xx", ["abba"]), ("yy", ["codo  docco"])]
+    return [(i, "\n".join(x), lang) for i, (lang, x) in enumerate(rows)] + [(len(rows), None, "xx")]
+
+
+def brute_stages(rows):
+    """doc_id -> (text, lang) after each of the first four stages."""
+    kept = {}
+    for i, t, _ in rows:
+        if re.search(r"[a-zA-Z]", t or ""):
+            kept[i] = (t, "xx" if sum(c in "abeABE" for c in t) > sum(c in "cdoCDO" for c in t) else "yy")
+    yield kept
+    key = lambda x: x.strip(SPACE).translate({c: c + 32 for c in range(65, 91)})
+    seen = {}
+    for i, (t, _) in kept.items():
+        for k in {key(x) for x in t.split("\n")}:
+            seen.setdefault(k, set()).add(i)
+    left = {i: ([x for x in t.split("\n") if not key(x) or len(seen[key(x)]) < 10], lang) for i, (t, lang) in kept.items()}
+    kept = {i: ("\n".join(x), lang) for i, (x, lang) in left.items() if x and "\n".join(x).strip(" ")}
+    yield kept
+    sets = {}
+    for i, (t, _) in kept.items():
+        w = words(t.lower())
+        sets[i] = {tuple(w[p : p + 5]) for p in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+        if all(root[root[i]] == root[i] for i in root):
+            break
+    kept = {i: x for i, x in kept.items() if root[i] == i}
+    yield kept
+    first = {}
+    for i, (t, _) in sorted(kept.items()):
+        w = words(t)
+        for p in range(len(w) - 49):
+            first.setdefault(tuple(w[p : p + 50]), i)
+    out = {}
+    for i, (t, lang) in kept.items():
+        w = words(t)
+        gone = {q for p in range(len(w) - 49) if first[tuple(w[p : p + 50])] < i for q in range(p, p + 50)}
+        if len(gone) < len(w):
+            out[i] = (" ".join(x for q, x in enumerate(w) if q not in gone) if gone else t, lang)
+    yield out
+
+
+def test_pipeline_run_against_brute_force(spark, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = pipeline_corpus()
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, lang, "s", -1) for i, t, lang in rows], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    stages, written = [], corpus_pipeline.written
+    monkeypatch.setattr(corpus_pipeline, "written", lambda df: stages.append(written(df)) or stages[-1])
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    sizes = [len(rows)]
+    for (name, _), got, want in zip(corpus_pipeline.STAGES, stages, brute_stages(rows), strict=False):
+        assert sorted(tuple(r) for r in got.collect()) == sorted((i, t, lang, "s", len(t)) for i, (t, lang) in want.items()), name
+        sizes.append(len(want))
+    assert len(sizes) == 5 and all(a > b for a, b in zip(sizes, sizes[1:], strict=False))
+    tok, pieces_ = Tokenizer.from_file(BPE), {}
+    for i, (t, _) in want.items():
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        cuts = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]  # the first piece takes what is left over
+        pieces_ |= {(i, n): ids[a:b] for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))}
+    assert {(r["doc_id"], r["piece"]): (r["length"], r["ids_crc32"]) for r in packed} == {k: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in pieces_.items()} and len(packed) == len(pieces_)
+    rooms = []
+    for n in sorted(map(len, pieces_.values()), reverse=True):
+        fit = min((r for r in rooms if r >= n), default=None)
+        if fit is not None:
+            rooms.remove(fit)
+        rooms.append((1024 if fit is None else fit) - n)
+    full = {}
+    for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == full.get(r["sequence_id"], 0)
+        full[r["sequence_id"]] = r["offset"] + r["length"]
+    assert sorted(full.values()) == sorted(1024 - r for r in rooms)
+
+
 def test_sha_of_kept_text_is_utf8(spark):
     row = docs(spark, ["é"]).select(F.sha2("text", 256)).first()[0]
     assert row == hashlib.sha256("é".encode()).hexdigest()

@@ -1,4 +1,5 @@
-"""Substring dedup: documents factored against the windows of all smaller documents, relative Lempel-Ziv style."""
+"""Substring dedup: windows of words that start in a smaller document, found by joining equal window hashes. This replaces
+relative Lempel-Ziv parsing: there are no reference blocks and there is no longest-match search."""
 
 from __future__ import annotations
 
@@ -98,8 +99,7 @@ def _repeated_starts(docs: DataFrame, window: int) -> DataFrame:
 
 
 def factors(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Greedy factors as word ranges: from a start that matches, a factor reaches as far as each next start matches too;
-    as every start is looked up by itself, those near a factor's end are checked as well."""
+    """Runs of neighbouring starts as word ranges; every start was looked up by itself."""
     if not len(starts):
         return []
     starts = np.sort(starts)

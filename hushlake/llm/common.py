@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 
@@ -12,35 +12,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows per Arrow batch: a bound on what a Python worker holds of long texts at a time.
-BATCH_ROWS = 2000
+#: Rows and bytes per Arrow batch: bounds on what a Python worker holds of long texts at a time.
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
+BATCH_ROWS_KEY, BATCH_BYTES_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, where they are one process,
+    may leave it unset and gets a temporary one (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="hushlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here and lost executors cost no recomputation."""
+    """df as a Parquet table in the shared folder: lineage ends here, lost executors cost no recomputation, and the shuffle
+    files that made it are dropped by Spark."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hushlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # Spark drops a finished job's shuffle files once the driver has collected its handles as garbage
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later plan reads."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.written_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small; never raises a smaller setting."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep Arrow batches of whole texts small, in rows and in bytes; never raises a smaller setting. The settings are the
+    session's, as Spark reads them when a plan runs."""
+    for key, bound in ((BATCH_ROWS_KEY, BATCH_ROWS), (BATCH_BYTES_KEY, BATCH_BYTES)):
+        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        if now > bound or now <= 0:
+            spark.conf.set(key, str(bound))
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:
@@ -69,7 +90,7 @@ def appended(batch: pa.RecordBatch, extra: dict[str, pa.Array], drop: tuple[str,
 class WordHash(dict):
     """word (bytes) -> 64-bit hash as a signed int, remembered up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

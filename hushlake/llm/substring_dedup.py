@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, appended, grams, plus, small_batches, texts, without, written
+from .common import WordHash, appended, discard, grams, plus, small_batches, texts, without, written
 
 #: Words in the fingerprints that lead equal windows to each other.
 GRAM = 16
@@ -62,9 +62,41 @@ def _own(text: Column, h: Column) -> Column:
     return h.isNull() | (h == F.xxhash64(text))
 
 
+def _ordered_hits(index: DataFrame) -> DataFrame:
+    """(doc_id, h, start): the rows of index (w, doc_id, start, h) whose w also stands in a smaller doc_id.
+
+    Rows are range-sorted by (w, doc_id), so that one very common window spreads over many tasks; each task compares rows
+    with the least doc_id that it has seen of their window. What a task can't know is whether its first window began
+    in an earlier task: those rows wait for the tasks' last windows, one row each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = least = None
+        for b in batches:
+            w, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if not len(w):
+                continue
+            first = w[0] if first is None else first
+            new = np.concatenate([[w[0] != last], w[1:] != w[:-1]])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(w)), -1))
+            low = np.where(at >= 0, doc[np.maximum(at, 0)], least if least is not None else 0)
+            last, least = w[-1], low[-1]
+            kind = np.where(doc > low, 0, np.where(w == first, 1, 3)).astype(np.int32)
+            out = pa.RecordBatch.from_arrays([*b.columns, pa.array(kind)], names=["w", "doc_id", "start", "h", "kind"])
+            yield out.filter(pa.array(kind < 3))
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((last, pa.int64()), (least, pa.int64()), (None, pa.int32()), (None, pa.int64()), (2, pa.int32()))], names=["w", "doc_id", "start", "h", "kind"])
+
+    spread = index.select("w", "doc_id", "start", "h").repartitionByRange("w", "doc_id").sortWithinPartitions("w", "doc_id")
+    marks = written(spread.mapInArrow(run, "w long, doc_id long, start int, h long, kind int"))
+    ends = marks.filter("kind = 2").groupBy("w").agg(F.min("doc_id").alias("low"))
+    late = marks.filter("kind = 1").join(ends, "w").filter("doc_id > low")
+    return marks.filter("kind = 0").select("doc_id", "h", "start").unionByName(late.select("doc_id", "h", "start"))
+
+
 def _repeated_starts(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, h, copy, starts): whether all of a row's windows start in a smaller document, else which do. h is the hash
-    of the row's text where its doc_id has several texts, else null."""
+    of the row's text where its doc_id has several texts, else null. A written table."""
     prints = written(_fingerprints(docs, window))
     first = prints.groupBy("c1", "c2").agg(F.min("doc_id").alias("first"))
     marked = prints.join(first, ["c1", "c2"]).select("doc_id", "h", "fs", (F.col("doc_id") > F.col("first")).alias("copy"))
@@ -72,6 +104,7 @@ def _repeated_starts(docs: DataFrame, window: int) -> DataFrame:
     several = written(several.select("doc_id", F.lit(True).alias("several")))
     marked = marked.join(several, "doc_id", "left").withColumn("h", F.when(F.col("several"), F.col("h")))
     marked = written(marked.groupBy("doc_id", "h", "copy").agg(F.first("fs").alias("fs")))  # a row that comes twice is one here
+    discard(prints, several)
     each = marked.filter(~F.col("copy")).select("doc_id", "h", F.explode("fs").alias("f"))
     shared = each.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f")
     to_index = each.join(shared, "f").groupBy("doc_id", "h").agg(F.collect_list("f").alias("fs")).withColumnRenamed("doc_id", "__id")
@@ -83,19 +116,20 @@ def _repeated_starts(docs: DataFrame, window: int) -> DataFrame:
             for doc, h, t, fs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b), b.column(3), strict=True):
                 w, f = windows(t.split(), hashes, window)
                 at = np.nonzero(np.isin(f, fs.values.to_numpy().view(np.uint64)))[0]
-                out.append((w[at].view(np.int64), f[at].view(np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32), np.full(len(at), h or 0, np.int64), np.full(len(at), h is None)))
-            cols = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)]
+                out.append((w[at].view(np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32), np.full(len(at), h or 0, np.int64), np.full(len(at), h is None)))
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)]
             for lo in range(0, max(1, len(cols[0])), 100_000):
                 *part, h, none = (c[lo : lo + 100_000] for c in cols)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, part), pa.array(h, mask=none)], names=["w", "f", "doc_id", "start", "h"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, part), pa.array(h, mask=none)], names=["w", "doc_id", "start", "h"])
 
     own = docs.join(to_index, (F.col("doc_id") == F.col("__id")) & _own(F.col("text"), F.col("h")))
-    index = written(own.select("doc_id", "h", "text", "fs").mapInArrow(emit, "w long, f long, doc_id long, start int, h long"))
-    least = index.groupBy("w", "f").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w", "f", "lo")
-    hits = index.join(least, ["w", "f"]).filter("doc_id > lo")
-    starts = hits.groupBy("doc_id", "h").agg(F.collect_list("start").alias("starts"))
+    index = written(own.select("doc_id", "h", "text", "fs").mapInArrow(emit, "w long, doc_id long, start int, h long"))
+    starts = _ordered_hits(index).groupBy("doc_id", "h").agg(F.collect_list("start").alias("starts"))
     copies = marked.filter("copy").select("doc_id", "h").distinct()
-    return copies.select("doc_id", "h", F.lit(True).alias("copy"), F.array().cast("array<int>").alias("starts")).unionByName(starts.select("doc_id", "h", F.lit(False).alias("copy"), "starts"))
+    spans = copies.select("doc_id", "h", F.lit(True).alias("copy"), F.array().cast("array<int>").alias("starts")).unionByName(starts.select("doc_id", "h", F.lit(False).alias("copy"), "starts"))
+    spans = written(spans)
+    discard(index, marked)
+    return spans
 
 
 def factors(starts: np.ndarray, window: int) -> list[tuple[int, int]]:

@@ -385,3 +385,20 @@ def test_pipeline_run_against_brute_force(spark, tmp_path, monkeypatch):
 def test_sha_of_kept_text_is_utf8(spark):
     row = docs(spark, ["é"]).select(F.sha2("text", 256)).first()[0]
     assert row == hashlib.sha256("é".encode()).hexdigest()
+
+
+def test_r_tree_finds_what_its_bound_allows():
+    rule, rng = jaccard_join.Rule(4, 85, 100), np.random.default_rng(14)
+    sets = []
+    for i in range(300):
+        base = np.unique(np.random.default_rng(i // 10).integers(0, 2**63, (30, 300, 6000, 9000)[i % 100 // 25] + i).astype(np.uint64) * np.uint64(2))
+        sets.append(np.unique(np.concatenate([base[rng.random(len(base)) > 0.04 * (i % 5)], rng.integers(0, 2**63, len(base) // 30).astype(np.uint64)])))
+    own = jaccard_join.Points([rule.counts(x) for x in sets], np.array([len(x) for x in sets]))
+    q, p = jaccard_join.RTree(own, np.arange(100, 300)).search(np.arange(150), rule)
+    over = np.bitwise_count(own.bits[:150, None] & own.bits[None]).sum(2, dtype=np.int64) + np.minimum(own.over[:150, None], own.over[None])
+    want = [(i, j) for i, j in np.argwhere(rule.enough(over, own.n[:150, None] + own.n[None])).tolist() if j >= 100]
+    assert sorted(zip(q.tolist(), p.tolist(), strict=True)) == sorted(want) and len(want) > 100
+    for i in range(0, 150, 3):
+        for j in range(i):
+            if rule.enough(len(np.intersect1d(sets[i], sets[j])), len(sets[i]) + len(sets[j])):
+                assert rule.enough(over[i, j], own.n[i] + own.n[j])

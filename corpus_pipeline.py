@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushlake.llm.common import written
-from hushlake.llm.jaccard_join import near_duplicates
+from hushlake.llm.jaccard_join import linked_rows
 from hushlake.llm.language_id import UNKNOWN, fit, identify, training_samples
 from hushlake.llm.line_dedup import dedup_lines
 from hushlake.llm.packing import pack
@@ -39,11 +39,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group linked by a Jaccard similarity of 0.8 on 5-word
-    shingles. Rows without doc_id stay."""
-    first = near_duplicates(docs, k=5, num=80, den=100).filter("doc_id = component_id").select("doc_id").distinct()
-    known = docs.filter("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _documents(known.unionByName(docs.filter("doc_id IS NULL")))
+    """Keeps one row of each group linked by a Jaccard similarity of 0.8 on 5-word shingles: of the smallest doc_id, and of
+    several of its rows the text with the smallest hash. Rows without words or doc_id stay."""
+    rows = linked_rows(docs, k=5, num=80, den=100).filter("doc_id IS NOT NULL")
+    first = rows.filter("doc_id = component_id").groupBy("group", "doc_id").agg(F.min("h").alias("h"))
+    wordless = rows.filter("group IS NULL").select("group", "doc_id", "h")
+    chosen = first.filter("group IS NOT NULL").unionByName(wordless).select("doc_id", "h").distinct()
+    known = docs.filter("doc_id IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    kept = known.join(chosen, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+    return _documents(kept.unionByName(docs.filter("doc_id IS NULL"), allowMissingColumns=True))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

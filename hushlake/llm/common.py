@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
 BATCH_ROWS_KEY, BATCH_BYTES_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Shuffled bytes that a task of a written table should read.
+PART_BYTES, PART_BYTES_KEY = 16 << 20, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -33,15 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here, lost executors cost no recomputation, and the shuffle
-    files that made it are dropped by Spark."""
+    files that made it are dropped by Spark. Its tasks read small parts, so that their sorts need little memory."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hushlake-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, None)
+    before = {k: spark.conf.get(k, None) for k in (CLEAN_UP, PART_BYTES_KEY)}
     spark.conf.set(CLEAN_UP, "true")
+    spark.conf.set(PART_BYTES_KEY, str(PART_BYTES))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_path = path
     return table

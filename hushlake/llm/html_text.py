@@ -28,7 +28,19 @@ MARKS = (
     "promotion", "reactions", "recommended", "related", "replies", "reply", "respond", "responses", "search", "share", "sharing", "sidebar", "signup", "site-info", "skip", "social", "sponsor", "sponsored",
     "subscribe", "subscription", "taboola", "tags", "toolbar", "topbar", "warning", "widget", "widgets",
 )
+#: First words of a compound that mark it whatever follows, and last words that don't mark it.
+LEADS = ("ad", "ads", "advert", "advertisement", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "footer", "header", "menu", "nav", "navbar", "newsletter", "promo", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget")
+NO_MARK = ("free", "none", "less", "off")
+#: Prefixes by which publishing systems write a page's topics, states and layout into classes.
+TOPICS = ("author", "category", "entry", "format", "has", "is", "lang", "no", "page", "post", "postid", "single", "status", "subject", "tag", "taxonomy", "term", "topic", "type", "with", "without")
 ROLES = ("alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search")
+#: Start tags that end an open paragraph, and those that end an open element of their own kind.
+BLOCKS = (
+    "address", "article", "aside", "blockquote", "details", "dialog", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre",
+    "section", "table", "ul",
+)
+SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+LISTS = ("ul", "ol", "menu", "dl", "table", "select")
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -39,10 +51,21 @@ _SKIPPED = re.compile(rf"""<!--.*?(?:-->|\Z)|<({"|".join(RAW)})(?![^\s/>]).*?(?:
 WORD, TAG = 5, 4
 
 
+def _mark(word: str) -> bool:
+    """Whether a class or id says that its element isn't the article: as a whole, by its last word, or by a first word that
+    leaves no doubt; topics of the page say nothing."""
+    if word in MARKS:
+        return True
+    parts = [p for p in re.split(r"[-_:]+", word) if p]
+    if len(parts) < 2 or parts[0] in TOPICS or parts[-1] in NO_MARK:
+        return False
+    return parts[0] in LEADS or parts[-1] in MARKS
+
+
 def _marked(tag: str, attrs: str) -> bool:
     if tag in NOT_ARTICLE:
         return True
-    if tag in ("html", "body", "main") or not attrs:
+    if tag in ("html", "body", "main", "article") or not attrs:
         return False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -51,10 +74,8 @@ def _marked(tag: str, attrs: str) -> bool:
         if name == "role" and value.strip() in ROLES:
             return True
         if name in ("class", "id"):
-            for word in value.split():
-                parts = re.split(r"[-_:]+", word)
-                if parts[0] not in ("has", "with", "no", "without") and (word in MARKS or any(p in MARKS for p in parts)):
-                    return True
+            if any(map(_mark, value.split())):
+                return True
     return False
 
 
@@ -121,6 +142,19 @@ class Page:
                 self._tag(tag, marked)
                 continue
             attrs = m[3] if m[2] else m[6]
+            ended = ("p",) if tag in BLOCKS and deep.get("p") else SIBLINGS.get(tag, ())
+            if ended:  # the open element that this one ends without an end tag, if no list or table stands between
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] in ended:
+                        while len(stack) > i:
+                            t, bad = stack.pop()
+                            deep[t] -= 1
+                            marked -= bad
+                            inside -= t in ("article", "main")
+                        if ended == ("p",) or tag not in ("tr",):
+                            break
+                    elif stack[i][0] in LISTS or (ended == ("p",) and stack[i][0] in BLOCKS):
+                        break
             self._tag(tag, marked)
             if tag in VOID or attrs.endswith("/"):
                 continue

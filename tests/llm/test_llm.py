@@ -402,3 +402,124 @@ def test_r_tree_finds_what_its_bound_allows():
         for j in range(i):
             if rule.enough(len(np.intersect1d(sets[i], sets[j])), len(sets[i]) + len(sets[j])):
                 assert rule.enough(over[i, j], own.n[i] + own.n[j])
+
+
+PROSE = "Second thoughts came to the council late in the week, and they changed what had been settled before by all of its members."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article class="post-12 type-post category-privacy tag-social"><p>{}</p><p>{}</p></article>',
+        '<body><nav><ul><li><a href="/">Home</a></li></ul></nav><article class="tag-search"><p>{}</p><p>{}</p></article></body>',
+        '<body><div id="legal-news"><p>{}</p><p>{}</p></div></body>',
+        '<body><article><p class="notice">Office closed<p>{}<p>{}</article></body>',
+        '<body><article><ul><li class="share">Share this<li>{}<li>{}</ul></article></body>',
+        '<body><article><p>{}</p><div class="cookie-consent-box">We use cookies</div><p>{}</p></article><div class="site-footer">All rights</div></body>',
+        '<body><article><p>{}<div class="ad-slot">Buy now</div><p>{}</article><section class="comments-area"><p>First!</p></section></body>',
+    ],
+)
+def test_article_text_is_kept(page):
+    assert html_text.Page(page.format(PROSE, PROSE[::-1].title())).extract(np.array(html_text.fitted_weights())) == f"{PROSE} {PROSE[::-1].title()}"
+
+
+def test_region_is_the_best_run():
+    rng = np.random.default_rng(31)
+    for _ in range(200):
+        page = html_text.Page("")
+        n = int(rng.integers(0, 25))
+        page.feats = [(float(x),) for x in rng.integers(-4, 5, n)]
+        x = np.array([f[0] for f in page.feats])
+        lo, hi = page.region(np.array([1.0]))
+        best = max((x[i:j].sum() for i in range(n) for j in range(i + 1, n + 1)), default=0)
+        assert (x[lo:hi].sum() == best and hi > lo) if best > 0 else (lo, hi) == (0, 0)
+
+
+# --- tables with nulls, repeats, clashing names, long texts; empty tables ---
+
+ODD = [None, "", " \t\n", "one", "a b c", "same words twice over here", "same words twice over here", "x" * 5000, "long text " * 4000]
+
+
+def odd_table(spark, n=len(ODD)):
+    rows = [(None if i == 3 else i // 2, ODD[i], "en" if i % 2 else None, i, "clash", 1.5, "c") for i in range(n)]
+    return spark.createDataFrame(rows[:n], "doc_id long, text string, lang string, n_lines int, text_ string, score double, component_id string")
+
+
+def operators(spark):
+    field = language_id.fit({"xx": ["ab ba aab bba"], "yy": ["cd dc ccd"]}, sequences=200, epochs=1)
+    model = toxicity.fit(["good day", "bad day"] * 40, [0, 1] * 40)
+    return {
+        "line": lambda d: line_dedup.dedup_lines(d, 2, 1),
+        "language": lambda d: language_id.identify(d, field),
+        "jaccard": lambda d: jaccard_join.near_duplicates(d),
+        "substring": lambda d: substring_dedup.dedup_substrings(d),
+        "packing": lambda d: packing.pack(d, BPE, 64, 2),
+        "pieces": lambda d: pieces.encode_pieces(d, SPM),
+        "toxicity": lambda d: toxicity.score(d, model) if hasattr(toxicity, "score") else d,
+    }
+
+
+@pytest.mark.parametrize("name", ["line", "language", "jaccard", "substring", "packing", "pieces"])
+def test_odd_rows_and_no_rows(spark, name):
+    run = operators(spark)[name]
+    full, none = run(odd_table(spark)), run(odd_table(spark, 0))
+    rows = full.collect()
+    if name == "packing":
+        assert len({(r["doc_id"], r["piece"]) for r in rows}) <= len(rows) and sum(r["piece"] == 0 for r in rows) == len(ODD)
+    else:
+        assert len(rows) == len(ODD)
+    assert none.collect() == [] and none.schema == full.schema
+
+
+def test_pipeline_stages_keep_odd_rows(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"{w} " * 3 + f"only {i} here", "en", "s", 1) for i, w in enumerate(["alpha beta gamma", "delta eps zeta"] * 3)] + [(None, "no number but words in plenty", "en", "s", 1), (7, None, None, "s", None), (8, "", "en", "s", 0)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        for d in (docs_, docs_.limit(0), docs_.unionByName(docs_)):
+            out = stage(spark, d, "")
+            assert name == "best-fit packing" or out.columns == docs_.columns
+            assert out.count() >= (0 if d.isEmpty() else 6)
+
+
+def test_packing_is_as_tight_as_sequential_best_fit(spark):
+    import bisect
+
+    rng = random.Random(41)
+    texts = [" ".join(rng.choices(["one", "two", "three", "four"], k=rng.randint(1, 62))) for _ in range(300)]
+    rows = packing.pack(docs(spark, texts), BPE, 64, 2).collect()
+    gaps: list[int] = []
+    opened = 0
+    for n in sorted((r["length"] for r in rows), reverse=True):
+        at = bisect.bisect_left(gaps, n)
+        gap = gaps.pop(at) if at < len(gaps) else 64
+        opened += gap == 64
+        if gap > n:
+            bisect.insort(gaps, gap - n)
+    assert len({r["sequence_id"] for r in rows}) <= opened
+
+
+def test_forward_backward_agrees_with_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(42)
+    field = language_id.Field(["a", "b", "c"])
+    field.move, field.start = rng.normal(size=(3, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32)
+    for n in (1, 2, 5):
+        e = rng.normal(size=(1, n, 3)).astype(np.float32)
+        post = field.messages(e, np.array([n]))[-1][0]
+        want = np.zeros((n, 3))
+        for path in itertools.product(range(3), repeat=n):
+            w = np.exp(field.start[path[0]] + sum(e[0, t, y] for t, y in enumerate(path)) + sum(field.move[x, y] for x, y in itertools.pairwise(path)))
+            for t, y in enumerate(path):
+                want[t, y] += w
+        assert np.allclose(post, want / want.sum(1, keepdims=True), atol=1e-5)
+
+
+def test_very_common_window_spans_tasks(spark):
+    rng = random.Random(43)
+    shared = [f"s{i}" for i in range(60)]
+    texts = [" ".join([f"a{rng.random()}" for _ in range(i % 7)] + shared + [f"b{rng.random()}"]) for i in range(400)]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.dedup_substrings(docs(spark, texts).repartition(9)).collect()}
+    assert got == {i: 60 * (i > 0) for i in range(400)}

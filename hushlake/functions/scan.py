@@ -93,12 +93,13 @@ def _iban_head(v: str) -> str:
     return v
 
 
-_SIGN = re.compile("[:=#]")
+_SIGN = re.compile(r"([^\S\r\n]*)[:=#]")
 _NAMES = tuple({x.lower() for r in R.LABELS for x in r.labels})
+_LONGEST = max(map(len, _NAMES))
 
 
 def labelled(text: str) -> list[Span]:
-    if not any(text[max(0, m.start() - 60) : m.start()].rstrip().lower().endswith(_NAMES) for m in _SIGN.finditer(text)):
+    if not any(text[max(0, m.start() - _LONGEST) : m.start()].lower().endswith(_NAMES) for m in _SIGN.finditer(text)):
         return []
     best: dict[tuple[int, int], tuple[int, Span]] = {}
     for r in R.LABELS:

@@ -12,8 +12,9 @@ from ..functions import core
 from ..plans.policies import BUILT_IN, Policy
 
 PAYLOAD = "struct<outcome:string,payload:string>"
-# Tools that send data out.
-OUTBOUND = ("mcp_", "web_", "http_", "fetch", "send_", "upload", "post_")
+# Tools that send data out, by host. "named" hosts name their tools exactly, "marked" ones are told by parts.
+OUTBOUND_PREFIX, OUTBOUND_NAMES = "mcp__", ("WebFetch", "WebSearch")
+MARKED_PREFIX, MARKED_PARTS = "mcp_", ("http", "web", "search", "fetch", "request", "api", "connect")
 TOKEN = r"\[(?:REDACTED|[A-Z][A-Z0-9_]*_[0-9]+)\]"
 
 
@@ -28,12 +29,16 @@ def replace_latest(conversations: DataFrame, safe: DataFrame) -> DataFrame:
     return conversations.join(safe, ["conv_id", "turn"], "left").withColumn("text", F.coalesce("safe_text", "text")).drop("safe_text")
 
 
-def is_outbound(name: Column) -> Column:
-    low = F.lower(name)
-    hit = F.lit(False)
-    for p in OUTBOUND:
-        hit = hit | low.startswith(p)
-    return hit
+def is_outbound(name: Column, host: str = "named") -> Column:
+    """Whether a tool sends data out; null names don't."""
+    if host == "named":
+        hit = name.startswith(OUTBOUND_PREFIX) | name.isin(*OUTBOUND_NAMES)
+    else:
+        low = F.lower(name)
+        hit = low.startswith(MARKED_PREFIX)
+        for part in MARKED_PARTS:
+            hit = hit | low.contains(part)
+    return F.coalesce(hit, F.lit(False))
 
 
 def tokens_in(text: Column) -> Column:

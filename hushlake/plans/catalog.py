@@ -6,13 +6,15 @@ are the same spans with some shifted and relabelled by arithmetic on the row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalise, spans, validators
 from ..operators import conversations, detect, evaluate, generate, integrity, language, merge, prepare
 from ..streaming.vault import windowed_counts
-from . import policies, rules, taxonomy
+from . import lexicon, policies, probes, rules, taxonomy
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -59,14 +61,12 @@ def _runs(cls: str, full: str, more: str = "true") -> str:
 
 
 _BSN = "v <> '000000000' AND (" + " + ".join(f"({9 - i if i < 8 else -1}) * substr(v, {i + 1}, 1)::INT" for i in range(9)) + ") % 11 = 0"
-for _name in RULE:
+for _name in ("ipv4", "dutch_bsn", "email", "phone", "credit_card", "dutch_postcode"):  # the others do not occur in documents: see found_*
     _rule_query(
         _name,
         {
             "ipv4": f"SELECT doc_id, v FROM ({_IPV4})",
             "dutch_bsn": f"SELECT doc_id, v FROM (SELECT doc_id, v FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS v FROM documents) WHERE length(v) = 9) WHERE {_BSN}",
-            "time": _runs("[A-Za-z0-9:]", "([01][0-9]|2[0-3]):[0-5][0-9]"),
-            "general_date": f"SELECT doc_id, unnest(regexp_extract_all(text, '(?i){rules.DATE}')) AS v FROM documents",
         }.get(_name),
     )
 
@@ -133,18 +133,6 @@ def prepared_documents(spark: SparkSession, d: str) -> DataFrame:
     return prepare.prepare(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "status", "outcome", "safe_text", "reasons", "n_entities")
 
 
-@query("SELECT doc_id, sha256(text) AS restored_sha256 FROM documents WHERE false")
-def restore_faults(spark: SparkSession, d: str) -> DataFrame:
-    """Approved texts that don't come back from their tokens: none."""
-    p = prepare.prepare(table(spark, d, "documents").select("doc_id", "text")).filter("status = 'ok'")
-    return prepare.restore(p).filter("restored <> text").select("doc_id", F.sha2("restored", 256).alias("restored_sha256"))
-
-
-@query("SELECT doc_id, status FROM (SELECT doc_id, text AS status FROM documents) WHERE false")
-def output_invariants(spark: SparkSession, d: str) -> DataFrame:
-    return prepare.output_faults(prepare.prepare(table(spark, d, "documents").select("doc_id", "text"))).select("doc_id", "status")
-
-
 @query(f"SELECT * FROM {taxonomy.values_sql()}")
 def taxonomy_listing(spark: SparkSession, d: str) -> DataFrame:
     return taxonomy.category_listing(spark)
@@ -386,11 +374,6 @@ def latest_user_messages(spark: SparkSession, d: str) -> DataFrame:
     return conversations.latest_user_message(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"))
 
 
-@query("SELECT event_id, CASE WHEN event_type LIKE 'mcp\\_%' ESCAPE '\\' THEN true ELSE false END AS outbound FROM events")
-def outbound_tools(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", conversations.is_outbound(F.col("event_type")).alias("outbound"))
-
-
 @query()
 def safe_payloads(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
@@ -405,3 +388,120 @@ def synthetic_corpus(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def hourly_events(spark: SparkSession, d: str) -> DataFrame:
     return windowed_counts(table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+# --- rules on rows made for them: hits and near misses from keys ---
+
+
+def _keys(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+
+
+def _probe_query(name: str, p: probes.Probe, spans_of) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = _keys(spark, d).select("k", F.expr(p.text).alias("text"))
+        return detect.findings(rows.withColumn("c", spans_of(F.col("text"))), "c", "k").filter(F.col("rule") == p.rule).select("k", "start", "text")
+
+    QUERIES[name] = run
+    ORACLES[name] = probes.expected_sql(p)
+
+
+for _p, _label in zip(probes.LABEL_PROBES, rules.LABELS, strict=True):
+    _probe_query(f"label_{_label.name.removesuffix('_label')}", _p, lambda t, x=_label: detect.label_spans(t, x))
+for _p in probes.PLAIN_PROBES:
+    _probe_query(f"found_{_p.rule}", _p, lambda t, x=RULE[_p.rule]: detect.rule_spans(t, x))
+for _p, _f in zip(probes.OTHER_PROBES, (detect.prefix_spans, detect.creditor_spans, detect.secret_spans), strict=True):
+    _probe_query(f"found_{_p.rule}", _p, _f)
+
+
+def _scanned(spark: SparkSession, d: str, some: list[probes.Probe]) -> DataFrame:
+    """The Arrow stage over all rows made for rules: how many values each rule finds where it should."""
+    keys = _keys(spark, d)
+    own = [keys.select(F.lit(p.rule).alias("wanted"), F.expr(p.text).alias("text"), F.expr(p.value).alias("value"), F.expr(p.start).alias("at")) for p in some]
+    rows = reduce(DataFrame.unionAll, own)
+    found = detect.findings(detect.detect(rows), "candidates", "wanted", "value", "at").filter("rule = wanted AND text = value AND start = at")
+    return found.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query(probes.counts_sql(probes.LABEL_PROBES))
+def scanned_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _scanned(spark, d, probes.LABEL_PROBES)
+
+
+@query(probes.counts_sql([*probes.PLAIN_PROBES, *probes.OTHER_PROBES]))
+def scanned_rules(spark: SparkSession, d: str) -> DataFrame:
+    return _scanned(spark, d, [*probes.PLAIN_PROBES, *probes.OTHER_PROBES])
+
+
+_FIELDS = list(lexicon.FIELD_LABELS)
+_FIELD_SQL = f"({probes.choice('k', _FIELDS)})"
+_FIELD_TEXT = f"'Record ' || {probes.K} || '. ' || CASE WHEN k % 3 = 0 THEN 'Recorded ' ELSE '' END || {_FIELD_SQL} || CASE WHEN k % 5 = 0 THEN ' ' WHEN k % 2 = 0 THEN ': ' ELSE ' = ' END || CASE WHEN k % 11 = 0 THEN 'Nationality' ELSE 'Value' || {probes.K} END || ' Occupation: x'"
+
+
+@query(f"SELECT k, {probes.choice('k', lexicon.FIELD_LABELS.values())} AS category, 'Value' || {probes.K} AS text FROM (SELECT c_custkey AS k FROM customer) WHERE k % 5 <> 0 AND k % 11 <> 0")
+def special_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Values of special-category fields: bounded by the next header, refused if they are a header, led by a verb or not."""
+    found = prepare.assertions(_keys(spark, d).select("k", F.expr(_FIELD_TEXT).alias("text")), "k")
+    return found.select("k", "category", F.concat(F.lit("Value"), F.col("k").cast("string")).alias("text"), (F.col("end") - F.col("start")).alias("n")).filter("n = length(text)").drop("n")
+
+
+_CONCEPTS = [(c, x) for c, v in lexicon.CONCEPTS.items() for x in v if x not in lexicon.FIELD_LABELS and c in ("political_opinion", "religious_or_philosophical_belief", "trade_union_membership", "genetic_data", "health_data", "sexual_orientation", "racial_or_ethnic_origin")]
+_CONCEPTS = [(c, x) for c, x in _CONCEPTS if x not in lexicon.PARTNERS]
+_SAID = f"CASE WHEN k % 7 = 0 THEN 'The article says ' ELSE '' END || 'Maria Jansen ' || CASE WHEN k % 4 = 0 THEN 'is not ' WHEN k % 4 = 1 THEN 'saw ' ELSE 'is ' END || {probes.choice('k', [x for _, x in _CONCEPTS])} || '&#46;'"
+
+
+@query(f"SELECT k, {probes.choice('k', [c for c, _ in _CONCEPTS])} AS category, k % 4 = 0 AS negated, CAST(0 AS INT) AS start FROM (SELECT c_custkey AS k FROM customer) WHERE k % 7 <> 0 AND (k % 4 <> 1 OR {probes.choice('k', [x for _, x in _CONCEPTS])} IN ('DNA profile', 'DNA-profiel'))")
+def said_of_people(spark: SparkSession, d: str) -> DataFrame:
+    """Assertions about a named person, in texts whose full stop is written as a character reference."""
+    found = prepare.assertions(_keys(spark, d).select("k", F.expr(_SAID).alias("text")), "k")
+    return found.select("k", "category", "negated", "start")
+
+
+_CASES = (
+    # text, status, outcome, safe text
+    ("'Mail user' || {K} || '@example.com from 10.0.0.' || CAST(k % 200 AS STRING) || ' or user' || {K} || '@example.com'", "ok", "PSEUDONYMIZED", "'Mail [EMAIL_1] from [IPV4_1] or [EMAIL_1]'"),
+    ("'Nothing of note: row ' || {K} || '.'", "ok", "ALLOW", "'Nothing of note: row ' || {K} || '.'"),
+    ("'password: secret' || {K}", "blocked", "BLOCK", "CAST(NULL AS STRING)"),
+    ("'Religion: Taoist' || {K}", "review_required", "REVIEW", "CAST(NULL AS STRING)"),
+    ("'ACC-NL-' || lpad({K}, 5, '0') || ' is here. acc-nl- remains'", "blocked", "BLOCK", "CAST(NULL AS STRING)"),
+    ("'see [thing ' || {K} || '] there'", "blocked", "BLOCK", "CAST(NULL AS STRING)"),
+    ("'Passport' || '" + " " * 59 + "' || ': AB' || lpad({K}, 6, '0')", "ok", "PSEUDONYMIZED", "'Passport" + " " * 59 + ": [PASSPORT_NUMBER_1]'"),
+    ("'Name: Jan Smit' || chr(10) || 'Name: Smit'", "ok", "PSEUDONYMIZED", "'Name: [PERSON_1]' || chr(10) || 'Name: [PERSON_1]'"),
+    ("'The chemotherapy session ' || {K} || ' was moved'", "ok", "ALLOW", "'The chemotherapy session ' || {K} || ' was moved'"),
+)
+
+
+def _case(i: int) -> str:
+    return "CASE " + f"k % {len(_CASES)} " + " ".join(f"WHEN {n} THEN {c[i] if i in (0, 3) else repr(c[i])}" for n, c in enumerate(_CASES)).replace("{K}", probes.K) + " END"
+
+
+@query(f"SELECT k, {_case(1)} AS status, {_case(2)} AS outcome, {_case(3)} AS safe_text FROM (SELECT c_custkey AS k FROM customer)")
+def prepared_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of every status, with the safe text that each must give."""
+    return prepare.prepare(_keys(spark, d).select("k", F.expr(_case(0)).alias("text"))).select("k", "status", "outcome", "safe_text")
+
+
+@query(f"SELECT k, {_case(0)} AS restored FROM (SELECT c_custkey AS k FROM customer) WHERE k % {len(_CASES)} IN (0, 1, 6, 8) UNION ALL SELECT k, 'Name: Jan Smit' || chr(10) || 'Name: Jan Smit' FROM (SELECT c_custkey AS k FROM customer) WHERE k % {len(_CASES)} = 7")
+def restored_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Approved texts with their tokens put back; an alias comes back as the name its token stands for."""
+    p = prepare.prepare(_keys(spark, d).select("k", F.expr(_case(0)).alias("text"))).filter("status = 'ok'")
+    return prepare.restore(p).select("k", "restored")
+
+
+@query(f"SELECT {_case(1)} AS status, {_case(2)} AS outcome, count(*) AS n, count(*) FILTER (WHERE {_case(3)} IS NULL) AS n_withheld FROM (SELECT c_custkey AS k FROM customer) GROUP BY ALL")
+def output_states(spark: SparkSession, d: str) -> DataFrame:
+    """Statuses and outcomes with the texts withheld: exactly those not approved; rows that break an invariant drop out."""
+    p = prepare.prepare(_keys(spark, d).select("k", F.expr(_case(0)).alias("text")))
+    sound = p.join(prepare.output_faults(p).select("k"), "k", "left_anti")
+    return sound.groupBy("status", "outcome").agg(F.count("*").alias("n"), F.count(F.when(F.col("safe_text").isNull(), 1)).alias("n_withheld"))
+
+
+_TOOLS = ("mcp__mail__send", "mcp_send", "WebFetch", "webfetch", "WebSearch", "google_search", "Read", "Bash", "http_get", "list_files", "connect_db", "Edit")
+
+
+@query("""SELECT event_id, tool, tool IN ('mcp__mail__send', 'WebFetch', 'WebSearch') AS named, tool NOT IN ('Read', 'Bash', 'list_files', 'Edit') AS marked
+FROM (SELECT event_id, """ + probes.choice("event_id", _TOOLS) + """ AS tool FROM events)""")
+def outbound_tools(spark: SparkSession, d: str) -> DataFrame:
+    tool = F.expr(probes.choice("event_id", _TOOLS))
+    e = table(spark, d, "events").select("event_id", tool.alias("tool"))
+    return e.select("event_id", "tool", conversations.is_outbound(F.col("tool")).alias("named"), conversations.is_outbound(F.col("tool"), "marked").alias("marked"))

@@ -43,7 +43,7 @@ class Policy:
     blocked: tuple[str, ...] = ()
     disabled: tuple[str, ...] = ()
     always_review: tuple[str, ...] = ()
-    low_confidence_review: tuple[str, ...] = ()
+    low_confidence_review: tuple[str, ...] = (*tax.CRITICAL, *tax.SPECIAL)
     redaction: str = "typed_tokens"
     block_on_unreviewed: bool = True
     built_in: bool = True

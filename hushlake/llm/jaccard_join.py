@@ -16,8 +16,10 @@ from .components import components
 
 #: Sizes in one band differ by less than this factor.
 BAND = 1.5
-#: Groups beyond those that a linked pair can differ in; a set with more empty groups offers these as well.
-SPARE = 2
+#: Groups beyond those that a linked pair can differ in: at least so many, and one for so many differences.
+SPARE, PER_SPARE = 2, 8
+#: Low bits of a key that tell its band.
+BAND_BITS = 7
 #: Sets up to FINE tokens have more groups than tokens, larger ones a group for about four.
 FINE = 4096
 #: Points in a leaf of the R-tree, children of its inner nodes, and numbers compared at a time.
@@ -44,10 +46,11 @@ class Rule:
         h = hashes.array(words)
         return np.unique(grams(h, min(self.k, len(h)))) if len(h) else np.zeros(0, np.uint64)
 
-    def groups(self, band: int) -> int:
-        """Groups of a band: more than the elements in which a pair can differ whose smaller set lies in the band."""
+    def spare(self, band: int) -> tuple[int, int]:
+        """(elements in which a pair can differ whose smaller set lies in the band, groups beyond those)."""
         top = int(self.edges[band + 1]) - 1
-        return (top + top * self.den // self.num) * (self.den - self.num) // (self.den + self.num) + 1 + SPARE
+        differ = (top + top * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
+        return differ, max(SPARE, differ // PER_SPARE)
 
     def bands(self, n: int) -> list[int]:
         """The own band, and lower ones with sets small enough for a partner of this size."""
@@ -58,19 +61,26 @@ class Rule:
             out.append(b)
         return out
 
-    def keys(self, h: np.ndarray) -> np.ndarray:
-        """A key for each group of the set. In a band of D possible differences there are D + 1 + SPARE groups, so that
-        linked sets agree in over SPARE of them, and share a key even if up to SPARE of these are empty."""
+    def keys(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, needs): a key for each group of the set in each of its bands, and how many keys of a band it has in common
+        with any linked set, as need << BAND_BITS | band.
+
+        In a band of D possible differences there are D + 1 + spare groups, so that linked sets agree in over spare of them.
+        Empty groups give no key, unless there are more of them than spare: then all do, and one common key is certain.
+        """
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(0x2545F491)))])
-        out = []
+        out, needs = [], []
         for band in self.bands(len(h)):
-            cut = np.concatenate([[0], np.searchsorted(h, _cuts(self.groups(band))), [len(h)]])
+            differ, spare = self.spare(band)
+            cut = np.concatenate([[0], np.searchsorted(h, _cuts(differ + 1 + spare)), [len(h)]])
             content = sums[cut[1:]] - sums[cut[:-1]]
             size = np.diff(cut)
             place = np.arange(len(size), dtype=np.uint64) + np.uint64((band + 1) << 40)
-            key = mix(content + mix(place) + size.astype(np.uint64))
-            out.append(key if (size == 0).sum() > SPARE else key[size > 0])
-        return np.concatenate(out)
+            key = mix(content + mix(place) + size.astype(np.uint64)) >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | np.uint64(band)
+            empty = int((size == 0).sum())
+            out.append(key if empty > spare else key[size > 0])
+            needs.append((1 if empty > spare else spare + 1 - empty) << BAND_BITS | band)
+        return np.concatenate(out), np.array(needs, np.int64)
 
     @staticmethod
     def bits(n) -> np.ndarray:
@@ -125,48 +135,63 @@ def _overlap(a: np.ndarray, over_a: np.ndarray, b: np.ndarray, over_b: np.ndarra
 
 
 def _profiles(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(m, doc_id, h, n, c, rep, vec, keys) per row: its number, its text's and its set's hash, set size, the row of the
-    same task that has the same set first; for those first ones the counts of token groups and the keys."""
+    """(m, doc_id, h, n, c, rep, vec, keys, needs) per row: its number, its text's and its set's hash, set size, the row of the
+    same task that has the same set first; for those first ones the counts of token groups, the keys, and the
+    needs of its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, first = WordHash(), {}
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         for b in batches:
             rows = []
             for m, doc, h, t in zip(*(b.column(i).to_pylist() for i in range(3)), texts(b), strict=True):
                 s = rule.shingles(t, hashes)
                 if doc is None or not len(s):
-                    rows.append((m, doc, h, len(s), None, None, None, None))
+                    rows.append((m, doc, h, len(s), None, None, None, None, None))
                     continue
                 c = int(mix(s).sum().view(np.int64))
                 if len(first) > REMEMBERED:
                     first.clear()
                 rep = first.setdefault((c, len(s)), m)
-                rows.append((m, doc, h, len(s), c, rep, *((rule.counts(s), rule.keys(s).view(np.int64)) if rep == m else (None, None))))
+                keys, needs = rule.keys(s) if rep == m else (None, None)
+                rows.append((m, doc, h, len(s), c, rep, *((rule.counts(s), keys.view(np.int64), needs) if rep == m else (None, None, None))))
             cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["m", "doc_id", "h", "n", "c", "rep", "vec", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["m", "doc_id", "h", "n", "c", "rep", "vec", "keys", "needs"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("m"), "doc_id", F.xxhash64("text").alias("h"), "text")
-    return rows.mapInArrow(run, "m long, doc_id long, h long, n int, c long, rep long, vec binary, keys array<long>")
+    return rows.mapInArrow(run, "m long, doc_id long, h long, n int, c long, rep long, vec binary, keys array<long>, needs array<long>")
 
 
-def _stars(keyed: DataFrame) -> DataFrame:
-    """(key, m, lead) for every member of a bucket but its first, lead: rows come sorted and stream by."""
+def _met(keyed: DataFrame) -> DataFrame:
+    """(key, m) of every member of a bucket of two and more: rows come sorted and stream by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = lead = None
+        held = None  # the last row, if nothing says yet whether its bucket has another
+        last = None
         for b in batches:
             key, m = b.column(0).to_numpy(), b.column(1).to_numpy()
             if not len(key):
                 continue
-            new = np.concatenate([[key[0] != last], key[1:] != key[:-1]])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            leads = np.where(first >= 0, m[np.maximum(first, 0)], lead if lead is not None else 0)
-            last, lead = key[-1], leads[-1]
-            keep = leads != m
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(m[keep]), pa.array(leads[keep])], names=["key", "m", "lead"])
+            if held is not None:
+                key, m = np.concatenate([[held[0]], key]), np.concatenate([[held[1]], m])
+            same = np.concatenate([[key[0] == last], key[1:] == key[:-1]])
+            keep = same.copy()
+            keep[:-1] |= same[1:]
+            held = None if keep[-1] else (key[-1], m[-1])
+            last = key[-1] if keep[-1] else None
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(m[keep])], names=["key", "m"])
+
+    return keyed.repartition("key").sortWithinPartitions("key", "m").mapInArrow(run, "key long, m long")
+
 
-    return keyed.repartition("key").sortWithinPartitions("key", "m").mapInArrow(run, "key long, m long, lead long")
+def _stars(met: DataFrame, needs: DataFrame) -> DataFrame:
+    """(key, m, lead) for every member of a bucket but its first, lead, as far as rows meet others in as many buckets of a
+    band as they must to be linked with any."""
+    band = (F.col("key").bitwiseAND((1 << BAND_BITS) - 1)).alias("band")
+    enough = met.groupBy("m", band).agg(F.count("*").alias("n")).join(needs, ["m", "band"]).filter("n >= need").select("m", "band")
+    own = written(met.select("key", "m", band).join(enough, ["m", "band"], "left_semi").select("key", "m"))
+    first = own.groupBy("key").agg(F.min("m").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("key", "lead")
+    return own.join(first, "key").filter("m > lead").select("key", "m", "lead")
 
 
 def _sets(pairs: DataFrame, docs: DataFrame, points: DataFrame, rule: Rule) -> DataFrame:
@@ -316,10 +341,14 @@ def linked_rows(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     prof = written(_profiles(docs, rule))
+    met = written(_met(prof.filter("m = rep").select(F.explode("keys").alias("key"), "m")))
     slim = written(prof.select("doc_id", "h", "n", "rep"))
-    points = written(prof.filter("m = rep").select("m", "doc_id", "n", "c", "vec"))
-    stars = written(_stars(prof.filter("m = rep").select(F.explode("keys").alias("key"), "m")))
+    points = written(prof.filter("m = rep").select("m", "doc_id", "n", "c", "vec", "needs"))
     discard(prof)
+    need = F.explode("needs").alias("x")
+    needs = points.select("m", need).select("m", F.col("x").bitwiseAND((1 << BAND_BITS) - 1).alias("band"), F.shiftright("x", BAND_BITS).alias("need"))
+    stars = written(_stars(met, needs))
+    discard(met)
     # rows of several tasks with one set: the first stands for all
     least = points.groupBy("c", "n").agg(F.min("m").alias("r"))
     copies = written(points.select("m", "c", "n").join(least, ["c", "n"]).filter("m > r").select("m", "r"))

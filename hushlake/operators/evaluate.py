@@ -172,22 +172,58 @@ def confusion(expected: DataFrame, actual: DataFrame, types: list[str]) -> DataF
     return j.groupBy("expected").pivot("actual", types).count().fillna(0)
 
 
-RELEASE_GROUP = """CASE WHEN split = 'fresh' THEN 'fresh_seed' WHEN transformation = 'original' THEN 'clean_reference'
-WHEN support = 'supported' THEN 'supported_adversarial' WHEN support = 'partial' THEN 'partially_supported' ELSE 'unsupported_challenge' END"""
+# Release groups, and transformations that normalisation undoes.
+RELEASE_GROUPS = ("standard_clean", "negative_controls", "supported_adversarial", "partially_supported_adversarial", "unsupported_challenge")
+RELEASE_GROUP = """CASE WHEN n_entities = 0 THEN 'negative_controls' WHEN transformation = 'original' THEN 'standard_clean' WHEN support = 'supported' THEN 'supported_adversarial'
+WHEN support = 'partial' THEN 'partially_supported_adversarial' WHEN support = 'deliberately_unsupported' THEN 'unsupported_challenge' END"""
 
 
 def release_group(samples: DataFrame) -> DataFrame:
+    """samples (n_entities, transformation, support, ...) with the one group that each counts in."""
     return samples.withColumn("release_group", F.expr(RELEASE_GROUP))
 
 
 def failures(expected: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Each expected span that isn't matched exactly, and why: missed, wrong_category, partial or oversized."""
-    p = predicted.select("doc_id", F.col("start").alias("ps"), F.col("end").alias("pe"), F.col("label").alias("pl"))
-    j = expected.join(p, (expected.doc_id == p.doc_id) & (p.ps < expected.end) & (expected.start < p.pe), "left").drop(p.doc_id)
-    same, exact = F.col("pl") == F.col("label"), (F.col("ps") == F.col("start")) & (F.col("pe") == F.col("end"))
-    covers = (F.col("ps") <= F.col("start")) & (F.col("pe") >= F.col("end"))
-    f = j.groupBy(*SPAN_KEY).agg(*[F.coalesce(F.max(c), F.lit(False)).alias(n) for n, c in (("exact", same & exact), ("any", F.col("ps").isNotNull()), ("same", same), ("covered", same & covers))])
-    return f.filter(~F.col("exact")).select(*SPAN_KEY, F.when(~F.col("any"), "missed").when(~F.col("same"), "wrong_category").when(F.col("covered"), "oversized").otherwise("partial").alias("failure"))
+    """(doc_id, failure) once a kind and document, from both sides.
+
+    Expected spans are matched one to one: exactly, and by overlap of the same label. One without an exact match is an
+    oversized or partial span if it has an overlapping match, has a wrong category if something overlaps it, else it is
+    missed. Predictions without an exact match conflict with what they overlap, are of a wrong category if none of that
+    has their label, and unexpected if they overlap nothing and come once. Equal predictions are duplicates.
+    """
+    e = expected.select(*SPAN_KEY).withColumn("ei", F.row_number().over(Window.partitionBy(*SPAN_KEY).orderBy(F.lit(1))))
+    p = predicted.select(*SPAN_KEY).withColumn("pi", F.row_number().over(Window.partitionBy(*SPAN_KEY).orderBy(F.lit(1))))
+    # of equal spans the nth expected one meets the nth predicted one
+    e_open = e.join(p.withColumnRenamed("pi", "ei"), [*SPAN_KEY, "ei"], "left_anti")
+    p_open = p.join(e.withColumnRenamed("ei", "pi"), [*SPAN_KEY, "pi"], "left_anti")
+    relaxed = greedy_matches(expected, predicted).select("doc_id", F.col("e_start").alias("start"), F.col("e_end").alias("end"), F.col("e_label").alias("label"), "p_start", "p_end")
+    relaxed = relaxed.filter("NOT (start = p_start AND end = p_end)")
+    relaxed = relaxed.withColumn("ri", F.row_number().over(Window.partitionBy(*SPAN_KEY).orderBy("p_start", "p_end")))
+    left = e_open.withColumn("ri", F.row_number().over(Window.partitionBy(*SPAN_KEY).orderBy("ei"))).join(relaxed, [*SPAN_KEY, "ri"], "left")
+    some = predicted.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("t"), F.col("label").alias("l"))
+    meets = (F.col("doc_id") == F.col("d")) & (F.col("s") < F.col("end")) & (F.col("start") < F.col("t"))
+    touched = e_open.select(*SPAN_KEY).distinct().join(some, meets, "left_semi").withColumn("touched", F.lit(True))
+    found = left.join(touched, SPAN_KEY, "left")
+    wide = (F.col("p_start") <= F.col("start")) & (F.col("p_end") >= F.col("end"))
+    kinds = F.when(F.col("p_start").isNotNull(), F.when(wide, F.array(F.lit("oversized_span"))).otherwise(F.array(F.lit("partial_span"))))
+    kinds = kinds.when(F.col("touched"), F.array(F.lit("wrong_category"), F.lit("overlapping_prediction_conflict"))).otherwise(F.array(F.lit("missed_entity")))
+    ours = found.select("doc_id", F.explode(kinds).alias("failure"))
+    truth = expected.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("t"), F.col("label").alias("l"))
+    over = p_open.select(*SPAN_KEY).distinct().join(truth, meets, "left").groupBy(*SPAN_KEY).agg(F.count("d").alias("n"), F.max(F.col("l") == F.col("label")).alias("same"))
+    many = predicted.groupBy(*SPAN_KEY).agg(F.count("*").alias("times"))
+    over = over.join(many, SPAN_KEY)
+    theirs = F.when(F.col("n") > 0, F.when(F.col("same"), F.array(F.lit("overlapping_prediction_conflict"))).otherwise(F.array(F.lit("wrong_category"), F.lit("overlapping_prediction_conflict"))))
+    theirs = theirs.when(F.col("times") == 1, F.array(F.lit("unexpected_false_positive"))).otherwise(F.array().cast("array<string>"))
+    again = many.filter("times > 1").select("doc_id", F.lit("duplicate_prediction").alias("failure"))
+    return ours.unionByName(over.select("doc_id", F.explode(theirs).alias("failure"))).unionByName(again).distinct()
+
+
+def sample_failures(kinds: DataFrame, samples: DataFrame, normalising: tuple[str, ...]) -> DataFrame:
+    """failures() and what they come to for a sample's transformation: unsupported, or a fault of normalisation."""
+    own = kinds.join(samples.select("doc_id", "transformation", "support"), "doc_id")
+    unsupported = own.filter("support = 'deliberately_unsupported'").select("doc_id", F.lit("unsupported_transformation").alias("failure"))
+    missed = own.filter(F.col("failure").isin("missed_entity", "partial_span", "oversized_span") & F.col("transformation").isin(*normalising))
+    return kinds.unionByName(unsupported).unionByName(missed.select("doc_id", F.lit("normalization_failure").alias("failure"))).distinct()
 
 
 def with_expected_keys(metrics: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -210,16 +246,19 @@ def error_ranking(per_label: DataFrame, which: str) -> DataFrame:
 
 
 def boundary_only(expected: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Documents whose every failure is a matter of boundaries."""
+    """Documents with failures, and whether all of them are a matter of boundaries."""
     f = failures(expected, predicted)
-    return f.groupBy("doc_id").agg(F.min(F.col("failure").isin("partial", "oversized")).alias("boundary_only"), F.count("*").alias("n_failures"))
+    return f.groupBy("doc_id").agg(F.min(F.col("failure").isin("partial_span", "oversized_span", "overlapping_prediction_conflict")).alias("boundary_only"), F.count("*").alias("n_failures"))
 
 
 def latency_summary(samples: DataFrame, by: str, value: str) -> DataFrame:
-    """Median, floor-index 95th percentile, minimum and maximum."""
-    v = F.array_sort(F.collect_list(value))
-    g = samples.groupBy(by).agg(F.percentile(value, 0.5).alias("median"), v.alias("v"), F.min(value).alias("least"), F.max(value).alias("most"))
-    return g.select(by, "median", F.element_at("v", F.floor((F.size("v") - 1) * 0.95).cast("int") + 1).alias("p95"), "least", "most")
+    """Median, floor-index 95th percentile, minimum and maximum; values are ranked, not gathered. Nulls don't count."""
+    own = samples.filter(F.col(value).isNotNull())
+    size = own.groupBy(by).agg(F.count("*").alias("__n"), F.percentile(value, 0.5).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
+    rank = own.groupBy(by, value).agg(F.count("*").alias("__c"))
+    upto = rank.withColumn("__u", F.sum("__c").over(Window.partitionBy(by).orderBy(value)))
+    at = upto.join(size, by).filter(F.col("__u") > F.floor((F.col("__n") - 1) * 0.95))
+    return at.groupBy(by, "median", "least", "most").agg(F.min(value).alias("p95")).select(by, "median", "p95", "least", "most")
 
 
 def ratcliff(pairs: DataFrame, a: str, b: str, out: str = "ratio") -> DataFrame:

@@ -89,6 +89,51 @@ def orphans(samples: DataFrame, key: str, parent: str) -> DataFrame:
     return samples.filter(F.col(parent).isNotNull()).join(samples.select(F.col(key).alias(parent)).distinct(), parent, "left_anti")
 
 
+def integrity_checks(samples: DataFrame, annotations: DataFrame, counts: DataFrame, support: dict[str, str], actions: dict[str, str], n_mixed: int, allowed: list[str]) -> DataFrame:
+    """(name, passed) of the twelve checks of an annotated corpus; a corpus without rows passes all that hold for each row.
+
+    samples: doc_id, text, transformation, support, semantics_kept; annotations: doc_id, start, end, entity_type, action,
+    span_text; counts: doc_id, tp_exact, tp_relaxed, support_exact, support_relaxed, n_duplicates; n_mixed is the number of
+    documents with several types that the manifest states; allowed are the texts that negative samples are made of.
+    """
+    a = annotations.join(samples.select("doc_id", "text", "transformation", "support", "semantics_kept"), "doc_id")
+    cut_ = F.expr("substring(text, start + 1, end - start)")
+    per = annotations.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("entity_type").alias("kinds"))
+    s = samples.join(per, "doc_id", "left").fillna(0, ["n", "kinds"])
+    known = F.create_map(*[F.lit(x) for kv in support.items() for x in kv])
+    right = F.create_map(*[F.lit(x) for kv in actions.items() for x in kv])
+    clean, n0 = F.col("transformation") == "original", F.col("n") == 0
+    flags = [n0, ~n0 & clean, ~n0 & ~clean & (F.col("support") == "supported"), ~n0 & (F.col("support") == "partial"), ~n0 & (F.col("support") == "deliberately_unsupported")]
+    groups = sum((F.coalesce(f, F.lit(False)).cast("int") for f in flags), F.lit(0))
+    from_allowed = F.lit(False)
+    for t in allowed:
+        from_allowed = from_allowed | F.col("text").contains(t)
+    every = lambda c: F.coalesce(F.bool_and(F.coalesce(c, F.lit(False))), F.lit(True))
+    one = a.agg(
+        every(cut_ == F.col("span_text")).alias("every_expected_span_matches_source_substring"),
+        every((F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= F.length("text"))).alias("unicode_codepoint_offsets_are_correct"),
+        every(clean | (cut_ == F.col("span_text"))).alias("transformations_update_annotations"),
+        every(F.array_contains(F.map_keys(right), F.col("entity_type"))).alias("expected_categories_match_detector_taxonomy"),
+        every(F.try_element_at(right, F.col("entity_type")) == F.col("action")).alias("annotation_actions_match_taxonomy"),
+    )
+    two = s.agg(
+        every(clean | F.col("semantics_kept")).alias("transformed_records_preserve_expected_semantics"),
+        every(~n0 | from_allowed).alias("negative_records_have_no_accidental_generated_entity"),
+        every(clean | (F.try_element_at(known, F.col("transformation")) == F.col("support"))).alias("unsupported_transformations_are_labeled_correctly"),
+        every(groups == 1).alias("release_scoring_groups_are_mutually_exclusive"),
+        (F.count(F.when(F.col("kinds") > 1, 1)) == n_mixed).alias("mixed_entity_documents_are_counted_once"),
+    )
+    sized = counts.join(s.select("doc_id", "n"), "doc_id")
+    three = sized.agg(
+        every((F.col("tp_relaxed") >= F.col("tp_exact")) & (F.col("support_exact") == F.col("n")) & (F.col("support_relaxed") == F.col("n"))).alias("exact_and_relaxed_span_math_is_correct"),
+        every(F.col("n_duplicates") >= 0).alias("duplicate_predictions_do_not_inflate_false_positives"),
+    )
+    names = [c for t in (one, two, three) for c in t.columns]
+    rows = [t.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("passed")) for c in t.columns])).alias("x")).select("x.*") for t in (one, two, three)]
+    assert len(names) == 12
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 def booleans(samples: DataFrame) -> DataFrame:
     """Corpus-wide predicates in one pass."""
     return samples.agg(

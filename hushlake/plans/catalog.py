@@ -330,14 +330,71 @@ def confusion(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.confusion(e, p, ["A", "N", "R", "X"])
 
 
-@query(f"""{_WITH}, j AS (SELECT e.doc_id, e.start, e."end", e.label, p.start AS ps, p."end" AS pe, p.label AS pl FROM e LEFT JOIN p ON e.doc_id = p.doc_id AND p.start < e."end" AND e.start < p."end"),
-f AS (SELECT doc_id, start, "end", label, coalesce(bool_or(pl = label AND ps = start AND pe = "end"), false) AS ex, bool_or(ps IS NOT NULL) AS hit, coalesce(bool_or(pl = label), false) AS same,
-coalesce(bool_or(pl = label AND ps <= start AND pe >= "end"), false) AS cov FROM j GROUP BY ALL)
-SELECT doc_id, start, "end", label, CASE WHEN NOT hit THEN 'missed' WHEN NOT same THEN 'wrong_category' WHEN cov THEN 'oversized' ELSE 'partial' END AS failure FROM f WHERE NOT ex""")
+# Lines are 20 apart, so a prediction overlaps expected spans of its own line number alone: each kind follows from the line's
+# own shift and label, and from equal predictions.
+_LINES = """SELECT l_orderkey AS doc_id, l_partkey % 5 = 0 AS shifted, l_suppkey % 7 = 0 AS other FROM lineitem"""
+
+
+@query(f"""WITH l AS ({_LINES}) SELECT DISTINCT doc_id, unnest(CASE WHEN other THEN ['wrong_category', 'overlapping_prediction_conflict'] WHEN shifted THEN ['partial_span', 'overlapping_prediction_conflict'] ELSE [] END) AS failure FROM l
+UNION SELECT doc_id, 'duplicate_prediction' FROM ({_P}) GROUP BY doc_id, start, "end", label HAVING count(*) > 1""")
 def failures(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.failures(*_spans(spark, d))
 
 
+@query("""SELECT k AS doc_id, unnest(CASE k % 8 WHEN 0 THEN ['missed_entity'] WHEN 1 THEN [] WHEN 2 THEN ['partial_span', 'overlapping_prediction_conflict'] WHEN 3 THEN ['oversized_span', 'overlapping_prediction_conflict']
+WHEN 4 THEN ['wrong_category', 'overlapping_prediction_conflict'] WHEN 5 THEN ['unexpected_false_positive'] WHEN 6 THEN ['duplicate_prediction', 'overlapping_prediction_conflict'] ELSE ['missed_entity', 'unexpected_false_positive'] END
+|| CASE WHEN k % 3 = 0 AND k % 8 <> 1 THEN ['unsupported_transformation'] ELSE [] END || CASE WHEN k % 3 = 1 AND k % 8 IN (0, 2, 3, 7) THEN ['normalization_failure'] ELSE [] END) AS failure FROM (SELECT o_orderkey AS k FROM orders)""")
+def failure_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Every kind of failure, from one expected span a document and predictions made from its key."""
+    k = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    span = lambda a, b, x: f"named_struct('start', {a}, 'end', {b}, 'label', '{x}')"
+    right, part, wide, other, far = span(10, 20, "a"), span(12, 20, "a"), span(8, 25, "a"), span(10, 20, "b"), span(40, 50, "a")
+    kinds = [(), (right,), (part,), (wide,), (other,), (right, far), (right, right), (far,)]
+    made = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN array({', '.join(x)})" for i, x in enumerate(kinds) if x) + " END"
+    e = k.select("doc_id", F.lit(10).alias("start"), F.lit(20).alias("end"), F.lit("a").alias("label"))
+    p = k.select("doc_id", F.explode(F.expr(made)).alias("s")).select("doc_id", "s.*")
+    support = F.when(F.col("doc_id") % 3 == 0, "deliberately_unsupported").otherwise("supported")
+    samples = k.select("doc_id", F.when(F.col("doc_id") % 3 == 1, "fullwidth").otherwise("original").alias("transformation"), support.alias("support"))
+    return evaluate.sample_failures(evaluate.failures(e, p), samples, ("fullwidth",))
+
+
+@query("""SELECT CASE k % 6 WHEN 0 THEN 'negative_controls' WHEN 1 THEN 'standard_clean' WHEN 2 THEN 'supported_adversarial' WHEN 3 THEN 'partially_supported_adversarial' WHEN 4 THEN 'unsupported_challenge' ELSE 'negative_controls' END AS release_group,
+count(*) AS n FROM (SELECT o_orderkey AS k FROM orders) GROUP BY ALL""")
+def release_groups(spark: SparkSession, d: str) -> DataFrame:
+    k = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
+    six = F.col("k") % 6
+    kind = F.when(six == 2, "supported").when(six == 3, "partial").when(six == 4, "deliberately_unsupported").otherwise("supported")
+    own = k.select(F.when(six.isin(0, 5), 0).otherwise(2).alias("n_entities"), F.when(six.isin(0, 1), "original").otherwise("fullwidth").alias("transformation"), kind.alias("support"))
+    return evaluate.release_group(own).groupBy("release_group").agg(F.count("*").alias("n"))
+
+
+_CHECKS = ("every_expected_span_matches_source_substring", "unicode_codepoint_offsets_are_correct", "transformations_update_annotations", "transformed_records_preserve_expected_semantics", "negative_records_have_no_accidental_generated_entity", "unsupported_transformations_are_labeled_correctly", "release_scoring_groups_are_mutually_exclusive", "exact_and_relaxed_span_math_is_correct", "mixed_entity_documents_are_counted_once", "duplicate_predictions_do_not_inflate_false_positives", "expected_categories_match_detector_taxonomy", "annotation_actions_match_taxonomy")
+_FAULTY = ("transformations_update_annotations", "annotation_actions_match_taxonomy", "unsupported_transformations_are_labeled_correctly", "unicode_codepoint_offsets_are_correct", "every_expected_span_matches_source_substring", "negative_records_have_no_accidental_generated_entity")
+
+
+@query(" UNION ALL ".join(f"SELECT {faulty} AS faulty, '{c}' AS name, {'true' if not faulty else 'false' if c in _FAULTY else 'true'} AS passed" for faulty in (False, True) for c in _CHECKS))
+def corpus_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The twelve checks on a sound corpus made from keys, and on the same with five kinds of fault in it."""
+    out = []
+    for faulty in (False, True):
+        k = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(faulty).alias("faulty"))
+        some = F.col("faulty") & (F.col("doc_id") % 10 == 1)
+        none = F.col("doc_id") % 5 == 0
+        wrong = F.col("faulty") & (F.col("doc_id") % 20 == 5)
+        text = F.when(none, F.when(wrong, "something made up").otherwise("nothing to see")).otherwise(F.concat(F.lit("mail 🙂 a"), F.col("doc_id").cast("string"), F.lit("@x.org")))
+        turned = F.col("doc_id") % 2 == 0
+        kind = F.when(some & ~turned, "unheard").when(turned, "fullwidth").otherwise("original")
+        samples = k.select("doc_id", text.alias("text"), kind.alias("transformation"), F.lit("supported").alias("support"), F.lit(True).alias("semantics_kept"))
+        own = samples.join(k.filter(~none).select("doc_id", some.alias("bad")), "doc_id")
+        value = F.expr("substring(text, 8)")
+        annotations = own.select("doc_id", F.lit(7).alias("start"), (F.length("text") + F.when(F.col("bad"), 1).otherwise(0)).alias("end"), F.lit("email").alias("entity_type"), F.when(F.col("bad"), "allow").otherwise("redact").alias("action"), F.when(F.col("bad"), "other").otherwise(value).alias("span_text"))
+        n = F.when(none, 0).otherwise(1)
+        counts = k.select("doc_id", n.alias("tp_exact"), n.alias("tp_relaxed"), n.alias("support_exact"), n.alias("support_relaxed"), F.lit(0).alias("n_duplicates"))
+        checks = integrity.integrity_checks(samples, annotations, counts, {"fullwidth": "supported"}, {"email": "redact"}, 0, ["nothing to see"])
+        out.append(checks.select(F.lit(faulty).alias("faulty"), "name", "passed"))
+    return out[0].unionByName(out[1])
+
+
 @query(f"{_EXACT} SELECT label, sum(fn)::BIGINT AS n FROM x GROUP BY label HAVING sum(fn) > 0")
 def missed_ranking(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.error_ranking(label_metrics(spark, d), "fn")

@@ -274,7 +274,8 @@ def fitted_weights() -> tuple[float, ...]:
 
 def extract_text(pages: DataFrame, weights: tuple[float, ...] | None = None) -> DataFrame:
     """pages with text, the main text of html. Null, empty and article-less pages give ''. Cut-off tags, comments and
-    elements end with the page. Repeated rows each get their text. Other columns stay; one named text gives way."""
+    elements end with the page. Repeated rows each get their text; an empty table gives an empty
+    table. Other columns stay; one named text gives way."""
     small_batches(pages.sparkSession)
     pages = without(pages, ["text"])
     w = np.array(weights or fitted_weights())

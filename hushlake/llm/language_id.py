@@ -187,7 +187,8 @@ def training_samples(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN
 def identify(docs: DataFrame, field: Field) -> DataFrame:
     """docs with lang_pred and score. The label with most posterior mass over all words of the whole text wins, ties
     going to the first in order; the score is its share. Null texts and texts without a letter give 'und' and 0; so
-    does a field without labels. Other columns stay; those named lang_pred or score give way."""
+    does a field without labels. Repeated rows each get their language; an empty table gives an empty table. Chains begin anew
+    every CHAIN words. Other columns stay; those named lang_pred or score give way."""
     small_batches(docs.sparkSession)
     docs = without(docs, ["lang_pred", "score"])
     sent = docs.sparkSession.sparkContext.broadcast(field)  # BUCKETS floats a language

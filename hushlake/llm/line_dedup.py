@@ -30,20 +30,32 @@ def _digests(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), np.uint64).reshape(-1, 2)
 
 
-def line_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
-    """(h, f, n): in how many documents each line key occurs. Keys of one document count once; Spark sums map-side first."""
+def _line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, h, f) of the distinct line keys of every row."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = []
+            parts, sizes = [np.empty((0, 2), np.uint64)], []
             for t in texts(b):
                 own = {k for k in _keys(t) if len(k) >= min_chars and (min_chars == 1 or len(k.decode("utf-8", "replace")) >= min_chars)}
+                sizes.append(len(own))
                 if own:
                     parts.append(_digests(list(own)))
-            d = np.concatenate(parts) if parts else np.empty((0, 2), np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(d[:, i]).view(np.int64)) for i in (0, 1)], names=["h", "f"])
+            d = np.concatenate(parts)
+            doc = b.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            yield pa.RecordBatch.from_arrays([doc, *(pa.array(np.ascontiguousarray(d[:, i]).view(np.int64)) for i in (0, 1))], names=["doc_id", "h", "f"])
+
+    return docs.mapInArrow(emit, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, f long")
 
-    return docs.select("text").mapInArrow(emit, "h long, f long").groupBy("h", "f").agg(F.count("*").alias("n"))
+
+def line_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
+    """(h, f, n): in how many documents each line key occurs; Spark sums map-side first. Rows that share a doc_id are one
+    document: what its further rows count too much is taken off again, so that ids needn't travel with all lines."""
+    docs = docs.select("doc_id", "text") if "doc_id" in docs.columns else docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    rows = _line_hashes(docs, min_chars).select("h", "f", F.lit(1).alias("n"))
+    several = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    again = _line_hashes(docs.join(several, "doc_id", "left_semi"), min_chars).groupBy("doc_id", "h", "f").agg((1 - F.count("*")).cast("int").alias("n"))
+    return rows.unionByName(again.filter("n < 0").select("h", "f", "n")).groupBy("h", "f").agg(F.sum("n").alias("n"))
 
 
 def line_index(docs: DataFrame, min_docs: int, min_chars: int) -> tuple[DataFrame, int, int]:
@@ -112,7 +124,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadca
     """docs with text less every line whose key is found in at least min_docs documents, and n_lines, n_dropped.
 
     A key is the line stripped of white space at both ends, A-Z lower-cased; keys under min_chars code points stay.
-    Null and empty texts have one empty line and come back as ''. Repeated rows each count as a document. Other columns
+    Null and empty texts have one empty line and come back as ''. Rows that share a doc_id count as
+    one document, those without one each for themselves. Other columns
     stay, except that those named n_lines or n_dropped give way. An empty table gives an empty table.
     """
     spark = docs.sparkSession

@@ -159,7 +159,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, ch
 
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """docs and score, the probability of label 1, from the whole text alone. Null and empty texts, and texts without
-    letter or digit, score as the bias alone. Other columns stay; one named score gives way."""
+    letter or digit, score as the bias alone. Repeated rows each get their score; an empty table gives an empty table. Other columns stay; one named score gives way."""
     small_batches(docs.sparkSession)
     docs = without(docs, ["score"])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats

@@ -529,3 +529,10 @@ def test_very_common_window_spans_tasks(spark):
     texts = [" ".join([f"a{rng.random()}" for _ in range(i % 7)] + shared + [f"b{rng.random()}"]) for i in range(400)]
     got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.dedup_substrings(docs(spark, texts).repartition(9)).collect()}
     assert got == {i: 60 * (i > 0) for i in range(400)}
+
+
+def test_line_dedup_counts_documents_not_rows(spark):
+    rows = [(1, f"common\nown {i}") for i in range(12)] + [(2, "common\nwide")] + [(i, "wide") for i in range(3, 11)] + [(2, "wide"), (None, "wide")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_dropped"]) for r in line_dedup.dedup_lines(df, 10, 1).collect())
+    assert got == sorted([(1, 0)] * 12 + [(2, 1), (2, 1), (0, 1)] + [(i, 1) for i in range(3, 11)])

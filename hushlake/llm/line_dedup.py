@@ -53,7 +53,8 @@ def line_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     document: what its further rows count too much is taken off again, so that ids needn't travel with all lines."""
     docs = docs.select("doc_id", "text") if "doc_id" in docs.columns else docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
     rows = _line_hashes(docs, min_chars).select("h", "f", F.lit(1).alias("n"))
-    several = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    # written, so that its size is known: texts are shuffled only if such ids are too many to send
+    several = written(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
     again = _line_hashes(docs.join(several, "doc_id", "left_semi"), min_chars).groupBy("doc_id", "h", "f").agg((1 - F.count("*")).cast("int").alias("n"))
     return rows.unionByName(again.filter("n < 0").select("h", "f", "n")).groupBy("h", "f").agg(F.sum("n").alias("n"))
 

@@ -11,15 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
-from .vectors import best, dimension, distinct_rows, matrix, merged, query_blocks, table_matrix
+from .vectors import Search, best, dimension, distinct_rows, matrix, merged, sharded, table_matrix, with_floors
 
 #: Code books are fitted on at most so many vectors; every vector is indexed.
 TRAIN_ROWS = 8000
 #: Weight of the residual along the vector against that across it: the former changes the largest inner products most.
 PARALLEL = 4.0
-#: Candidates of each scanned batch that give a query its kth score; all rows that may reach it are scored then.
+#: Candidates of each shard that give a query its kth score; all rows that may reach it are scored then.
 RERANK = 48
 CODES = 16
+#: Pairs of query and coded row that are scanned at a time.
+CELLS = 1 << 21
 #: Pairs of query and row whose vectors are gathered at a time.
 PAIRS = 1 << 16
 
@@ -138,48 +140,52 @@ def _exact(q: np.ndarray, m: np.ndarray, norm: np.ndarray, qn: np.ndarray, v: np
     return out
 
 
-def _scan(qid: np.ndarray, q: np.ndarray, tables: np.ndarray, b: pa.RecordBatch, k: int, dim: int, rerank: int, floor: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(query number, vec_id, cosine) of one batch's best: all that are among the k best here and not under floor."""
-    ids, m = matrix(b.column(0), b.column(2), dim)
-    if not len(ids):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    codes = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(ids), -1)
-    along, across = (b.column(i).to_numpy() for i in (3, 4))
+def _shard(b: pa.RecordBatch, books: list[np.ndarray], k: int, dim: int, rerank: int) -> Search:
+    """The search of one shard: for each query all that are among the k best here and not under its floor."""
+    ids, m = matrix(b.column("vec_id"), b.column("embedding"), dim)
+    codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+    along, across = (b.column(c).to_numpy() for c in ("along", "across"))
     first, owner, kept = distinct_rows(ids, m, k + 1)
     codes, m, along, across = np.ascontiguousarray(codes[first].T), m[first], along[first], across[first]
     x, norm = _unit(m)
     begin = np.searchsorted(owner, np.arange(len(first) + 1))
 
-    def found(qn: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
-        exact = _exact(q, m, norm, qn, v)
-        ok = exact >= kth[qn]
-        qn, v, exact = qn[ok], v[ok], exact[ok]
-        n = begin[v + 1] - begin[v]
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[v], n)
-        qn, exact, vec = np.repeat(qn, n), np.repeat(exact, n), kept[place]
-        other = vec != qid[qn]
-        return qn[other], vec[other], exact[other]
-
-    out, kth = [], floor.copy()
-    for lo in range(0, len(q), 256):
-        t = tables[lo : lo + 256]
-        score = np.zeros((len(t), len(first)), np.float32)
-        for place, c in enumerate(codes):
-            score += t[:, place, c]
-        r = min(len(first), max(rerank, k + 1))
-        top = np.argpartition(score, len(first) - r, axis=1)[:, len(first) - r :]
-        got = found(np.repeat(np.arange(lo, lo + len(t)), r), top.ravel())
-        kth[lo : lo + len(t)] = _kth(*got, k, kth)[lo : lo + len(t)]
-        own = kth[lo : lo + len(t)]
-        open_ = score >= _least(own, along, across, len(codes))
-        np.put_along_axis(open_, top, False, 1)
-        at = np.flatnonzero(open_.any(0))
-        near = _unit(q[lo : lo + len(t)])[0] @ x[at].T >= own[:, None] - 1e-9  # up to rounding; found() decides
-        qn, v = np.nonzero(near & open_[:, at])
-        got = tuple(np.concatenate(c) for c in zip(got, found(qn + lo, at[v]), strict=True))
-        b5 = best(got[0], got[2], got[1], k)
-        out.append(tuple(c[b5] for c in got))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    def search(qid: np.ndarray, q: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        kth = floor.copy()
+
+        def found(qn: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
+            exact = _exact(q, m, norm, qn, v)
+            ok = exact >= kth[qn]
+            qn, v, exact = qn[ok], v[ok], exact[ok]
+            n = begin[v + 1] - begin[v]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[v], n)
+            qn, exact, vec = np.repeat(qn, n), np.repeat(exact, n), kept[place]
+            other = vec != qid[qn]
+            return qn[other], vec[other], exact[other]
+
+        out, step = [], max(1, CELLS // len(first))
+        for lo in range(0, len(q), step):
+            unit = _unit(q[lo : lo + step])[0]
+            t = _tables(unit, books)
+            score = np.zeros((len(t), len(first)), np.float32)
+            for place, c in enumerate(codes):
+                score += t[:, place, c]
+            r = min(len(first), max(rerank, k + 1))
+            top = np.argpartition(score, len(first) - r, axis=1)[:, len(first) - r :]
+            got = found(np.repeat(np.arange(lo, lo + len(t)), r), top.ravel())
+            kth[lo : lo + len(t)] = _kth(*got, k, kth)[lo : lo + len(t)]
+            own = kth[lo : lo + len(t)]
+            open_ = score >= _least(own, along, across, len(codes))
+            np.put_along_axis(open_, top, False, 1)
+            at = np.flatnonzero(open_.any(0))
+            near = unit @ x[at].T >= own[:, None] - 1e-9  # up to rounding; found() decides
+            qn, v = np.nonzero(near & open_[:, at])
+            got = tuple(np.concatenate(c) for c in zip(got, found(qn + lo, at[v]), strict=True))
+            keep = best(got[0], got[2], got[1], k)
+            out.append(tuple(c[keep] for c in got))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    return search
 
 
 def _kth(qn: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int, floor: np.ndarray) -> np.ndarray:
@@ -196,32 +202,16 @@ def search(rows: DataFrame, every: int = 50, k: int = 5, rerank: int = RERANK, s
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by every, the k nearest other rows by cosine.
 
     Null, zero, null- or non-finite-holding vectors, those of an uncommon length, and rows without vec_id take no part.
-    Equal vectors tie and go by vec_id; rows repeated outright count once. Queries are scanned in blocks of bounded
-    size against the codes of all rows; every row is scored exactly unless its code and residual show that it can't reach
-    the kth score, so none of the k nearest is missed. rerank only says how many rows of a batch give the first kth
-    score. An empty table gives an empty table.
+    Equal vectors tie and go by vec_id; rows repeated outright count once; of several vectors under one vec_id the least
+    asks. Queries stream past the codes of every shard; every row is scored exactly unless its code and residual show that
+    it can't reach the kth score, so none of the k nearest is missed. rerank only says how many rows of a shard give the
+    first kth score. An empty table gives an empty table.
     """
-    spark = rows.sparkSession
     table, books, dim = build_index(rows, sample_rows)
-    parts = []
-    for block in query_blocks(table, every):
-        qid, q = table_matrix(block, dim)
-        qid, first = np.unique(qid, return_index=True)
-        sent = spark.sparkContext.broadcast((qid, q[first]))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qid, q = sent.value
-            tables = _tables(_unit(q)[0], books)
-            got = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            for b in batches:
-                floor = _kth(*got, k, np.full(len(qid), -np.inf))
-                got = tuple(np.concatenate(c) for c in zip(got, _scan(qid, q, tables, b, k, dim, rerank, floor), strict=True))
-                keep = best(got[0], got[2], got[1], k)
-                got = tuple(c[keep] for c in got)
-            yield pa.RecordBatch.from_arrays([pa.array(qid[got[0]]), pa.array(got[1]), pa.array(got[2])], names=["query_id", "vec_id", "score"])
-
-        parts.append(table.select("vec_id", "codes", "embedding", "along", "across").mapInArrow(run, "query_id long, vec_id long, score double"))
-    return merged(parts, k, lambda: spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"))
+    sent = rows.sparkSession.sparkContext.broadcast(books)
+    seen = table.select("vec_id", "embedding")
+    queries = with_floors(seen, every, dim, k, lambda q, m: _unit(q)[0] @ _unit(m)[0].T - 1e-9)  # a floor up to rounding
+    return merged(sharded(table, queries, dim, lambda b: _shard(b, sent.value, k, dim, rerank), "double"), k)
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

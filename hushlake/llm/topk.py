@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
-from .vectors import best, dimension, distinct_rows, matrix, merged, query_blocks, table_matrix
+from .vectors import Search, best, dimension, distinct_rows, matrix, merged, sharded, with_floors
 
 LEAF = 128
-#: Rows that give every query a first kth score, before any shard is searched.
-SEED_ROWS = 2048
+#: Pairs of query and leaf whose bounds are held at a time.
+CELLS = 1 << 20
 
 
 def whole(m: np.ndarray) -> np.ndarray:
@@ -29,6 +29,11 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T).astype(np.int64)
 
 
+def _as_floor(score: np.ndarray) -> np.ndarray:
+    """Scores as floats that are no larger."""
+    return score.astype(np.float64) - np.where(np.abs(score) >= 2**53, np.abs(score) * 2.0**-52, 0)
+
+
 class BallTree:
     """Nodes in an array: children, centre, radius; leaves own a range of points."""
 
@@ -69,7 +74,8 @@ class Found:
     """The k best of each query so far, and the kth score; a floor known beforehand counts until k are found."""
 
     def __init__(self, qid: np.ndarray, k: int, floor: np.ndarray):
-        self.qid, self.k, self.kth = qid, k, floor.astype(np.float64)
+        self.qid, self.k = qid, k
+        self.kth = np.where(np.isfinite(floor), floor, -(2.0**62)).astype(np.int64)
         self.q, self.vec, self.score = (np.zeros(0, np.int64) for _ in range(3))
 
     def add(self, q: np.ndarray, vec: np.ndarray, score: np.ndarray) -> None:
@@ -83,79 +89,88 @@ class Found:
         self.kth[full] = np.maximum(self.kth[full], self.score[last[full]])
 
 
-def _search_shard(q: np.ndarray, found: Found, ids: np.ndarray, m: np.ndarray) -> None:
-    first, owner, kept = distinct_rows(ids, m, found.k + 1)
-    points = m[first]
-    begin = np.searchsorted(owner, np.arange(len(first) + 1))
+def _scan_leaf(q: np.ndarray, found: Found, points: np.ndarray, tree: BallTree, leaf: int, own: np.ndarray, owners: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(query, vec_id, score) of the leaf's points that reach the kth scores of queries own."""
+    begin, kept = owners
+    lo, hi = tree.range[leaf]
+    at = tree.order[lo:hi]
+    s = dots(q[own], points[at])
+    i, j = np.nonzero(s >= found.kth[own][:, None])
+    v = at[j]
+    n = begin[v + 1] - begin[v]
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[v], n)
+    return np.repeat(own[i], n), kept[place], np.repeat(s[i, j], n)
+
+
+def _shard(b: pa.RecordBatch, k: int, dim: int) -> Search:
+    """The search of one shard, a ball tree over its distinct vectors."""
+    ids, m = matrix(b.column("vec_id"), b.column("embedding"), dim)
+    first, owner, kept = distinct_rows(ids, whole(m), k + 1)
+    points = whole(m)[first]
+    owners = np.searchsorted(owner, np.arange(len(first) + 1)), kept
     tree = BallTree(points)
-    size = np.sqrt((q * q).sum(1))
-    rows, nodes = np.arange(len(q)), np.zeros(len(q), np.int64)
-    leaf_rows, leaf_nodes, leaf_bound = [], [], []
-    while len(rows):  # level by level: a node whose bound misses the kth score takes its subtree along
-        bound = tree.bounds(q, size, nodes, rows)
-        ok = bound >= found.kth[rows]
-        rows, nodes, bound = rows[ok], nodes[ok], bound[ok]
-        end = tree.kids[nodes, 0] < 0
-        leaf_rows.append(rows[end])
-        leaf_nodes.append(nodes[end])
-        leaf_bound.append(bound[end])
-        rows, nodes = np.repeat(rows[~end], 2), tree.kids[nodes[~end]].ravel()
-    rows, nodes, bound = (np.concatenate(x) for x in (leaf_rows, leaf_nodes, leaf_bound))
-    order = np.lexsort((-bound, rows))
-    rows, nodes, bound = rows[order], nodes[order], bound[order]
-    turn = np.arange(len(rows)) - np.searchsorted(rows, rows)  # each query takes its most promising leaf first
-    for t in range(int(turn.max(initial=-1)) + 1):
-        now = (turn == t) & (bound >= found.kth[rows])
-        got = []
-        for leaf in np.unique(nodes[now]):
-            own = rows[now & (nodes == leaf)]
-            lo, hi = tree.range[leaf]
-            at = tree.order[lo:hi]
-            s = dots(q[own], points[at])
-            i, j = np.nonzero(s >= found.kth[own][:, None])
-            v = at[j]
-            n = begin[v + 1] - begin[v]
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[v], n)
-            got.append((np.repeat(own[i], n), kept[place], np.repeat(s[i, j], n)))
+    leaves = sum(kid < 0 for kid in tree.left)
+
+    def scan(q: np.ndarray, found: Found, rows: np.ndarray, nodes: np.ndarray) -> None:
+        order = np.argsort(nodes, kind="stable")
+        rows, nodes = rows[order], nodes[order]
+        cut = np.flatnonzero(np.diff(nodes)) + 1
+        got = [_scan_leaf(q, found, points, tree, leaf[0], own, owners) for leaf, own in zip(np.split(nodes, cut), np.split(rows, cut), strict=True) if len(own)]
         if got:
             found.add(*(np.concatenate(x) for x in zip(*got, strict=True)))
 
+    def block(qid: np.ndarray, q: np.ndarray, floor: np.ndarray) -> Found:
+        found, size = Found(qid, k, floor), np.sqrt((q * q).sum(1))
+        rows, nodes = np.arange(len(q)), np.zeros(len(q), np.int64)
+        while (inner := tree.kids[nodes, 0] >= 0).any():  # each query's most promising child first, down to a leaf
+            own, kids = rows[inner], tree.kids[nodes[inner]]
+            a, b = (tree.bounds(q, size, kids[:, i], own) for i in (0, 1))
+            nodes[inner] = np.where(a >= b, kids[:, 0], kids[:, 1])
+        scan(q, found, rows, nodes)
+        dived = nodes.copy()
+        nodes, ends = np.zeros(len(q), np.int64), []
+        while len(rows):  # what is left: a node whose bound misses the kth score takes its subtree along
+            bound = tree.bounds(q, size, nodes, rows)
+            ok = bound >= found.kth[rows]
+            rows, nodes, bound = rows[ok], nodes[ok], bound[ok]
+            end = tree.kids[nodes, 0] < 0
+            new = end & (nodes != dived[rows])
+            ends.append((rows[new], nodes[new], bound[new]))
+            rows, nodes = np.repeat(rows[~end], 2), tree.kids[nodes[~end]].ravel()
+        rows, nodes, bound = (np.concatenate(x) for x in zip(*ends, strict=True))
+        order = np.lexsort((-bound, rows))
+        rows, nodes, bound = rows[order], nodes[order], bound[order]
+        turn = np.arange(len(rows)) - np.searchsorted(rows, rows)  # the leaf with the highest bound first
+        for t in range(int(turn.max(initial=-1)) + 1):
+            now = (turn == t) & (bound >= found.kth[rows])
+            scan(q, found, rows[now], nodes[now])
+        return found
+
+    def search(qid: np.ndarray, q: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, out, step = whole(q), [], max(1, CELLS // leaves)
+        for lo in range(0, len(q), step):
+            got = block(qid[lo : lo + step], q[lo : lo + step], floor[lo : lo + step])
+            out.append((got.q + lo, got.vec, got.score))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    return search
+
 
 def exact_top_k(rows: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by every, the k other rows with the highest
     inner product of floor(256 x) components.
 
     Null vectors, those holding null or non-finite components, those of an uncommon length, and rows without vec_id
-    take no part. Ties go to the smaller vec_id; rows repeated outright count once. Queries go out in blocks of bounded
-    size, with the kth score that a first few rows give; each shard is a ball tree. An empty table gives an empty table.
+    take no part. Ties go to the smaller vec_id; rows repeated outright count once; of several vectors under one vec_id
+    the least asks. Queries stream past each shard's ball tree, with the kth score that SEED_ROWS rows give them. An
+    empty table gives an empty table.
     """
-    spark = rows.sparkSession
-    rows = written(rows.select(F.col("vec_id").cast("long"), "embedding").filter("embedding IS NOT NULL AND vec_id IS NOT NULL"))
     dim = dimension(rows)
-    seeds = table_matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEED_ROWS), dim)
-    parts = []
-    for block in query_blocks(rows, every):
-        qid, q = table_matrix(block, dim)
-        qid, first = np.unique(qid, return_index=True)
-        q = whole(q[first])
-        if not len(qid):
-            continue
-        start = Found(qid, k, np.full(len(qid), -np.inf))
-        if len(seeds[0]):
-            _search_shard(q, start, seeds[0], whole(seeds[1]))
-        sent = spark.sparkContext.broadcast((qid, q, start.kth))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qid, q, floor = sent.value
-            found = Found(qid, k, floor)
-            for b in batches:
-                ids, m = matrix(b.column(0), b.column(1), dim)
-                if len(ids):
-                    _search_shard(q, found, ids, whole(m))
-            yield pa.RecordBatch.from_arrays([pa.array(qid[found.q]), pa.array(found.vec), pa.array(found.score)], names=["query_id", "vec_id", "score"])
-
-        parts.append(rows.mapInArrow(run, "query_id long, vec_id long, score long"))
-    return merged(parts, k, lambda: spark.createDataFrame([], "query_id long, rank int, vec_id long, score long"))
+    usable = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
+    rows = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = written(rows.filter(F.col("vec_id").isNotNull() & (F.size("embedding") == dim) & (F.size("embedding") > 0) & usable))
+    queries = with_floors(rows, every, dim, k, lambda q, m: _as_floor(dots(whole(q), whole(m))))
+    return merged(sharded(rows, queries, dim, lambda b: _shard(b, k, dim), "long"), k)
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -536,3 +536,35 @@ def test_line_dedup_counts_documents_not_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["n_dropped"]) for r in line_dedup.dedup_lines(df, 10, 1).collect())
     assert got == sorted([(1, 0)] * 12 + [(2, 1), (2, 1), (0, 1)] + [(i, 1) for i in range(3, 11)])
+
+
+def test_vector_searches_over_many_shards_and_groups(spark, monkeypatch):
+    """Shards of few rows and groups of few queries, rows repeated outright, equal vectors, negative ids, extra columns."""
+    from hushlake.llm import vectors as shared
+
+    for name, value in (("SHARD_ROWS", 40), ("LEAST_ROWS", 10), ("GROUP_QUERIES", 9), ("SEED_ROWS", 16)):
+        monkeypatch.setattr(shared, name, value)
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(600, 6))
+    m[100:140] = m[100]
+    ids = np.arange(-100, 500)
+    rows = [(int(i), v.tolist(), 0) for i, v in zip(ids, m, strict=True)]
+    df = spark.createDataFrame(rows + rows[100:101] * 9, "vec_id long, embedding array<double>, floor int")
+    w, u = np.floor(256 * m), m / np.linalg.norm(m, axis=1, keepdims=True)
+    for found, scores in ((topk.exact_top_k(df, every=10, k=4), w @ w.T), (ann.search(df, every=10, k=4), (u @ u.T).round(9))):
+        got = {}
+        for r in found.collect():
+            got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+        assert set(got) == {int(i) for i in ids if i % 10 == 0}
+        for q, ranks in got.items():
+            order = [int(ids[j]) for j in np.lexsort((ids, -scores[q + 100])) if ids[j] != q][:4]
+            assert ranks == dict(enumerate(order, 1)), q
+
+
+def test_vector_searches_of_empty_and_unusable_tables(spark):
+    for rows in ([], [(0, None), (50, []), (100, [float("inf"), 1.0]), (None, [1.0, 2.0])]):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        assert topk.exact_top_k(df).collect() == [] and ann.search(df).collect() == []
+    one = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<float>")
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in topk.exact_top_k(one).collect()] == [(0, 1, 1)]
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(one).collect()] == [(0, 1, 1)]

@@ -91,6 +91,22 @@ def multi_axis(counts: DataFrame, axes: list[str]) -> DataFrame:
     return with_ratios(counts.sparkSession.sql(f"SELECT {name} AS axis, {value} AS value, {sums} FROM {{t}} GROUP BY GROUPING SETS ({sets})", t=view))
 
 
+def report_axes(samples: DataFrame, annotations: DataFrame, predicted: DataFrame, axes: list[str]) -> DataFrame:
+    """(axis, value, n, tp, fp, tn, fn, ratios) of exact counts along axes of samples (doc_id, text, ...), whether their
+    entities are mixed, length of text, and each assertion_type that annotations (spans with assertion_type) hold."""
+    counts = exact_counts(annotations, predicted).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    kinds = annotations.groupBy("doc_id").agg(F.count_distinct("label").alias("kinds"), F.collect_set("assertion_type").alias("said"))
+    mixed = F.when(F.col("kinds").isNull(), "negative").when(F.col("kinds") > 1, "mixed_entities").otherwise("single_entity_type")
+    length = F.when(F.length("text") < 80, "short").when(F.length("text") < 300, "medium").otherwise("long")
+    own = samples.join(counts, "doc_id", "left").join(kinds, "doc_id", "left")
+    own = own.select("doc_id", *axes, mixed.alias("mixed"), length.alias("text_length"), "said", F.lit(1).alias("n"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "fn")], F.col("tp").isNull().cast("long").alias("tn"))
+    names = [*axes, "mixed", "text_length"]
+    values = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("string").alias("value")) for a in names])
+    said = F.transform(F.coalesce("said", F.array().cast("array<string>")), lambda x: F.struct(F.lit("assertion_type").alias("axis"), x.alias("value")))
+    rows = own.select(F.explode(F.concat(values, said)).alias("a"), "n", "tp", "fp", "tn", "fn")
+    return with_ratios(rows.groupBy("a.axis", "a.value").agg(*[F.sum(c).alias(c) for c in ("n", "tp", "fp", "tn", "fn")]))
+
+
 def averages(per_label: DataFrame) -> DataFrame:
     """Micro, macro and support-weighted F1 over labels with support."""
     s = F.col("tp") + F.col("fn")
@@ -166,6 +182,22 @@ def multiset_metrics(expected: DataFrame, actual: DataFrame, by: list[str]) -> D
     return s.select("*", F.coalesce(ratio(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(1.0)).alias("precision"), F.coalesce(ratio(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(1.0)).alias("recall"))
 
 
+def assertion_metrics(expected: DataFrame, actual: DataFrame, samples: DataFrame) -> DataFrame:
+    """One row over expected (doc_id, category, negated) and actual assertions (doc_id, position, category, negated,
+    n_subjects): multiset counts of (category, negated); how often the first assertion of an expected category names its
+    subject and has its negation; and the share of samples (doc_id, n_entities) with nothing to find that still have one."""
+    m = multiset_metrics(expected, actual, ["category", "negated"])
+    first = actual.groupBy("doc_id", "category").agg(F.min_by(F.struct("negated", "n_subjects"), "position").alias("a"))
+    met = expected.join(first, ["doc_id", "category"], "left").agg(
+        F.count("*").alias("n"), F.count("a").alias("n_met"), F.count_if(F.col("a.n_subjects") > 0).alias("n_linked"), F.count_if(F.col("a.negated") == F.col("negated")).alias("n_right")
+    )
+    none = samples.filter("n_entities = 0").join(expected, "doc_id", "left_anti").join(actual.select("doc_id", F.lit(1).alias("hit")).distinct(), "doc_id", "left")
+    wrong = none.agg(F.coalesce(ratio(F.count("hit"), F.count("*")), F.lit(0.0)).alias("general_discussion_false_positive_rate"))
+    linked = F.coalesce(ratio(F.col("n_linked"), F.col("n_met")), F.lit(1.0)).alias("subject_linking_accuracy")
+    right = F.coalesce(ratio(F.col("n_right"), F.col("n")), F.lit(1.0)).alias("negation_accuracy")
+    return m.crossJoin(met.select(linked, right)).crossJoin(wrong)  # one row each
+
+
 def confusion(expected: DataFrame, actual: DataFrame, types: list[str]) -> DataFrame:
     """Expected type by actual type for equal texts of a document."""
     j = expected.select("doc_id", "text", F.col("entity_type").alias("expected")).join(actual.select("doc_id", "text", F.col("entity_type").alias("actual")), ["doc_id", "text"])
@@ -237,6 +269,15 @@ def gates(report: DataFrame, thresholds: dict[str, tuple[str, float]]) -> DataFr
     return report.withColumn("failures", F.array_compact(F.array(*failed))).withColumn("passed", F.size("failures") == 0)
 
 
+def regressions(report: DataFrame, baseline: DataFrame, allowed: dict[str, float]) -> DataFrame:
+    """report's row with the metrics that are worse than the baseline's by more than is allowed: by a fall where that is
+    positive, by a rise where it is negative. Metrics that the baseline lacks can't regress; lost ones do."""
+    j = report.crossJoin(baseline.select(*[F.col(m).alias(f"__{m}") for m in allowed]))  # one row each
+    worse = {m: F.col(m) < F.col(f"__{m}") - by if by >= 0 else F.col(m) > F.col(f"__{m}") - by for m, by in allowed.items()}
+    failed = [F.when(F.col(f"__{m}").isNotNull() & F.coalesce(w, F.lit(True)), F.lit(m)) for m, w in worse.items()]
+    return j.select(*report.columns, F.array_compact(F.array(*failed)).alias("regressed"))
+
+
 def comparison(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.select(key, F.col("f1").alias("f1_old")).join(new.select(key, F.col("f1").alias("f1_new")), key, "full").withColumn("delta", F.col("f1_new") - F.col("f1_old"))
 

@@ -113,11 +113,3 @@ def output_faults(prepared_df: DataFrame) -> DataFrame:
     """Rows that break the result's invariants: none, if all is well."""
     ok = F.col("status") == "ok"
     return prepared_df.filter((ok != F.col("safe_text").isNotNull()) | (ok & ~F.col("outcome").isin("ALLOW", "REDACTED", "PSEUDONYMIZED")) | (~ok & (F.size("mapping") > 0)))
-
-
-def with_ner(texts: DataFrame, ner: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Pluggable named-entity spans: places of given values (value, entity_type) in each text, as a dictionary model."""
-    found = texts.join(ner, F.col("text").contains(F.col("value")))
-    return found.select(key, F.expr("position(value, text) - 1").cast("int").alias("start"), "value", "entity_type")
-
-

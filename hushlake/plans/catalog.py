@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalise, spans, validators
-from ..operators import conversations, detect, evaluate, generate, integrity, language, merge, prepare
+from ..operators import conversations, detect, evaluate, generate, integrity, language, merge, ner, prepare
 from ..streaming.vault import windowed_counts
 from . import lexicon, policies, probes, rules, taxonomy
 
@@ -423,6 +423,79 @@ def release_gates(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.gates(r, {"recall": (">=", 0.9), "precision": (">=", 0.5)})
 
 
+_AXES = {"language": 3, "domain": 4, "split": 2, "source": 5, "tier": 2, "format": 3, "transformation": 6}
+_SAID_OF = "CASE l_linenumber % 3 WHEN 0 THEN 'self' WHEN 1 THEN 'third_party' ELSE 'none' END"
+_AXIS_ROWS = " UNION ALL ".join([f"SELECT '{a}' AS axis, '{a}' || (k % {n})::VARCHAR AS value, * FROM d" for a, n in _AXES.items()]) + """
+UNION ALL SELECT 'mixed', CASE WHEN kinds IS NULL THEN 'negative' WHEN kinds > 1 THEN 'mixed_entities' ELSE 'single_entity_type' END, * FROM d
+UNION ALL SELECT 'text_length', CASE WHEN k % 400 < 80 THEN 'short' WHEN k % 400 < 300 THEN 'medium' ELSE 'long' END, * FROM d
+UNION ALL SELECT 'assertion_type', t, d.* FROM d JOIN (SELECT DISTINCT l_orderkey AS k, """ + _SAID_OF + """ AS t FROM lineitem) s USING (k)"""
+
+
+@query(f"""{_EXACT}, per_doc AS (SELECT doc_id AS k, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM x GROUP BY doc_id), q AS (SELECT doc_id AS k, count(DISTINCT label) AS kinds FROM e GROUP BY doc_id),
+d AS (SELECT o_orderkey AS k, kinds, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, CASE WHEN tp IS NULL THEN 1 ELSE 0 END AS tn, coalesce(fn, 0) AS fn FROM orders LEFT JOIN per_doc z ON o_orderkey = z.k LEFT JOIN q ON o_orderkey = q.k)
+SELECT *, {_RATIOS} FROM (SELECT axis, value, count(*)::BIGINT AS n, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(tn)::BIGINT AS tn, sum(fn)::BIGINT AS fn FROM ({_AXIS_ROWS}) GROUP BY ALL)""")
+def report_axes(spark: SparkSession, d: str) -> DataFrame:
+    """The report along all axes: orders are samples, a third to an eighth of them with each value."""
+    e, p = _spans(spark, d)
+    said = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 20).cast("int").alias("start"), F.expr(_SAID_OF).alias("assertion_type")).distinct()
+    k = F.col("o_orderkey")
+    samples = table(spark, d, "orders").select(k.alias("doc_id"), F.repeat(F.lit("x"), (k % 400).cast("int")).alias("text"), *[F.concat(F.lit(a), (k % n).cast("string")).alias(a) for a, n in _AXES.items()])
+    return evaluate.report_axes(samples, e.join(said, ["doc_id", "start"]), p, list(_AXES))
+
+
+@query("""WITH k AS (SELECT o_orderkey AS k FROM orders), e AS (SELECT k, 'health' AS category, k % 2 = 0 AS negated FROM k WHERE k % 4 <> 3 UNION ALL SELECT k, 'union', false FROM k WHERE k % 8 = 2),
+a AS (SELECT k, 'health' AS category, k % 6 = 0 AS negated, k % 5 <> 0 AS linked FROM k WHERE k % 7 <> 0),
+c AS (SELECT coalesce(ne, 0) AS ne, coalesce(na, 0) AS na FROM (SELECT category, negated, count(*) AS ne FROM e GROUP BY ALL) FULL JOIN (SELECT category, negated, count(*) AS na FROM a GROUP BY ALL) USING (category, negated)),
+m AS (SELECT sum(least(ne, na))::BIGINT AS tp, sum(na - least(ne, na))::BIGINT AS fp, sum(ne - least(ne, na))::BIGINT AS fn FROM c),
+j AS (SELECT e.negated AS en, a.negated AS an, linked FROM e LEFT JOIN a USING (k, category))
+SELECT tp, fp, fn, tp / (tp + fp)::DOUBLE AS precision, tp / (tp + fn)::DOUBLE AS recall, (SELECT count(*) FILTER (WHERE linked) / count(linked)::DOUBLE FROM j) AS subject_linking_accuracy,
+(SELECT count(*) FILTER (WHERE en = an) / count(*)::DOUBLE FROM j) AS negation_accuracy, (SELECT count(*) FILTER (WHERE k % 7 <> 0) / count(*)::DOUBLE FROM k WHERE k % 4 = 3 AND k % 3 = 0) AS general_discussion_false_positive_rate FROM m""")
+def assertion_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Expected and actual assertions made from keys; a later actual one of the same category decides nothing."""
+    k = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    one = k.filter("doc_id % 4 <> 3").select("doc_id", F.lit("health").alias("category"), (F.col("doc_id") % 2 == 0).alias("negated"))
+    e = one.unionByName(k.filter("doc_id % 8 = 2").select("doc_id", F.lit("union").alias("category"), F.lit(False).alias("negated")))
+    a = k.filter("doc_id % 7 <> 0").select("doc_id", F.lit(4).alias("position"), F.lit("health").alias("category"), (F.col("doc_id") % 6 == 0).alias("negated"), F.when(F.col("doc_id") % 5 == 0, 0).otherwise(1).alias("n_subjects"))
+    return evaluate.assertion_metrics(e, a, k.select("doc_id", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).alias("n_entities")))
+
+
+@query(f"{_EXACT}, f AS (SELECT label, 2.0::DOUBLE * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0) AS f1_old FROM x GROUP BY label) SELECT label, f1_old, CASE WHEN label <> 'X' THEN 1.0::DOUBLE END AS f1_new, f1_new - f1_old AS delta FROM f")
+def f1_changes(spark: SparkSession, d: str) -> DataFrame:
+    """F1 of a label under two sets of predictions, the second being what is expected."""
+    e, _ = _spans(spark, d)
+    perfect = evaluate.grouped(evaluate.exact_counts(e, e).withColumn("tn", F.lit(0).cast("long")), "label")
+    return evaluate.comparison(label_metrics(spark, d), perfect, "label")
+
+
+@query(f"{_EXACT}, s AS (SELECT label, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM x GROUP BY label) SELECT label, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, 0::BIGINT AS tn, coalesce(fn, 0) AS fn FROM (VALUES ('A'), ('N'), ('R'), ('Z')) z(label) LEFT JOIN s USING (label)")
+def keyed_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the labels asked for; one that no span has counts nothing."""
+    keys = spark.createDataFrame([("A",), ("N",), ("R",), ("Z",)], "label string")
+    return evaluate.with_expected_keys(label_metrics(spark, d).select("label", "tp", "fp", "tn", "fn"), keys, "label")
+
+
+@query(f"""{_EXACT}, m AS (SELECT sum(tp) / sum(tp + fn)::DOUBLE AS recall, sum(fp) / sum(tp + fp)::DOUBLE AS miss_rate FROM x)
+SELECT recall, miss_rate, list_filter([CASE WHEN recall < 0.95 - 0.01 THEN 'recall' END, CASE WHEN miss_rate > 0.05 + 0.9 THEN 'miss_rate' END], lambda z: z IS NOT NULL) AS regressed FROM m""")
+def regressed_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """A report against a baseline of recall 0.95 (0.01 less is allowed) and miss rate 0.05 (0.9 more is allowed)."""
+    c = evaluate.exact_counts(*_spans(spark, d)).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    r = c.select((F.col("tp") / (F.col("tp") + F.col("fn"))).alias("recall"), (F.col("fp") / (F.col("tp") + F.col("fp"))).alias("miss_rate"))
+    base = spark.createDataFrame([(0.95, 0.05)], "recall double, miss_rate double")
+    return evaluate.regressions(r, base, {"recall": 0.01, "miss_rate": -0.9})
+
+
+_NER_TEXT = f"'Row ' || {probes.K} || ' says: ' || CASE k % 6 WHEN 0 THEN 'Jan de Vries left' WHEN 1 THEN 'the public company Acme paid' WHEN 2 THEN 'Acme paid' WHEN 3 THEN 'near Utrecht' WHEN 4 THEN 'an oracle' ELSE 'van der Bakker came' END"
+_NER_VALUE = "CASE k % 6 WHEN 0 THEN 'Jan de Vries' WHEN 2 THEN 'Acme' WHEN 3 THEN 'Utrecht' WHEN 5 THEN 'van der Bakker' END"
+
+
+@query(f"SELECT k, {_NER_VALUE} AS text, CASE k % 6 WHEN 2 THEN 'organization' WHEN 3 THEN 'location' ELSE 'person' END AS entity_type, (11 + length({probes.K}) + CASE WHEN k % 6 = 3 THEN 5 ELSE 0 END)::INT AS start FROM (SELECT c_custkey AS k FROM customer) WHERE k % 6 IN (0, 2, 3, 5)")
+def model_spans(spark: SparkSession, d: str) -> DataFrame:
+    """A dictionary as a model: whole names with their particles, no organisations called public, no unknown tags."""
+    words = {"Jan": "PER", "Bakker": "PER", "Acme": "ORG", "Utrecht": "LOC", "oracle": "MISC"}
+    found = ner.model_spans(_keys(spark, d).select("k", F.expr(_NER_TEXT).alias("text")), ner.lexicon(words), "k")
+    return ner.surest(found, "k").select("k", "text", "entity_type", "start")
+
+
 # --- conversations, generator, windows ---
 
 

@@ -57,13 +57,18 @@ def _fields(ddl: str) -> list[str]:
     return [*out, ddl[at:]]
 
 
-def verify_manifest(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
-    """Files (path, sha256) of a manifest that are missing, changed or outside of root. Only hashes leave the executors."""
+def verify_manifest(spark: SparkSession, root: str, manifest: DataFrame, but: tuple[str, ...] = ("manifest.json",)) -> DataFrame:
+    """(path, fault): files of a manifest (path below root, sha256) that are missing, changed or outside of root, and files
+    below root that it doesn't list (but those named). Only hashes leave the executors."""
     outside = F.col("path").rlike(r"(^|/)\.\.(/|$)|^/")
-    seen = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("actual"))
-    j = manifest.withColumn("name", F.regexp_extract("path", "([^/]+)$", 1)).join(seen, "name", "left")
-    why = F.when(outside, "outside").when(F.col("actual").isNull(), "missing").when(F.col("actual") != F.col("sha256"), "changed")
-    return j.withColumn("fault", why).filter("fault IS NOT NULL").select("path", "fault")
+    below = spark._jvm.org.apache.hadoop.fs.Path(root)
+    below = below.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(below).toUri().getPath().rstrip("/")
+    here = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?(?=/)", "")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    seen = files.select(here.substr(F.lit(len(below) + 2), F.length("path")).alias("found"), F.sha2("content", 256).alias("actual"))
+    j = manifest.join(seen.filter(~F.col("found").isin(*but)), F.col("path") == F.col("found"), "full")
+    why = F.when(F.col("path").isNull(), "unlisted").when(outside, "outside").when(F.col("actual").isNull(), "missing").when(F.col("actual") != F.col("sha256"), "changed")
+    return j.withColumn("fault", why).filter("fault IS NOT NULL").select(F.coalesce("path", "found").alias("path"), "fault")
 
 
 def read_conll(spark: SparkSession, path: str) -> DataFrame:

@@ -127,3 +127,31 @@ def test_safe_copy_never_overwrites(spark, tmp_path):
     assert [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["fine"]
     with pytest.raises(Exception, match="exists"):
         corpus.write_safe_copy(p, str(tmp_path / "out"))
+
+
+def test_model_spans_take_whole_names_and_map_back():
+    from hushlake.operators import ner
+
+    text = "met de heer van den Berg's hond; the public company Acme; Acme&amp;Co"
+    at = text.index("Berg")
+    assert ner.person_bounds(text, at, at + 4) == (text.index("van den"), at + 4)
+    model = ner.lexicon({"Acme": "ORG", "Berg": "PER", "hond": "THING"})()
+    assert [(s[2], s[3]) for s in ner.spans(text, model)] == [("van den Berg", "person"), ("Acme", "organization")]
+    twice = lambda t: [(0, 3, "LOC", 0.5), (0, 3, "GPE", 0.9), (0, 3, "LOC", 0.7)]
+    assert ner.spans("Ede", twice) == [(0, 3, "Ede", "location", 0.9, "model:GPE")]
+
+
+def test_manifest_tells_files_by_their_path(spark, tmp_path):
+    import hashlib
+
+    from hushlake.sources.corpus import verify_manifest
+
+    given = {"a/x.json": b"1", "b/x.json": b"2", "c.json": b"3", "manifest.json": b"{}", "extra.json": b"4"}
+    for name, content in given.items():
+        f = tmp_path / "corpus" / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(content)
+    sha = {n: hashlib.sha256(c).hexdigest() for n, c in given.items()}
+    rows = [("a/x.json", sha["a/x.json"]), ("b/x.json", sha["a/x.json"]), ("c.json", sha["c.json"]), ("gone.json", "0"), ("../up.json", "0")]
+    got = verify_manifest(spark, str(tmp_path / "corpus"), spark.createDataFrame(rows, "path string, sha256 string"))
+    assert {(r["path"], r["fault"]) for r in got.collect()} == {("b/x.json", "changed"), ("gone.json", "missing"), ("../up.json", "outside"), ("extra.json", "unlisted")}

@@ -1,8 +1,42 @@
-"""Windowed counts."""
+"""Windowed counts, the vault as a stream."""
 
+import json
+
+from hushlake.streaming import vault
 from hushlake.streaming.vault import windowed_counts
 
 
 def test_windowed_counts(spark):
     df = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'a' AS event_type, 1.0D AS value UNION ALL SELECT timestamp'2024-01-01 00:50:00', 'a', 2.0D UNION ALL SELECT timestamp'2024-01-01 01:00:00', 'a', 3.0D")
     assert sorted((r["n"], r["total"]) for r in windowed_counts(df).collect()) == [(1, 3.0), (2, 3.0)]
+
+
+def test_vault_hands_a_mapping_out_once(spark, tmp_path):
+    """Events of one session come in order, a file a batch: the state outlives batches."""
+    given = json.dumps({"[EMAIL_1]": "a@example.org"})
+    steps = [
+        [("a", "store", given), ("b", "consume", None), ("c", "store", "not JSON"), ("d", "store", "[1]")],
+        [("a", "store", given), ("c", "consume", None), ("d", "other", None)],
+        [("a", "consume", None), ("e", "store", json.dumps({"x": "y" * vault.MAX_BYTES}))],
+        [("a", "consume", None), ("a", "store", given)],
+    ]
+    for i, rows in enumerate(steps):
+        spark.createDataFrame(rows, "session string, op string, mapping string").coalesce(1).write.json(str(tmp_path / "in" / f"{i}"))
+    settings = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        events = spark.readStream.schema("session string, op string, mapping string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in" / "*"))
+        run = vault.vault(events).writeStream.format("memory").queryName("vault_codes").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        ended = run.awaitTermination(120)
+        run.stop()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert ended
+    got = sorted(((r["session"], r["op"], r["code"], r["mapping"]) for r in spark.table("vault_codes").collect()), key=lambda r: (r[0], r[1], r[2], r[3] or ""))
+    assert got == sorted([
+        ("a", "store", "stored", None), ("a", "store", "exists", None), ("a", "consume", "ok", given), ("a", "consume", "consumed", None), ("a", "store", "exists", None),
+        ("b", "consume", "unknown", None), ("c", "store", "malformed", None), ("c", "consume", "unknown", None), ("d", "store", "malformed", None), ("d", "other", "malformed", None), ("e", "store", "too_large", None),
+    ], key=lambda r: (r[0], r[1], r[2], r[3] or ""))

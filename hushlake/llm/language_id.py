@@ -139,7 +139,7 @@ class Tagger:
         return np.fromiter(map(self.at.__getitem__, tokens), np.int64, len(tokens))
 
     def shares(self, docs: list[str]) -> np.ndarray:
-        """Mean posterior of each label over a text's words; NaN without words."""
+        """Mean posterior of each label over a text's words, and in the last column of each word's best; NaN without words."""
         if len(self.at) > self.LIMIT:
             self._forget()
         tokens, bounds = [], [0]
@@ -153,13 +153,13 @@ class Tagger:
         place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         chain = np.cumsum(place % CHAIN == 0) - 1
         k = len(self.field.labels)
-        out = np.full((len(docs), k), np.nan)
+        out = np.full((len(docs), k + 1), np.nan)
         if not len(row):
             return out
         e = np.zeros((chain[-1] + 1, CHAIN, k), np.float32)
         e[chain, place % CHAIN] = self.rows[row]
         post = self.field.messages(e, np.bincount(chain))[-1][chain, place % CHAIN]
-        total = np.stack([np.bincount(doc, post[:, j], len(docs)) for j in range(k)], 1)
+        total = np.stack([np.bincount(doc, p, len(docs)) for p in (*post.T, post.max(1))], 1)
         return np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], np.nan)
 
 
@@ -185,12 +185,13 @@ def training_samples(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN
 
 
 def identify(docs: DataFrame, field: Field) -> DataFrame:
-    """docs with lang_pred and score. The label with most posterior mass over all words of the whole text wins, ties
-    going to the first in order; the score is its share. Null texts and texts without a letter give 'und' and 0; so
+    """docs with lang_pred, score and sure. The label with most posterior mass over all words of the whole text wins, ties
+    going to the first in order; the score is its share, and sure the mean of each word's best, whatever its label: high
+    in a text of several languages, each of them plain. Null texts and texts without a letter give 'und', 0 and 0; so
     does a field without labels. Repeated rows each get their language; an empty table gives an empty table. Chains begin anew
-    every CHAIN words. Other columns stay; those named lang_pred or score give way."""
+    every CHAIN words. Other columns stay; those named lang_pred, score or sure give way."""
     small_batches(docs.sparkSession)
-    docs = without(docs, ["lang_pred", "score"])
+    docs = without(docs, ["lang_pred", "score", "sure"])
     sent = docs.sparkSession.sparkContext.broadcast(field)  # BUCKETS floats a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,13 +200,14 @@ def identify(docs: DataFrame, field: Field) -> DataFrame:
         for b in batches:
             own = [t.decode() for t in texts(b)]
             got = [tagger.shares(own[i : i + 200]) for i in range(0, len(own), 200)] if labels[0] != UNKNOWN else []
-            share = np.concatenate(got) if got else np.full((len(own), 1), np.nan)
+            share = np.concatenate(got) if got else np.full((len(own), 2), np.nan)
             none = np.isnan(share[:, 0])
+            share, sure = share[:, :-1], np.where(none, 0, np.nan_to_num(share[:, -1])).clip(0, 1).astype(np.float64)
             best = np.where(none, len(labels) - 1, np.nan_to_num(share).argmax(1))
             score = np.where(none, 0, np.nan_to_num(share).max(1)).clip(0, 1).astype(np.float64)
-            yield appended(b, {"lang_pred": pa.array([labels[i] for i in best], pa.string()), "score": pa.array(score)})
+            yield appended(b, {"lang_pred": pa.array([labels[i] for i in best], pa.string()), "score": pa.array(score), "sure": pa.array(sure)})
 
-    return docs.mapInArrow(run, plus(docs, "lang_pred string, score double"))
+    return docs.mapInArrow(run, plus(docs, "lang_pred string, score double, sure double"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

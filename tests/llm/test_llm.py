@@ -568,3 +568,17 @@ def test_vector_searches_of_empty_and_unusable_tables(spark):
     one = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in topk.exact_top_k(one).collect()] == [(0, 1, 1)]
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(one).collect()] == [(0, 1, 1)]
+
+
+def test_pipeline_keeps_texts_of_many_languages(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(30)
+    lex = {f"l{i}": [a + b + a for a in pair for b in pair] for i, pair in enumerate(("ab", "cd", "ef", "gh", "ij"))}
+    rows = [(i, " ".join(rng.choices(lex[k], k=40)), k) for i, k in enumerate(list(lex) * 20)]
+    mixed = [" ".join(" ".join(rng.choices(lex[k], k=6)) for k in rng.sample(list(lex), 5)) for _ in range(5)]
+    rows += [(200 + i, t, None) for i, t in enumerate(mixed)] + [(300, "12 .. 7", None), (301, None, "l0")]
+    df = spark.createDataFrame([(*r, "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in corpus_pipeline.language_id(spark, df, "").collect()}
+    assert got == {r[0] for r in rows} - {300, 301}
+    found = language_id.identify(df, language_id.fit(language_id.training_samples(df))).filter("doc_id BETWEEN 200 AND 250").collect()
+    assert all(r["score"] < corpus_pipeline.MIN_SHARE and r["sure"] >= corpus_pipeline.MIN_SURE for r in found)

@@ -17,8 +17,8 @@ from hushlake.llm.packing import pack
 from hushlake.llm.substring_dedup import dedup_substrings
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Least share of a text's words that its language must have.
-MIN_SHARE = 0.34
+#: A text stays if one language has this share of its words, or if its words are this plain on average, whatever theirs.
+MIN_SHARE, MIN_SURE = 0.34, 0.75
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -26,10 +26,10 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters and texts of which no language explains a third of the words; lang is set to the
-    language found."""
+    """Rejects texts without letters and texts whose words no language explains: less than a third of them in any one, and
+    unsure between several. A text that switches between plain languages stays. lang is set to the language found."""
     found = identify(docs, fit(training_samples(docs)))
-    kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SHARE))
+    kept = found.filter((F.col("lang_pred") != UNKNOWN) & ((F.col("score") >= MIN_SHARE) | (F.col("sure") >= MIN_SURE)))
     return _documents(kept.withColumn("lang", F.col("lang_pred")))
 
 

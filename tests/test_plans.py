@@ -79,11 +79,19 @@ def test_bootstrap_weights_of_few_and_no_documents(spark):
 
 
 def test_simhash_and_near_pairs(spark):
-    long = " ".join(f"word{i}" for i in range(200))
-    df = spark.createDataFrame([(1, long, "a"), (2, long + " more", "b"), (3, "something else entirely here", "b"), (4, long, "b")], "doc_id long, text string, split string")
-    assert {tuple(r) for r in integrity.near_pairs(df, "split", distance=4, ratio=0.85).select("left_id", "right_id").collect()} <= {(1, 2), (1, 4)}
+    """Against all pairs: one word of many changed leaves SimHashes close; equal texts and one split don't pair."""
+    from difflib import SequenceMatcher
+
+    base = [f"word{i}" for i in range(400)]
+    rows = [(0, " ".join(base), "a"), (1, " ".join(base), "b"), (2, "something else entirely here", "b")]
+    rows += [(3 + i, " ".join([*base[: 20 * i], "changed", *base[20 * i + 1 :]]), "ab"[i % 2]) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, split string")
     h = {r["doc_id"]: r["simhash"] for r in integrity.simhash(df).collect()}
-    assert h[1] == h[4] != h[3]
+    assert h[0] == h[1] != h[2]
+    near = lambda a, b: a[2] != b[2] and a[1] != b[1] and bin((h[a[0]] ^ h[b[0]]) % 2**64).count("1") <= 2 and SequenceMatcher(None, a[1], b[1], autojunk=False).ratio() >= 0.85
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and near(a, b)}
+    assert want
+    assert {tuple(r) for r in integrity.near_pairs(df, "split").select("left_id", "right_id").collect()} == want
 
 
 def test_language(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, filter_audit, html_text, jaccard_join, language_id, line_dedup, packing, pieces, substring_dedup, topk, toxicity
+from . import ann, delta_lloyd, exact_dedup, filter_audit, html_text, jaccard_join, language_id, line_dedup, packing, pieces, substring_dedup, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_html_text": html_text.op9_html_text,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_delta_lloyd": delta_lloyd.op11_delta_lloyd,
+    "op12_exact_dedup": exact_dedup.op12_exact_dedup,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 ORACLES = {
@@ -22,5 +24,7 @@ ORACLES = {
     "op4_jaccard_join": jaccard_join.ORACLE_SQL,
     "op6_substring_dedup": substring_dedup.ORACLE_SQL,
     "op7_topk": topk.ORACLE_SQL,
+    "op11_delta_lloyd": delta_lloyd.ORACLE_SQL,
+    "op12_exact_dedup": exact_dedup.ORACLE_SQL,
     "op13_filter_audit": filter_audit.ORACLE_SQL,
 }

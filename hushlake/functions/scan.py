@@ -93,13 +93,24 @@ def _iban_head(v: str) -> str:
     return v
 
 
-_SIGN = re.compile(r"([^\S\r\n]*)[:=#]")
+_SIGN = re.compile("[:=#]")
 _NAMES = tuple({x.lower() for r in R.LABELS for x in r.labels})
 _LONGEST = max(map(len, _NAMES))
 
 
+def _named(text: str) -> bool:
+    """Whether a label stands before a sign. The blanks before each sign are walked once: no pattern tries them anew."""
+    for m in _SIGN.finditer(text):
+        at = m.start()
+        while at and text[at - 1].isspace() and text[at - 1] not in "\r\n":
+            at -= 1
+        if text[max(0, at - _LONGEST) : at].lower().endswith(_NAMES):
+            return True
+    return False
+
+
 def labelled(text: str) -> list[Span]:
-    if not any(text[max(0, m.start() - _LONGEST) : m.start()].lower().endswith(_NAMES) for m in _SIGN.finditer(text)):
+    if not _named(text):
         return []
     best: dict[tuple[int, int], tuple[int, Span]] = {}
     for r in R.LABELS:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 TRANSFORMATIONS = dict(
     dict.fromkeys(("original", "casing", "line-wrapping", "punctuation-spacing", "unicode-normalization", "dutch-surname-prefix", "apostrophe", "spaced-iban"), "supported")
     | dict.fromkeys(("whitespace-insertion", "whitespace-removal", "url-encoding", "html-entities", "fullwidth", "initials", "hyphenation", "split-phone", "nested-overlap"), "partial")
-    | dict.fromkeys(("zero-width", "homoglyph", "ocr-like", "email-obfuscation"), "unsupported")
+    | dict.fromkeys(("zero-width", "homoglyph", "ocr-like", "email-obfuscation"), "deliberately_unsupported")
 )
 TEMPLATES = (
     ("email", "Send the file to {} today."), ("iban", "Transfer the deposit to {} this week."), ("phone", "Call {} after lunch."), ("bsn", "The form lists BSN: {} as number."),

@@ -109,7 +109,13 @@ def restore(df: DataFrame, text: str = "safe_text", mapping: str = "mapping", ou
     return df.withColumn(out, F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), values.alias("v")), lambda x: F.array(F.coalesce(x["g"], F.lit("")), F.coalesce(x["v"], F.lit(""))))), ""))
 
 
+def is_faulty() -> Column:
+    """Whether a prepared row breaks an invariant: safe text exactly for approved ones, none of them reviewed or blocked, no
+    mapping of others."""
+    ok = F.col("status") == "ok"
+    return (ok != F.col("safe_text").isNotNull()) | (ok & ~F.col("outcome").isin("ALLOW", "REDACTED", "PSEUDONYMIZED")) | (~ok & (F.size("mapping") > 0))
+
+
 def output_faults(prepared_df: DataFrame) -> DataFrame:
     """Rows that break the result's invariants: none, if all is well."""
-    ok = F.col("status") == "ok"
-    return prepared_df.filter((ok != F.col("safe_text").isNotNull()) | (ok & ~F.col("outcome").isin("ALLOW", "REDACTED", "PSEUDONYMIZED")) | (~ok & (F.size("mapping") > 0)))
+    return prepared_df.filter(is_faulty())

@@ -209,8 +209,8 @@ def normalised_views(spark: SparkSession, d: str) -> DataFrame:
     return v.select("doc_id", F.length("v.norm").alias("n_chars"), F.size("v.runs").alias("n_runs"))
 
 
-def _n(words: list[str]) -> str:
-    return f"len(list_filter(ws, lambda w: list_contains({words}, w)))"
+def _n(words: tuple[str, ...]) -> str:
+    return f"len(list_filter(ws, lambda w: list_contains({list(words)}, w)))"
 
 
 @query(f"""SELECT doc_id, CASE WHEN en >= 2 AND en >= nl + 1 THEN 'en' WHEN nl >= 2 AND nl >= en + 1 THEN 'nl' END AS language FROM (SELECT doc_id, {_n(language.EN)} AS en,
@@ -545,12 +545,13 @@ for _p, _f in zip(probes.OTHER_PROBES, (detect.prefix_spans, detect.creditor_spa
 
 
 def _scanned(spark: SparkSession, d: str, some: list[probes.Probe]) -> DataFrame:
-    """The Arrow stage over all rows made for rules: how many values each rule finds where it should."""
+    """The Arrow stage over all rows made for rules: how many spans each rule finds in them, and how many where it should."""
     keys = _keys(spark, d)
     own = [keys.select(F.lit(p.rule).alias("wanted"), F.expr(p.text).alias("text"), F.expr(p.value).alias("value"), F.expr(p.start).alias("at")) for p in some]
     rows = reduce(DataFrame.unionAll, own)
-    found = detect.findings(detect.detect(rows), "candidates", "wanted", "value", "at").filter("rule = wanted AND text = value AND start = at")
-    return found.groupBy("rule").agg(F.count("*").alias("n"))
+    found = detect.findings(detect.detect(rows), "candidates", "wanted", "value", "at")
+    right = F.coalesce((F.col("text") == F.col("value")) & (F.col("start") == F.col("at")), F.lit(False))
+    return found.groupBy("wanted", "rule").agg(F.count("*").alias("n"), F.count_if(right).alias("n_right"))
 
 
 @query(probes.counts_sql(probes.LABEL_PROBES))
@@ -568,11 +569,16 @@ _FIELD_SQL = f"({probes.choice('k', _FIELDS)})"
 _FIELD_TEXT = f"'Record ' || {probes.K} || '. ' || CASE WHEN k % 3 = 0 THEN 'Recorded ' ELSE '' END || {_FIELD_SQL} || CASE WHEN k % 5 = 0 THEN ' ' WHEN k % 2 = 0 THEN ': ' ELSE ' = ' END || CASE WHEN k % 11 = 0 THEN 'Nationality' ELSE 'Value' || {probes.K} END || ' Occupation: x'"
 
 
-@query(f"SELECT k, {probes.choice('k', lexicon.FIELD_LABELS.values())} AS category, 'Value' || {probes.K} AS text FROM (SELECT c_custkey AS k FROM customer) WHERE k % 5 <> 0 AND k % 11 <> 0")
+# Labels that are concepts of themselves are said of the whole sentence, without a sign or (membership) behind a colon.
+_BARE = f"k % 5 = 0 AND {_FIELD_SQL} IN ('dna profile', 'dna-profiel', 'sexual activity') OR k % 5 <> 0 AND k % 2 = 0 AND {_FIELD_SQL} = 'trade union membership'"
+
+
+@query(f"""SELECT k, {probes.choice('k', lexicon.FIELD_LABELS.values())} AS category, 'Value' || {probes.K} AS text FROM (SELECT c_custkey AS k FROM customer) WHERE k % 5 <> 0 AND k % 11 <> 0
+UNION ALL SELECT k, {probes.choice('k', lexicon.FIELD_LABELS.values())}, substr({_FIELD_TEXT}, length('Record ' || {probes.K} || '. ') + 1) FROM (SELECT c_custkey AS k FROM customer) WHERE {_BARE}""")
 def special_fields(spark: SparkSession, d: str) -> DataFrame:
     """Values of special-category fields: bounded by the next header, refused if they are a header, led by a verb or not."""
     found = prepare.assertions(_keys(spark, d).select("k", F.expr(_FIELD_TEXT).alias("text")), "k")
-    return found.select("k", "category", F.concat(F.lit("Value"), F.col("k").cast("string")).alias("text"), (F.col("end") - F.col("start")).alias("n")).filter("n = length(text)").drop("n")
+    return found.select("k", "category", F.substring(F.expr(_FIELD_TEXT), F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))
 
 
 _CONCEPTS = [(c, x) for c, v in lexicon.CONCEPTS.items() for x in v if x not in lexicon.FIELD_LABELS and c in ("political_opinion", "religious_or_philosophical_belief", "trade_union_membership", "genetic_data", "health_data", "sexual_orientation", "racial_or_ethnic_origin")]
@@ -618,12 +624,11 @@ def restored_cases(spark: SparkSession, d: str) -> DataFrame:
     return prepare.restore(p).select("k", "restored")
 
 
-@query(f"SELECT {_case(1)} AS status, {_case(2)} AS outcome, count(*) AS n, count(*) FILTER (WHERE {_case(3)} IS NULL) AS n_withheld FROM (SELECT c_custkey AS k FROM customer) GROUP BY ALL")
+@query(f"SELECT {_case(1)} AS status, {_case(2)} AS outcome, count(*) AS n, count(*) FILTER (WHERE {_case(3)} IS NULL) AS n_withheld, 0::BIGINT AS n_faulty FROM (SELECT c_custkey AS k FROM customer) GROUP BY ALL")
 def output_states(spark: SparkSession, d: str) -> DataFrame:
-    """Statuses and outcomes with the texts withheld: exactly those not approved; rows that break an invariant drop out."""
+    """Statuses and outcomes with the texts withheld, exactly those not approved, and the rows that break an invariant."""
     p = prepare.prepare(_keys(spark, d).select("k", F.expr(_case(0)).alias("text")))
-    sound = p.join(prepare.output_faults(p).select("k"), "k", "left_anti")
-    return sound.groupBy("status", "outcome").agg(F.count("*").alias("n"), F.count(F.when(F.col("safe_text").isNull(), 1)).alias("n_withheld"))
+    return p.groupBy("status", "outcome").agg(F.count("*").alias("n"), F.count_if(F.col("safe_text").isNull()).alias("n_withheld"), F.count_if(prepare.is_faulty()).alias("n_faulty"))
 
 
 _TOOLS = ("mcp__mail__send", "mcp_send", "WebFetch", "webfetch", "WebSearch", "google_search", "Read", "Bash", "http_get", "list_files", "connect_db", "Edit")

@@ -120,5 +120,23 @@ def expected_sql(p: Probe) -> str:
     return f"SELECT k, {p.start} AS start, {p.value} AS text FROM (SELECT c_custkey AS k FROM customer) WHERE {p.hit}"
 
 
+_NAME = {x.name: choice("k", x.labels) for x in R.LABELS}
+_SHORT = "length(CAST(k % 300 AS STRING)) + length(CAST(k % 200 AS STRING)) >= 4"
+#: What other rules find in a rule's rows: (rows of, rule, where, whether at the value). Without a label a value is found by
+#: its form alone; a date can look like a postcode, and a key before a label that begins with ID as well.
+ELSEWHERE = [
+    ("appointment_label", "dutch_postcode", "true", False), ("appointment_label", "general_date", GOOD, False), ("appointment_label", "time", "true", False),
+    ("bsn_label", "dutch_bsn", f"k % 7 = 0 AND ({BSN_OK})", True), ("bsn_label", "phone", f"{NINE} LIKE '0%'", True), ("credit_card_label", "credit_card", f"k % 7 = 0 AND ({LUHN_OK})", True),
+    ("date_of_birth_label", "general_date", GOOD, True), ("email_label", "email", f"k % 7 = 0 AND {GOOD}", True), ("iban_label", "iban", f"k % 7 = 0 AND {GOOD}", True),
+    ("ipv4_label", "address_label", f"k % 7 <> 0 AND k % 300 > 255 AND {_NAME['ipv4_label']} LIKE '%dres%'", True), ("ipv4_label", "ipv4", "k % 7 = 0 AND k % 300 <= 255", True), ("ipv4_label", "phone", _SHORT, True),
+    ("ipv6_label", "ipv6", f"k % 7 = 0 AND {GOOD}", True), ("mac_label", "address_label", f"k % 7 <> 0 AND {BAD} AND {_NAME['mac_label']} LIKE '%dres%'", True), ("mac_label", "mac_address", f"k % 7 = 0 AND {GOOD}", True),
+    ("national_id_label", "dutch_postcode", f"k BETWEEN 1000 AND 9999 AND {_NAME['national_id_label']} LIKE 'ID %'", False), ("phone_label", "phone", f"k % 7 = 0 AND {GOOD}", True),
+    ("complete_dutch_address", "dutch_postcode", GOOD, False), ("dutch_bsn", "phone", f"{NINE} LIKE '0%'", True), ("ipv4", "phone", _SHORT, True),
+]
+
+
 def counts_sql(probes: list[Probe]) -> str:
-    return " UNION ALL ".join(f"SELECT '{p.rule}' AS rule, count(*) AS n FROM (SELECT c_custkey AS k FROM customer) WHERE {p.hit}" for p in probes)
+    """(wanted, rule, n, n_right) of every span that the rules find in all probes' rows."""
+    own = [(p.rule, p.rule, p.hit, True) for p in probes] + [x for x in ELSEWHERE if x[0] in {p.rule for p in probes}]
+    each = " UNION ALL ".join(f"SELECT '{w}' AS wanted, '{r}' AS rule, count(*) AS n, {'count(*)' if right else '0::BIGINT'} AS n_right FROM (SELECT c_custkey AS k FROM customer) WHERE {hit}" for w, r, hit, right in own)
+    return f"SELECT * FROM ({each}) WHERE n > 0"

@@ -18,8 +18,12 @@ from .components import components
 BAND = 1.5
 #: Groups beyond those that a linked pair can differ in: at least so many, and one for so many differences.
 SPARE, PER_SPARE = 2, 8
-#: Low bits of a key that tell its band.
-BAND_BITS = 7
+#: Low bits of a key that tell its band and grouping.
+BAND_BITS = 10
+#: Groupings of a band, each by a hash of its own, that sets with too many empty groups go through; then prefixes tell them.
+GROUPINGS = 6
+#: Members whose sets are compared with their lead's in one group.
+MEMBERS = 4096
 #: Sets up to FINE tokens have more groups than tokens, larger ones a group for about four.
 FINE = 4096
 #: Points in a leaf of the R-tree, children of its inner nodes, and numbers compared at a time.
@@ -62,24 +66,35 @@ class Rule:
         return out
 
     def keys(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, needs): a key for each group of the set in each of its bands, and how many keys of a band it has in common
-        with any linked set, as need << BAND_BITS | band.
+        """(keys, needs): keys of the set in each of its bands, and how many keys of a band and grouping it has in common with
+        any set that it is linked with and that has enough groups there, as need << BAND_BITS | code.
 
         In a band of D possible differences there are D + 1 + spare groups, so that linked sets agree in over spare of them.
-        Empty groups give no key, unless there are more of them than spare: then all do, and one common key is certain.
+        Every key is the content of a group that isn't empty. A set with more empty groups than spare meets all linked sets
+        with fewer; for the others like it, its tokens are grouped anew by another hash, and so on. Should a set stay
+        sparse in all groupings, the first of its tokens are keys: two linked sets have one of those in common.
         """
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(0x2545F491)))])
         out, needs = [], []
         for band in self.bands(len(h)):
             differ, spare = self.spare(band)
-            cut = np.concatenate([[0], np.searchsorted(h, _cuts(differ + 1 + spare)), [len(h)]])
-            content = sums[cut[1:]] - sums[cut[:-1]]
-            size = np.diff(cut)
-            place = np.arange(len(size), dtype=np.uint64) + np.uint64((band + 1) << 40)
-            key = mix(content + mix(place) + size.astype(np.uint64)) >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | np.uint64(band)
-            empty = int((size == 0).sum())
-            out.append(key if empty > spare else key[size > 0])
-            needs.append((1 if empty > spare else spare + 1 - empty) << BAND_BITS | band)
+            for turn in range(GROUPINGS + 1):
+                code = np.array([band * (GROUPINGS + 1) + turn], np.uint64)
+                own = h if not turn else np.sort(mix(h + np.uint64(turn)))
+                if turn == GROUPINGS:
+                    first = own[: len(h) - -(-len(h) * self.num // self.den) + 1]
+                    key, need = mix(first + mix(code)), 1
+                else:
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own + np.uint64(0x2545F491)))])
+                    cut = np.concatenate([[0], np.searchsorted(own, _cuts(differ + 1 + spare)), [len(h)]])
+                    size = np.diff(cut)
+                    place = np.arange(len(size), dtype=np.uint64) + (code + np.uint64(1) << np.uint64(40))
+                    full = size > 0
+                    key = mix((sums[cut[1:]] - sums[cut[:-1]] + mix(place) + size.astype(np.uint64))[full])
+                    need = max(1, spare + 1 - int((~full).sum()))
+                out.append(key >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | code)
+                needs.append(need << BAND_BITS | int(code[0]))
+                if turn == GROUPINGS or (~full).sum() <= spare:
+                    break
         return np.concatenate(out), np.array(needs, np.int64)
 
     @staticmethod
@@ -210,22 +225,27 @@ def _sets(pairs: DataFrame, docs: DataFrame, points: DataFrame, rule: Rule) -> D
 
 
 def _verified(pairs: DataFrame, own: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    left, right = own.select(F.col("m").alias("a"), F.col("s").alias("sa")), own.select(F.col("m").alias("b"), F.col("s").alias("sb"))
+    """The pairs (a, b) whose sets link. A lead's set travels once for MEMBERS others, and each of theirs once a pair."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    placed = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    leads = placed.select("a", "part").distinct().join(own.withColumnRenamed("m", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "s")
+    members = placed.join(own.withColumnRenamed("m", "b"), "b").select("a", "part", "b", "s")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, t = None, np.zeros(0, np.uint64)
         for b in batches:
             good = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(s) > len(t):
-                    s, t = t, s
+            for x, y, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                s = np.frombuffer(s.as_buffer(), np.uint64)
+                if y is None:  # comes first
+                    lead, t = x, s.copy()
                 total = len(s) + len(t)
-                good.append(bool(rule.enough(len(s), total) and rule.enough(int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()), total)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+                ok = y is not None and x == lead and rule.enough(min(len(s), len(t)), total)
+                good.append(bool(ok and rule.enough(int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()), total)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
-    return both.mapInArrow(check, "a long, b long").distinct()
+    rows = leads.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    return rows.mapInArrow(check, "a long, b long").distinct()
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, rule: Rule) -> DataFrame:

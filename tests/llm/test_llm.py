@@ -126,13 +126,45 @@ def test_group_keys_meet_all_linked_pairs():
         both = len(np.intersect1d(a, b))
         if len(b) and 100 * both >= 85 * (len(a) + len(b) - both):
             (ka, na), (kb, nb) = rule.keys(a), rule.keys(b)
-            common = np.intersect1d(ka, kb).astype(np.int64) & 127
-            need = [{int(x) & 127: int(x) >> 7 for x in v} for v in (na, nb)]
+            low = (1 << jaccard_join.BAND_BITS) - 1
+            common = np.intersect1d(ka, kb).astype(np.int64) & low
+            need = [{int(x) & low: int(x) >> jaccard_join.BAND_BITS for x in v} for v in (na, nb)]
             assert any((common == band).sum() >= max(need[0][band], need[1][band]) for band in set(need[0]) & set(need[1]))
             met += 1
     assert met > 100
 
 
+@pytest.mark.parametrize("groupings", [jaccard_join.GROUPINGS, 0])
+def test_no_key_is_shared_by_unrelated_sets(monkeypatch, groupings):
+    """Keys are contents: sets with nothing in common share none, however many of their groups are empty."""
+    monkeypatch.setattr(jaccard_join, "GROUPINGS", groupings)
+    rule, rng, seen, sparse = jaccard_join.Rule(5, 80, 100), np.random.default_rng(6), {}, 0
+    for i in range(2000):
+        keys, needs = rule.keys(np.unique(rng.integers(0, 2**63, int(rng.integers(1, 120))).astype(np.uint64)))
+        sparse += len(needs) > len({int(x) % (1 << jaccard_join.BAND_BITS) // (groupings + 1) for x in needs})
+        for k in set(keys.tolist()):
+            assert seen.setdefault(k, i) == i
+    assert sparse > 100 or not groupings
+
+
+@pytest.mark.parametrize("groupings", [0, 1, 2])
+def test_sparse_sets_meet_by_other_groupings_and_prefixes(monkeypatch, groupings):
+    monkeypatch.setattr(jaccard_join, "GROUPINGS", groupings)
+    rule, rng, low, met = jaccard_join.Rule(5, 80, 100), np.random.default_rng(7), (1 << jaccard_join.BAND_BITS) - 1, 0
+    for _ in range(500):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(8, 100))).astype(np.uint64))
+        cut = int(len(a) * 0.1)
+        b = np.unique(np.concatenate([a[cut:], rng.integers(0, 2**63, cut).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 80 * (len(a) + len(b) - both):
+            (ka, na), (kb, nb) = rule.keys(a), rule.keys(b)
+            common = np.intersect1d(ka, kb).astype(np.int64) & low
+            need = [{int(x) & low: int(x) >> jaccard_join.BAND_BITS for x in v} for v in (na, nb)]
+            assert any((common == code).sum() >= max(need[0][code], need[1][code]) for code in set(need[0]) & set(need[1]))
+            met += 1
+    assert met > 200
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 50), (100, 101)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

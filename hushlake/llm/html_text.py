@@ -28,9 +28,16 @@ MARKS = (
     "promotion", "reactions", "recommended", "related", "replies", "reply", "respond", "responses", "search", "share", "sharing", "sidebar", "signup", "site-info", "skip", "social", "sponsor", "sponsored",
     "subscribe", "subscription", "taboola", "tags", "toolbar", "topbar", "warning", "widget", "widgets",
 )
-#: First words of a compound that mark it whatever follows, and last words that don't mark it.
+#: First words of a compound that mark it if the last one names a part of a page, and last words that don't mark it.
 LEADS = ("ad", "ads", "advert", "advertisement", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "footer", "header", "menu", "nav", "navbar", "newsletter", "promo", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget")
+PARTS = (
+    "area", "bar", "block", "bottom", "box", "button", "buttons", "card", "cards", "center", "col", "column", "container", "content", "count", "counter", "form", "group", "head", "heading", "holder", "icon", "icons", "inner",
+    "item", "items", "label", "left", "link", "links", "list", "main", "module", "outer", "panel", "panels", "post", "posts", "primary", "right", "row", "secondary", "section", "slot", "thread", "title", "top", "tower", "unit",
+    "us", "wrap", "wrapper", "zone",
+)
 NO_MARK = ("free", "none", "less", "off")
+#: Words that say what a layout has or lacks, not what it is.
+LAYOUT = ("has", "no", "with", "without")
 #: Prefixes by which publishing systems write a page's topics, states and layout into classes.
 TOPICS = ("author", "category", "entry", "format", "has", "is", "lang", "no", "page", "post", "postid", "single", "status", "subject", "tag", "taxonomy", "term", "topic", "type", "with", "without")
 ROLES = ("alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search")
@@ -42,6 +49,10 @@ BLOCKS = (
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 LISTS = ("ul", "ol", "menu", "dl", "table", "select")
 
+#: How an element is marked: not at all, by a compound name (or as a form, which can hold a whole page), by a plain name or
+#: role, by its kind, as not shown.
+PLAIN, COMPOUND, NAMED, KIND, UNSEEN = range(5)
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*+[^>]*>|\Z", re.I) for t in RAW}
@@ -51,32 +62,30 @@ _SKIPPED = re.compile(rf"""<!--.*?(?:-->|\Z)|<({"|".join(RAW)})(?![^\s/>]).*?(?:
 WORD, TAG = 5, 4
 
 
-def _mark(word: str) -> bool:
-    """Whether a class or id says that its element isn't the article: as a whole, by its last word, or by a first word that
-    leaves no doubt; topics of the page say nothing."""
+def _mark(word: str) -> int:
+    """Whether a class or id says that its element isn't the article: as a whole, by its last word, or by its first word where
+    the last names a part of a page; topics of the page and words on its layout say nothing."""
     if word in MARKS:
-        return True
+        return NAMED
     parts = [p for p in re.split(r"[-_:]+", word) if p]
-    if len(parts) < 2 or parts[0] in TOPICS or parts[-1] in NO_MARK:
-        return False
-    return parts[0] in LEADS or parts[-1] in MARKS
+    if len(parts) < 2 or parts[0] in TOPICS or parts[-1] in NO_MARK or any(p in LAYOUT for p in parts):
+        return PLAIN
+    return COMPOUND if (parts[0] in LEADS and parts[-1] in PARTS) or parts[-1] in MARKS else PLAIN
 
 
-def _marked(tag: str, attrs: str) -> bool:
-    if tag in NOT_ARTICLE:
-        return True
-    if tag in ("html", "body", "main", "article") or not attrs:
-        return False
+def _marked(tag: str, attrs: str) -> int:
+    found = COMPOUND if tag == "form" else KIND if tag in NOT_ARTICLE else PLAIN
+    if tag in ("html", "body", "main") or not attrs:
+        return found
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
+            return UNSEEN
         if name == "role" and value.strip() in ROLES:
-            return True
+            found = max(found, NAMED)
         if name in ("class", "id"):
-            if any(map(_mark, value.split())):
-                return True
-    return False
+            found = max([found, *map(_mark, value.split())])
+    return found
 
 
 def _closed(tag: str, attrs: str) -> bool:
@@ -101,85 +110,130 @@ def _ends(source: str) -> dict[int, int]:
 
 
 class Page:
-    """A page as a run of nodes: words (with their text) and tags, each with its features."""
+    """A page as a run of nodes: words (with their text) and tags, each with its features.
+
+    Elements are read first and judged when their words are known. Of article and main elements, the least marked ones first,
+    the one with most words is the principal one; nothing around it counts as marked, whatever it is called.
+    Without any, what holds over half of the page's words isn't marked by its name.
+    """
 
     def __init__(self, source: str):
         self.text: list[str | None] = []  # decoded text of word nodes, None for tags
         self.breaks: list[bool] = []  # the node ends a block
-        self.skip: list[bool] = []
-        self.feats: list[tuple[int, ...]] = []
-        stack: list[tuple[str, bool]] = []
-        deep: dict[str, int] = {}
-        inside = marked = 0
-        has_article = re.search(r"<(article|main)\b", source, re.I) is not None
+        self.own: list[int] = []  # the element that the node is in
+        self.kinds: list[tuple[int, bool, bool]] = []  # of a word node words, in a link, in a list item; of a tag kind - 3
+        self.tags, self.parent, self.marks = [""], [0], [PLAIN]  # of each element; the first is the page
+        stack, deep = [0], {}
         at = 0
         ends: dict[int, int] | None = None
+
+        def close(upto: int) -> None:
+            while len(stack) > upto:
+                deep[self.tags[stack.pop()]] -= 1
+
         for m in iter(lambda: _TAG.search(source, at), None):
             if m.start() > at:
-                self._words(source[at : m.start()], deep, marked, has_article and not inside)
+                self._words(source[at : m.start()], deep, stack[-1])
             at = m.end()
             tag = (m[2] or m[5] or "").lower()
             if not tag:
                 continue
             if tag in RAW and not (m[1] or m[4]):
                 at = _RAW_END[tag].search(source, at).end()
-                self._tag(tag, marked)
+                self._tag(tag, stack[-1])
                 continue
             if tag in SKIPPED and not (m[1] or m[4]):  # without its end tag, only the tag itself goes
                 ends = _ends(source) if ends is None else ends
                 at = ends.get(m.start(), at)
-                self._tag(tag, marked)
+                self._tag(tag, stack[-1])
                 continue
             if m[1] or m[4]:  # an end tag closes down to its start tag, if there is one
                 if deep.get(tag):
-                    while True:
-                        t, bad = stack.pop()
-                        deep[t] -= 1
-                        marked -= bad
-                        inside -= t in ("article", "main")
-                        if t == tag:
-                            break
-                self._tag(tag, marked)
+                    i = len(stack) - 1
+                    while self.tags[stack[i]] != tag:
+                        i -= 1
+                    close(i)
+                self._tag(tag, stack[-1])
                 continue
             attrs = m[3] if m[2] else m[6]
             ended = ("p",) if tag in BLOCKS and deep.get("p") else SIBLINGS.get(tag, ())
             if ended:  # the open element that this one ends without an end tag, if no list or table stands between
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ended:
-                        while len(stack) > i:
-                            t, bad = stack.pop()
-                            deep[t] -= 1
-                            marked -= bad
-                            inside -= t in ("article", "main")
+                for i in range(len(stack) - 1, 0, -1):
+                    open_ = self.tags[stack[i]]
+                    if open_ in ended:
+                        close(i)
                         if ended == ("p",) or tag not in ("tr",):
                             break
-                    elif stack[i][0] in LISTS or (ended == ("p",) and stack[i][0] in BLOCKS):
+                    elif open_ in LISTS or (ended == ("p",) and open_ in BLOCKS):
                         break
-            self._tag(tag, marked)
+            self._tag(tag, stack[-1])
             if tag in VOID or attrs.endswith("/"):
                 continue
-            bad = _marked(tag, attrs)
-            stack.append((tag, bad))
+            self.parent.append(stack[-1])
+            self.tags.append(tag)
+            self.marks.append(_marked(tag, attrs))
+            stack.append(len(self.tags) - 1)
             deep[tag] = deep.get(tag, 0) + 1
-            marked += bad
-            inside += tag in ("article", "main")
         if at < len(source):
-            self._words(source[at:], deep, marked, has_article and not inside)
+            self._words(source[at:], deep, stack[-1])
+        self._judge()
 
-    def _words(self, raw: str, deep: dict[str, int], marked: int, outside: bool) -> None:
+    def _words(self, raw: str, deep: dict[str, int], own: int) -> None:
         text = html.unescape(raw) if "&" in raw else raw
-        n = len(text.split())
         self.text.append(text)
         self.breaks.append(False)
-        self.skip.append(bool(marked))
-        self.feats.append((n, n * bool(deep.get("a")), n * bool(marked), n * outside, n * bool(deep.get("li")), 0, 0, 0, 0))
+        self.own.append(own)
+        self.kinds.append((len(text.split()), bool(deep.get("a")), bool(deep.get("li"))))
 
-    def _tag(self, tag: str, marked: int) -> None:
-        kind = 3 if marked else 1 if tag in ("a", "li", "ul", "ol", "option", "dl") else 2 if tag in INLINE else 0
+    def _tag(self, tag: str, own: int) -> None:
         self.text.append(None)
         self.breaks.append(tag not in INLINE)
-        self.skip.append(True)
-        self.feats.append((0,) * WORD + tuple(int(kind == k) for k in range(TAG)))
+        self.own.append(own)
+        self.kinds.append((-2 if tag in ("a", "li", "ul", "ol", "option", "dl") else -1 if tag in INLINE else -3, False, False))
+
+    def _judge(self) -> None:
+        size = len(self.tags)
+        words = [0] * size  # outside of links and of what isn't shown, in each element
+        for own, (n, link, _) in zip(self.own, self.kinds, strict=True):
+            if n > 0 and not link:
+                words[own] += n
+        for i in range(size - 1, 0, -1):
+            if self.marks[i] != UNSEEN:
+                words[self.parent[i]] += words[i]
+        worst = [PLAIN] * size  # of the marks around each element and its own
+        for i in range(1, size):
+            worst[i] = max(worst[self.parent[i]], self.marks[i])
+        own = [i for i in range(1, size) if self.tags[i] in ("article", "main") and words[i] and worst[i] != UNSEEN]
+        for level in (COMPOUND, NAMED, KIND):
+            some = [i for i in own if worst[i] <= level]
+            if some:
+                break
+        most = {t: max((i for i in some if self.tags[i] == t), key=lambda i: words[i], default=0) for t in ("article", "main")} if own else {"article": 0, "main": 0}
+        a, b = most["article"], most["main"]
+        self.principal = a if a and (not b or 2 * words[a] >= words[b]) else b
+        around, i = set(), self.principal
+        while i:
+            around.add(i)
+            i = self.parent[i]
+        bad = [False] * size
+        self.within = [0] * size  # the outermost element of the principal one's kind around each
+        kind = self.tags[self.principal] if self.principal else None
+        for i in range(1, size):
+            p, m = self.parent[i], self.marks[i]
+            spared = i in around if self.principal else m <= NAMED and 2 * words[i] > words[0]
+            bad[i] = bad[p] or m == UNSEEN or (m != PLAIN and not spared)
+            self.within[i] = self.within[p] or (i if self.tags[i] == kind else 0)
+        if self.principal:
+            self.principal = self.within[self.principal]
+        self.skip = [bad[own] or text is None for own, text in zip(self.own, self.text, strict=True)]
+        self.feats: list[tuple[int, ...]] = []
+        for own, (n, link, item) in zip(self.own, self.kinds, strict=True):
+            if n < 0:
+                k = 3 if bad[own] else n + 3
+                self.feats.append((0,) * WORD + tuple(int(k == j) for j in range(TAG)))
+            else:
+                outside = bool(kind) and not self.within[own]
+                self.feats.append((n, n * link, n * bad[own], n * outside, n * item, 0, 0, 0, 0))
 
     def region(self, weights: np.ndarray) -> tuple[int, int]:
         """The run of nodes with the largest sum, the first and longest such; (0, 0) if no sum is over zero."""
@@ -193,11 +247,22 @@ class Page:
             return 0, 0
         return int(np.argmax(total[: hi + 1] == low[hi])), hi
 
+    def whole(self, weights: np.ndarray) -> set[int]:
+        """The article elements (or main ones) that count as a whole: the principal one, and others that score over zero."""
+        score: dict[int, float] = {}
+        if self.principal:
+            for own, x in zip(self.own, np.array(self.feats, np.float64) @ weights, strict=True):
+                if top := self.within[own]:
+                    score[top] = score.get(top, 0.0) + x
+        return {e for e, x in score.items() if x > 0 or e == self.principal}
+
     def extract(self, weights: np.ndarray) -> str:
+        """The words of the best run and of whole articles, which the run's ends don't cut."""
         lo, hi = self.region(weights)
+        whole = self.whole(weights)
         parts: list[str] = []
-        for i in range(lo, hi):
-            if self.breaks[i]:
+        for i, own in enumerate(self.own):
+            if not (lo <= i < hi or self.within[own] in whole) or self.breaks[i]:
                 parts.append(" ")
             elif not self.skip[i]:
                 parts.append(self.text[i])
@@ -275,7 +340,7 @@ def fitted_weights() -> tuple[float, ...]:
 def extract_text(pages: DataFrame, weights: tuple[float, ...] | None = None) -> DataFrame:
     """pages with text, the main text of html. Null, empty and article-less pages give ''. Cut-off tags, comments and
     elements end with the page. Repeated rows each get their text; an empty table gives an empty
-    table. Other columns stay; one named text gives way."""
+    table. Other columns stay; one named text gives way. Pages are read whole, however long."""
     small_batches(pages.sparkSession)
     pages = without(pages, ["text"])
     w = np.array(weights or fitted_weights())

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -461,6 +462,54 @@ def test_article_text_is_kept(page):
     assert html_text.Page(page.format(PROSE, PROSE[::-1].title())).extract(np.array(html_text.fitted_weights())) == f"{PROSE} {PROSE[::-1].title()}"
 
 
+FRAME = "<body><nav><ul><li><a href='/'>Home</a></li></ul></nav>{}<footer>All rights</footer></body>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="content-with-sidebar">{}</div>', '<div class="site nav-fixed">{}</div>', '<div class="container header-fixed"><article>{}</article></div>', '<div class="layout sidebar-right"><article>{}</article></div>',
+        '<section class="social-issues">{}</section>', '<form id="aspnet"><div class="post">{}</div></form>', '<form><main>{}</main></form>', '<div class="sidebar-left"><article class="tag-cookies">{}</article></div>',
+        '<main><div class="share">Tell others</div>{}</main>', '<article>{}</article><aside><article><p>By the by, more of it is said here.</p></article></aside>',
+    ],
+)
+def test_whole_articles_stay_in_layouts_named_like_parts(page):
+    body = f"<h1>Late turn</h1><p>{PROSE}</p><p><a>One</a> <a>Two</a> <a>Three</a></p><p>Bye.</p>"
+    got = html_text.Page(FRAME.format(page.format(body))).extract(np.array(html_text.fitted_weights()))
+    assert got.startswith(f"Late turn {PROSE}") and "Home" not in got and "rights" not in got and "others" not in got and "said here" not in got
+    if "<article" in page or "<main" in page:
+        assert got == f"Late turn {PROSE} One Two Three Bye."
+
+
+@pytest.mark.parametrize("comments", ['<section class="comments"><article class="comment"><p>{}</p></article></section>', '<div id="disqus"><article><p>{}</p></article></div>', '<article class="comment"><p>{}</p></article>'])
+def test_second_articles_stay_and_comments_go(comments):
+    weights = np.array(html_text.fitted_weights())
+    page = f"<article><p>{PROSE}</p></article>{'<br>' * 30}<article><p>{PROSE.upper()}</p></article>" + comments.format("I never. " * 60)
+    assert html_text.Page(FRAME.format(page)).extract(weights) == f"{PROSE} {PROSE.upper()}"
+
+
+def test_html_text_of_odd_rows(spark):
+    """Nulls, no rows, repeats, clashing columns, a page past every batch bound: values are compared."""
+    long = "<article>" + "".join(f"<p>{PROSE} {i}</p>" for i in range(80_000)) + "</article>"  # about 10 MB
+    rows = [(1, None, "x"), (2, "", "x"), (3, f"<article>{PROSE}</article>", "x"), (3, f"<article>{PROSE}</article>", "x"), (4, "<nav>only</nav>", "x"), (5, long, "x"), (6, "no tags at all", None)]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string")
+    got = sorted((r["page_id"], r["text"]) for r in html_text.extract_text(df).collect())
+    whole = " ".join(f"{PROSE} {i}" for i in range(80_000))
+    assert got == [(1, ""), (2, ""), (3, PROSE), (3, PROSE), (4, ""), (5, whole), (6, "no tags at all")]
+    assert html_text.extract_text(df.limit(0)).collect() == [] and html_text.extract_text(df).columns == ["page_id", "html", "text"]
+
+
+def test_extraction_agrees_with_labels_of_held_out_pages():
+    """Words of pages made by another seed, with the labels they were made from: what is found against what is there."""
+    weights, hit, found, there = np.array(html_text.fitted_weights()), 0, 0, 0
+    for parts in html_text.labelled_pages(80, seed=99):
+        got = html_text.Page("".join(p for _, p in parts)).extract(weights).split()
+        want = " ".join(re.sub("<[^>]*>", " ", p) for label, p in parts if label).split()
+        hit += sum((Counter(got) & Counter(want)).values())
+        found, there = found + len(got), there + len(want)
+    assert hit / found > 0.97 and hit / there > 0.99
+
+
 def test_region_is_the_best_run():
     rng = np.random.default_rng(31)
     for _ in range(200):

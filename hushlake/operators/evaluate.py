@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import by_document, one_to_one, sweep
+
 SPAN_KEY = ["doc_id", "start", "end", "label"]
 
 
@@ -41,28 +43,27 @@ def exact_counts(expected: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def greedy_matches(expected: DataFrame, predicted: DataFrame, same_label: bool = True) -> DataFrame:
-    """(doc_id, e_start, ..., p_label): overlapping pairs taken one to one, exact ones first, then by overlap. The range
-    join is keyed by document; the greedy fold runs over one document's overlapping pairs."""
-    number = lambda df, p: df.select("doc_id", *[F.col(c).alias(f"{p}_{c}") for c in ("start", "end", "label")]).withColumn(f"{p}_i", F.row_number().over(Window.partitionBy("doc_id").orderBy(f"{p}_start", f"{p}_end", f"{p}_label")))
-    on = (F.col("e_start") < F.col("p_end")) & (F.col("p_start") < F.col("e_end"))
-    pairs = number(expected, "e").join(number(predicted, "p"), "doc_id").filter(on)
-    if same_label:
-        pairs = pairs.filter(F.col("e_label") == F.col("p_label"))
-    exact = (F.col("e_start") == F.col("p_start")) & (F.col("e_end") == F.col("p_end"))
-    over = F.least("e_end", "p_end") - F.greatest("e_start", "p_start")
-    item = F.struct((~exact).alias("a"), (F.col("e_label") != F.col("p_label")).alias("b"), (-over).alias("c"), F.col("e_i"), F.col("p_i"), "e_start", "e_end", "e_label", "p_start", "p_end", "p_label")
-    kind = "struct<a:boolean,b:boolean,c:int,e_i:int,p_i:int,e_start:int,e_end:int,e_label:string,p_start:int,p_end:int,p_label:string>"
-    grouped = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list(item.cast(kind))).alias("pairs"))
-    taken = F.aggregate("pairs", F.array().cast(f"array<{kind}>"), lambda acc, x: F.when(F.exists(acc, lambda t: (t["e_i"] == x["e_i"]) | (t["p_i"] == x["p_i"])), acc).otherwise(F.array_append(acc, x)))
-    return grouped.select("doc_id", F.explode(taken).alias("m")).select("doc_id", "m.e_start", "m.e_end", "m.e_label", "m.p_start", "m.p_end", "m.p_label")
+    """(doc_id, e_start, ..., p_label): overlapping pairs taken one to one, exact ones first, then by overlap. Spans of a
+    document stream by in order of their starts; only spans that hang together are held at a time."""
+
+    def tell(start: list, end: list, label: list, ne: list, np_: list) -> list[tuple]:
+        own = one_to_one(start, end, label, ne, np_, same_label)
+        return [(start[i], end[i], label[i], start[j], end[j], label[j], n) for i, j, n in own]
+
+    out = "e_start int, e_end int, e_label string, p_start int, p_end int, p_label string, n long"
+    found = by_document(expected, predicted, ["doc_id"], ["label"], tell, out)
+    return found.withColumn("n", F.explode(F.array_repeat("n", F.col("n").cast("int")))).drop("n")
 
 
 def relaxed_counts(expected: DataFrame, predicted: DataFrame, same_label: bool = True) -> DataFrame:
-    hit = greedy_matches(expected, predicted, same_label).groupBy("doc_id").agg(F.count("*").alias("tp"))
-    e = expected.groupBy("doc_id").agg(F.count("*").alias("ne"))
-    p = predicted.groupBy("doc_id").agg(F.count("*").alias("np"))
-    j = e.join(p, "doc_id", "full").join(hit, "doc_id", "left").fillna(0)
-    return j.select("doc_id", "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("ne") - F.col("tp")).alias("fn"))
+    """(doc_id, tp, fp, fn) of spans matched by overlap, one to one."""
+
+    def tell(start: list, end: list, label: list, ne: list, np_: list) -> list[tuple]:
+        return [(sum(n for *_, n in one_to_one(start, end, label, ne, np_, same_label)), sum(np_), sum(ne))]
+
+    each = by_document(expected, predicted, ["doc_id"], ["label"], tell, "tp long, p long, e long")
+    total = each.groupBy("doc_id").agg(F.sum("tp").alias("tp"), F.sum("p").alias("p"), F.sum("e").alias("e"))
+    return total.select("doc_id", "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("e") - F.col("tp")).alias("fn"))
 
 
 def document_negatives(docs: DataFrame, expected: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -221,33 +222,67 @@ def failures(expected: DataFrame, predicted: DataFrame) -> DataFrame:
     Expected spans are matched one to one: exactly, and by overlap of the same label. One without an exact match is an
     oversized or partial span if it has an overlapping match, has a wrong category if something overlaps it, else it is
     missed. Predictions without an exact match conflict with what they overlap, are of a wrong category if none of that
-    has their label, and unexpected if they overlap nothing and come once. Equal predictions are duplicates.
+    has their label, and unexpected if they overlap nothing and come once. Equal predictions are duplicates. Where both
+    sides have an action, matched spans whose actions differ are a defect of the policy's decision.
+
+    All kinds come from one shuffle by document: equal spans are counted, the rest follows from a sweep of what overlaps.
     """
-    e = expected.select(*SPAN_KEY).withColumn("ei", F.row_number().over(Window.partitionBy(*SPAN_KEY).orderBy(F.lit(1))))
-    p = predicted.select(*SPAN_KEY).withColumn("pi", F.row_number().over(Window.partitionBy(*SPAN_KEY).orderBy(F.lit(1))))
-    # of equal spans the nth expected one meets the nth predicted one
-    e_open = e.join(p.withColumnRenamed("pi", "ei"), [*SPAN_KEY, "ei"], "left_anti")
-    p_open = p.join(e.withColumnRenamed("ei", "pi"), [*SPAN_KEY, "pi"], "left_anti")
-    relaxed = greedy_matches(expected, predicted).select("doc_id", F.col("e_start").alias("start"), F.col("e_end").alias("end"), F.col("e_label").alias("label"), "p_start", "p_end")
-    relaxed = relaxed.filter("NOT (start = p_start AND end = p_end)")
-    relaxed = relaxed.withColumn("ri", F.row_number().over(Window.partitionBy(*SPAN_KEY).orderBy("p_start", "p_end")))
-    left = e_open.withColumn("ri", F.row_number().over(Window.partitionBy(*SPAN_KEY).orderBy("ei"))).join(relaxed, [*SPAN_KEY, "ri"], "left")
-    some = predicted.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("t"), F.col("label").alias("l"))
-    meets = (F.col("doc_id") == F.col("d")) & (F.col("s") < F.col("end")) & (F.col("start") < F.col("t"))
-    touched = e_open.select(*SPAN_KEY).distinct().join(some, meets, "left_semi").withColumn("touched", F.lit(True))
-    found = left.join(touched, SPAN_KEY, "left")
-    wide = (F.col("p_start") <= F.col("start")) & (F.col("p_end") >= F.col("end"))
-    kinds = F.when(F.col("p_start").isNotNull(), F.when(wide, F.array(F.lit("oversized_span"))).otherwise(F.array(F.lit("partial_span"))))
-    kinds = kinds.when(F.col("touched"), F.array(F.lit("wrong_category"), F.lit("overlapping_prediction_conflict"))).otherwise(F.array(F.lit("missed_entity")))
-    ours = found.select("doc_id", F.explode(kinds).alias("failure"))
-    truth = expected.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("t"), F.col("label").alias("l"))
-    over = p_open.select(*SPAN_KEY).distinct().join(truth, meets, "left").groupBy(*SPAN_KEY).agg(F.count("d").alias("n"), F.max(F.col("l") == F.col("label")).alias("same"))
-    many = predicted.groupBy(*SPAN_KEY).agg(F.count("*").alias("times"))
-    over = over.join(many, SPAN_KEY)
-    theirs = F.when(F.col("n") > 0, F.when(F.col("same"), F.array(F.lit("overlapping_prediction_conflict"))).otherwise(F.array(F.lit("wrong_category"), F.lit("overlapping_prediction_conflict"))))
-    theirs = theirs.when(F.col("times") == 1, F.array(F.lit("unexpected_false_positive"))).otherwise(F.array().cast("array<string>"))
-    again = many.filter("times > 1").select("doc_id", F.lit("duplicate_prediction").alias("failure"))
-    return ours.unionByName(over.select("doc_id", F.explode(theirs).alias("failure"))).unionByName(again).distinct()
+    acts = "action" in expected.columns and "action" in predicted.columns
+
+    def spans(df: DataFrame) -> DataFrame:
+        return df.select(*SPAN_KEY, "action" if acts else F.lit(None).cast("string").alias("action"))
+
+    def tell(start: list, end: list, label: list, action: list, ne: list, np_: list) -> list[tuple]:
+        return [(x,) for x in sorted(_kinds(start, end, label, action, ne, np_))]
+
+    return by_document(spans(expected), spans(predicted), ["doc_id"], ["label", "action"], tell, "failure string").distinct()
+
+
+def _kinds(start: list, end: list, label: list, action: list, ne: list, np_: list) -> set[str]:
+    """The failures of one island. Its rows tell spans and actions; spans that differ in their action alone are one span."""
+    spans: dict[tuple, list[int]] = {}
+    for i, x in enumerate(zip(start, end, label, strict=True)):
+        spans.setdefault(x, []).append(i)
+    keys = list(spans)
+    starts, ends, labels = (list(c) for c in zip(*keys, strict=True))
+    many, times = ([sum(n[i] for i in own) for own in spans.values()] for n in (ne, np_))
+    matched = one_to_one(starts, ends, labels, many, times)
+    kinds: set[str] = set()
+    exact, loose = [min(a, b) for a, b in zip(many, times, strict=True)], [0] * len(keys)
+    for i, j, n in matched:
+        if i != j:
+            loose[i] += n
+            kinds.add("oversized_span" if starts[j] <= starts[i] and ends[j] >= ends[i] else "partial_span")
+        if _defect([(action[r], ne[r]) for r in spans[keys[i]] if ne[r]], [(action[r], np_[r]) for r in spans[keys[j]] if np_[r]], n):
+            kinds.add("policy_decision_defect")
+    met, same = [0] * len(keys), [False] * len(keys)
+    if any(a > x + y for a, x, y in zip(many, exact, loose, strict=True)) or any(b > x for b, x in zip(times, exact, strict=True)):
+        rows = [(s, r, e, i) for i, (s, e) in enumerate(zip(starts, ends, strict=True)) for r, n in ((0, many[i]), (1, times[i])) if n]
+        rows.sort()
+        s, r, e, own = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+        touched = set()
+        for i, j in zip(*sweep(np.zeros(len(s), np.int64), r, s, e, s), strict=True):
+            i, j = int(own[i]), int(own[j])
+            touched.add(i)
+            met[j] += 1
+            same[j] |= labels[i] == labels[j]
+        for i in range(len(keys)):
+            if many[i] > exact[i] + loose[i]:
+                kinds |= {"wrong_category", "overlapping_prediction_conflict"} if i in touched else {"missed_entity"}
+            if times[i] > exact[i]:
+                if met[i]:
+                    kinds |= {"overlapping_prediction_conflict"} if same[i] else {"overlapping_prediction_conflict", "wrong_category"}
+                elif times[i] == 1:
+                    kinds.add("unexpected_false_positive")
+    if any(n > 1 for n in times):
+        kinds.add("duplicate_prediction")
+    return kinds
+
+
+def _defect(wanted: list[tuple], given: list[tuple], n: int) -> bool:
+    """Whether some of n matches between copies of two spans, taken in the order of their actions, differ in a stated action."""
+    spread = lambda rows: [a for a, times in rows for _ in range(min(times, n))][:n]
+    return any(a is not None and a != b for a, b in zip(spread(wanted), spread(given), strict=True))
 
 
 def sample_failures(kinds: DataFrame, samples: DataFrame, normalising: tuple[str, ...]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalise import integrity_text
 from .evaluate import ratcliff
+from .intervals import overlapping
 
 
 def duplicate_groups(df: DataFrame, by: str, key: str = "doc_id") -> DataFrame:
@@ -77,11 +78,12 @@ def annotation_faults(samples: DataFrame, default_action: DataFrame) -> DataFram
     return j.withColumn("fault", bad).filter("fault IS NOT NULL").select("doc_id", "start", "end", "entity_type", "fault")
 
 
-def partial_overlaps(spans: DataFrame) -> DataFrame:
+def partial_overlaps(spans: DataFrame, by: str = "doc_id") -> DataFrame:
     """Pairs of spans of a document that overlap without nesting."""
-    a, b = spans.alias("a"), spans.alias("b")
-    on = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.start") < F.col("b.start")) & (F.col("b.start") < F.col("a.end")) & (F.col("a.end") < F.col("b.end"))
-    return a.join(b, on).select("a.doc_id", F.col("a.start").alias("a_start"), F.col("a.end").alias("a_end"), F.col("b.start").alias("b_start"), F.col("b.end").alias("b_end"))
+    own = spans.select(by, "start", "end")
+    l, r = F.col("l"), F.col("r")
+    pairs = overlapping(own, own, [by]).filter((l["start"] < r["start"]) & (r["start"] < l["end"]) & (l["end"] < r["end"]))
+    return pairs.select(by, l["start"].alias("a_start"), l["end"].alias("a_end"), r["start"].alias("b_start"), r["end"].alias("b_end"))
 
 
 def orphans(samples: DataFrame, key: str, parent: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalise, spans, validators
-from ..operators import conversations, detect, evaluate, generate, integrity, language, merge, ner, prepare
+from ..operators import asof, conversations, detect, evaluate, generate, integrity, intervals, language, merge, ner, prepare
 from ..streaming.vault import windowed_counts
 from . import lexicon, policies, probes, rules, taxonomy
 
@@ -290,14 +290,20 @@ def axis_metrics(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.multi_axis(c, ["label", "shard"])
 
 
-@query()
+# Spans of a line and its prediction all overlap, and no others do: of each label as many match as both sides have.
+_MET = f"""{_WITH}, r AS (SELECT doc_id, start // 20 AS line, label, 1 AS e, 0 AS p FROM e UNION ALL SELECT doc_id, start // 20, label, 0, 1 FROM p)"""
+
+
+@query(f"""{_MET}, g AS (SELECT doc_id, sum(e) AS e, sum(p) AS p FROM r GROUP BY doc_id, line, label) SELECT doc_id, sum(least(e, p))::BIGINT AS tp, sum(p - least(e, p))::BIGINT AS fp, sum(e - least(e, p))::BIGINT AS fn FROM g GROUP BY doc_id""")
 def relaxed_counts(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.relaxed_counts(*_spans(spark, d))
 
 
-@query()
+@query(f"""{_MET}, g AS (SELECT doc_id, line, sum(e) AS e, sum(p) AS p FROM r GROUP BY doc_id, line) SELECT doc_id, line::INT AS line, least(e, p)::BIGINT AS n FROM g""")
 def category_matches(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.greedy_matches(*_spans(spark, d), same_label=False)
+    """Matches whatever their labels: one for each line that has both sides."""
+    m = evaluate.greedy_matches(*_spans(spark, d), same_label=False)
+    return m.groupBy("doc_id", F.floor(F.col("e_start") / 20).cast("int").alias("line")).agg(F.count("*").alias("n"))
 
 
 @query()
@@ -335,10 +341,15 @@ def confusion(spark: SparkSession, d: str) -> DataFrame:
 _LINES = """SELECT l_orderkey AS doc_id, l_partkey % 5 = 0 AS shifted, l_suppkey % 7 = 0 AS other FROM lineitem"""
 
 
-@query(f"""WITH l AS ({_LINES}) SELECT DISTINCT doc_id, unnest(CASE WHEN other THEN ['wrong_category', 'overlapping_prediction_conflict'] WHEN shifted THEN ['partial_span', 'overlapping_prediction_conflict'] ELSE [] END) AS failure FROM l
+@query(f"""{_MET}, l AS ({_LINES}) SELECT DISTINCT doc_id, unnest(CASE WHEN other THEN ['wrong_category', 'overlapping_prediction_conflict'] WHEN shifted THEN ['partial_span', 'overlapping_prediction_conflict'] ELSE [] END) AS failure FROM l
+UNION SELECT doc_id, 'policy_decision_defect' FROM r WHERE (doc_id + line) % 12 = 0 GROUP BY doc_id, line, label HAVING sum(e) > 0 AND sum(p) > 0
 UNION SELECT doc_id, 'duplicate_prediction' FROM ({_P}) GROUP BY doc_id, start, "end", label HAVING count(*) > 1""")
 def failures(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.failures(*_spans(spark, d))
+    """Kinds of failure by document; every fourth line is to be masked, of which a third is let through."""
+    k = F.col("doc_id") + F.floor(F.col("start") / 20)
+    e, p = _spans(spark, d)
+    e, p = e.withColumn("action", F.when(k % 4 == 0, "mask").otherwise("allow")), p.withColumn("action", F.when((k % 4 == 0) & (k % 12 != 0), "mask").otherwise("allow"))
+    return evaluate.failures(e, p)
 
 
 @query("""SELECT k AS doc_id, unnest(CASE k % 8 WHEN 0 THEN ['missed_entity'] WHEN 1 THEN [] WHEN 2 THEN ['partial_span', 'overlapping_prediction_conflict'] WHEN 3 THEN ['oversized_span', 'overlapping_prediction_conflict']
@@ -405,10 +416,55 @@ def negatives(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.document_negatives(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id")), *_spans(spark, d))
 
 
-@query(f"{_WITH} SELECT a.doc_id, a.start AS a_start, a.\"end\" AS a_end, b.start AS b_start, b.\"end\" AS b_end FROM (SELECT * EXCLUDE (l_shipdate) FROM e UNION ALL SELECT * FROM p) a JOIN (SELECT * EXCLUDE (l_shipdate) FROM e UNION ALL SELECT * FROM p) b ON a.doc_id = b.doc_id AND a.start < b.start AND b.start < a.\"end\" AND a.\"end\" < b.\"end\"")
+# Lines as intervals: by supplier, or all of them on one axis.
+_SPOTS = 'SELECT l_suppkey AS doc_id, l_orderkey * 64 + l_linenumber * 8 AS start, l_orderkey * 64 + l_linenumber * 8 + (l_partkey * 37 % 400) AS "end", l_returnflag AS label FROM lineitem'
+
+
+def _spots(spark: SparkSession, d: str) -> DataFrame:
+    at = F.col("l_orderkey") * 64 + F.col("l_linenumber") * 8
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), at.alias("start"), (at + F.col("l_partkey") * 37 % 400).alias("end"), F.col("l_returnflag").alias("label"))
+
+
+@query(f'WITH s AS ({_SPOTS}) SELECT a.doc_id, a.start AS a_start, a."end" AS a_end, b.start AS b_start, b."end" AS b_end FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.start < b.start AND b.start < a."end" AND a."end" < b."end"')
 def partial_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    e, p = _spans(spark, d)
-    return integrity.partial_overlaps(e.unionByName(p))
+    return integrity.partial_overlaps(_spots(spark, d))
+
+
+@query(f"""WITH s AS ({_SPOTS}) SELECT a.label AS a_label, b.label AS b_label, count(*) AS n, sum(least(a."end", b."end") - greatest(a.start, b.start))::BIGINT AS shared
+FROM s a JOIN s b ON a.start < b."end" AND b.start < a."end" WHERE a.label < b.label GROUP BY ALL""")
+def overlaps_on_one_axis(spark: SparkSession, d: str) -> DataFrame:
+    """All lines lie on one axis, as if they were spans of one document: pairs of different labels and what they share."""
+    own = _spots(spark, d).withColumn("axis", F.lit(1))
+    l, r = F.col("l"), F.col("r")
+    pairs = intervals.overlapping(own, own, ["axis"]).filter(l["label"] < r["label"])
+    shared = F.least(l["end"], r["end"]) - F.greatest(l["start"], r["start"])
+    return pairs.groupBy(l["label"].alias("a_label"), r["label"].alias("b_label")).agg(F.count("*").alias("n"), F.sum(shared).alias("shared"))
+
+
+@query(f"""WITH s AS ({_SPOTS}), m AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM s)
+SELECT doc_id, count(*) AS n_spans, count(*) FILTER (WHERE upto IS NULL OR start >= upto) AS n_islands FROM m GROUP BY doc_id""")
+def span_islands(spark: SparkSession, d: str) -> DataFrame:
+    i = intervals.islands(_spots(spark, d), ["doc_id"])
+    return i.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.max("island").alias("n_islands"))
+
+
+_ASOF = "FROM (SELECT * FROM events WHERE event_type = 'click') a ASOF LEFT JOIN (SELECT * FROM events WHERE event_type <> 'click') b ON {}"
+
+
+@query(f"SELECT a.event_id, b.event_id AS last_id, b.event_type AS last_type, a.value - b.value AS change {_ASOF.format('a.user_id = b.user_id AND a.ts >= b.ts')}")
+def last_event_before(spark: SparkSession, d: str) -> DataFrame:
+    """Each click with its user's last event of another kind."""
+    e = table(spark, d, "events")
+    m = asof.asof_join(e.filter("event_type = 'click'"), e.filter("event_type <> 'click'"), ["user_id"], "ts")
+    return m.select("event_id", F.col("r.event_id").alias("last_id"), F.col("r.event_type").alias("last_type"), (F.col("value") - F.col("r.value")).alias("change"))
+
+
+@query(f"SELECT a.event_id, CASE WHEN a.ts - b.ts <= INTERVAL 2 MINUTE THEN b.event_id END AS last_id {_ASOF.format('a.ts > b.ts')}")
+def last_event_of_anyone(spark: SparkSession, d: str) -> DataFrame:
+    """The same without a key, as if one held all rows: the event strictly before, if it is two minutes old at most."""
+    e = table(spark, d, "events")
+    m = asof.asof_join(e.filter("event_type = 'click'"), e.filter("event_type <> 'click'"), [], "ts", within=F.col("ts") - F.col("r.ts") <= F.expr("INTERVAL 2 MINUTES"), strict=True)
+    return m.select("event_id", F.col("r.event_id").alias("last_id"))
 
 
 @query("SELECT event_type, median(value) AS median, list_sort(list(value))[(floor((count(value) - 1) * 0.95))::INT + 1] AS p95, min(value) AS least, max(value) AS most FROM events GROUP BY event_type")

@@ -33,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def _tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage once its heap has grown to half its bound: Spark drops broadcasts and shuffles of
+    finished plans when it is collected, and the heap shrinks to what is in use."""
+    run = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if run.totalMemory() * 2 > run.maxMemory():
+        run.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here, lost executors cost no recomputation, and the shuffle
     files that made it are dropped by Spark. Its tasks read small parts, so that their sorts need little memory."""
@@ -46,6 +54,7 @@ def written(df: DataFrame) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    _tidy(spark)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_path = path
     return table

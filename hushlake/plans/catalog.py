@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalise, spans, validators
-from ..operators import asof, conversations, detect, evaluate, generate, integrity, intervals, language, merge, ner, prepare
+from ..operators import asof, conversations, detect, evaluate, generate, golden, integrity, intervals, language, merge, ner, prepare
 from ..streaming.vault import windowed_counts
-from . import lexicon, policies, probes, rules, taxonomy
+from . import golden_cases, lexicon, policies, probes, rules, taxonomy
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -552,6 +552,40 @@ def model_spans(spark: SparkSession, d: str) -> DataFrame:
     return ner.surest(found, "k").select("k", "text", "entity_type", "start")
 
 
+# --- the engine on a labelled corpus made from keys ---
+
+
+def _seen(spark: SparkSession, d: str) -> DataFrame:
+    k = _keys(spark, d)
+    return golden.observed(k.select(*[F.expr(x).alias(c) for c, x in golden_cases.FIXTURE.items()]))
+
+
+@query(golden_cases.STAGES_SQL)
+def golden_stages(spark: SparkSession, d: str) -> DataFrame:
+    """What six stages of the engine find in fixtures, against what is expected of each."""
+    return golden.stage_metrics(_seen(spark, d))
+
+
+@query(golden_cases.FAILED_SQL)
+def golden_failures(spark: SparkSession, d: str) -> DataFrame:
+    return golden.failed(_seen(spark, d))
+
+
+@query(golden_cases.CONFUSION_SQL)
+def golden_confusion(spark: SparkSession, d: str) -> DataFrame:
+    return golden.misclassified(_seen(spark, d))
+
+
+@query(golden_cases.SUMMARY_SQL)
+def golden_summary(spark: SparkSession, d: str) -> DataFrame:
+    return golden.summary(_seen(spark, d))
+
+
+@query(golden_cases.COUNTS_SQL)
+def golden_counts(spark: SparkSession, d: str) -> DataFrame:
+    return golden.counts(_seen(spark, d))
+
+
 # --- conversations, generator, windows ---
 
 

@@ -327,14 +327,46 @@ def boundary_only(expected: DataFrame, predicted: DataFrame) -> DataFrame:
     return f.groupBy("doc_id").agg(F.min(F.col("failure").isin("partial_span", "oversized_span", "overlapping_prediction_conflict")).alias("boundary_only"), F.count("*").alias("n_failures"))
 
 
+#: Rows of a group per row that a rank can be off in a sketch; groups up to this size are ranked whole.
+SKETCH = 10_000
+
+
+def order_statistics(rows: DataFrame, by: str, value: str, ranks: dict[str, Column]) -> DataFrame:
+    """(by, n, least, most, name...): exact values at 0-based ranks of each group, given by name as expressions over n.
+
+    A sketch brackets each rank; one pass counts what lies below a bracket and the distinct values in it, combined
+    before the shuffle, and the window that finds the rank sees the bracket alone: a few of SKETCH parts of a group, however
+    large that is. A bracket without its rank fails the job. Nulls don't count; groups of nulls alone aren't there.
+    """
+    own = rows.filter(F.col(value).isNotNull()).select(by, F.col(value).alias("__v"))
+    parts = [F.lit(i / 1000) for i in range(1001)]
+    size = own.groupBy(by).agg(F.count("*").alias("n"), F.min("__v").alias("least"), F.max("__v").alias("most"), F.percentile_approx("__v", F.array(*parts), F.lit(SKETCH)).alias("__q"))
+    # thousandths on both sides are further off than the sketch is wrong
+    at = {k: F.floor(r / F.col("n") * 1000) for k, r in ranks.items()}
+    whole = F.col("n") <= SKETCH
+
+    def target(k: str, r: Column) -> Column:
+        lo = F.when(whole | (at[k] < 1), F.col("least")).otherwise(F.get("__q", (at[k] - 1).cast("int")))
+        hi = F.when(whole | (at[k] > 998), F.col("most")).otherwise(F.get("__q", (at[k] + 2).cast("int")))
+        return F.struct(F.lit(k).alias("name"), lo.alias("lo"), hi.alias("hi"), r.cast("long").alias("rank"))
+
+    size = size.select(by, "n", "least", "most", F.array(*[target(k, r) for k, r in ranks.items()]).alias("__t"))
+    asked = own.join(size.select(F.col(by).alias("__by"), "__t"), F.col(by).eqNullSafe(F.col("__by"))).select(by, "__v", F.explode(F.filter("__t", lambda t: F.col("__v") <= t["hi"])).alias("t"))
+    cells = asked.groupBy(by, "t.name", "t.rank", F.when(F.col("__v") >= F.col("t.lo"), F.col("__v")).alias("__v")).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(by, "name").orderBy(F.asc_nulls_first("__v"))
+    upto = cells.withColumn("__u", F.sum("__c").over(w)).filter(F.col("__u") > F.col("rank"))
+    found = upto.groupBy(by).agg(*[F.min(F.when(F.col("name") == k, F.struct("__u", "__v"))).alias(k) for k in ranks])
+    sure = lambda k: F.when(F.col(f"{k}.__v").isNull(), F.raise_error(F.lit("a sketch missed a rank"))).otherwise(F.col(f"{k}.__v")).alias(k)
+    found = found.select(F.col(by).alias("__by"), *[sure(k) for k in ranks])
+    return size.join(found, F.col(by).eqNullSafe(F.col("__by"))).select(by, "n", "least", "most", *ranks)
+
+
 def latency_summary(samples: DataFrame, by: str, value: str) -> DataFrame:
-    """Median, floor-index 95th percentile, minimum and maximum; values are ranked, not gathered. Nulls don't count."""
-    own = samples.filter(F.col(value).isNotNull())
-    size = own.groupBy(by).agg(F.count("*").alias("__n"), F.percentile(value, 0.5).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
-    rank = own.groupBy(by, value).agg(F.count("*").alias("__c"))
-    upto = rank.withColumn("__u", F.sum("__c").over(Window.partitionBy(by).orderBy(value)))
-    at = upto.join(size, by).filter(F.col("__u") > F.floor((F.col("__n") - 1) * 0.95))
-    return at.groupBy(by, "median", "least", "most").agg(F.min(value).alias("p95")).select(by, "median", "p95", "least", "most")
+    """Median, floor-index 95th percentile, minimum and maximum by group, exact for groups of any size. Nulls don't count."""
+    last = F.col("n") - 1
+    own = order_statistics(samples, by, value, {"__a": F.floor(last / 2), "__b": F.ceil(last / 2), "p95": F.floor(last * 0.95)})
+    middle = (F.col("__a") + F.col("__b")) / 2
+    return own.select(by, middle.alias("median"), "p95", "least", "most")
 
 
 def ratcliff(pairs: DataFrame, a: str, b: str, out: str = "ratio") -> DataFrame:

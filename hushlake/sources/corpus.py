@@ -72,15 +72,33 @@ def verify_manifest(spark: SparkSession, root: str, manifest: DataFrame, but: tu
 
 
 def read_conll(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sentence, position, token, tag) of token-per-line files; blank and # lines end sentences. The running count
-    is by file, the unit such files come in."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("v"))
-    ends = (F.col("v") == "") | F.col("v").startswith("#")
-    w = Window.partitionBy("file").orderBy("line")
-    rows = lines.withColumn("sentence", F.sum(ends.cast("int")).over(w)).filter(~ends)
+    """(file, sentence, position, token, tag) of token-per-line files; blank and # lines end sentences, which are numbered
+    from 0 by such lines, whatever task reads them.
+
+    A large file is read by several tasks: lines are in order within a block of a file, a small table of blocks tells how
+    many sentences end before each, and how many tokens the sentence that goes on from earlier blocks has there already.
+    No task sees more of a file than a block.
+    """
+    where = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    lines = spark.read.text(path).select(*where, F.monotonically_increasing_id().alias("line"), F.trim("value").alias("v"))
+    ends = ((F.col("v") == "") | F.col("v").startswith("#")).alias("ends")
+    lines = lines.select("file", "block", "line", "v", ends)
+    here = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = lines.withColumn("n_ended", F.sum(F.col("ends").cast("int")).over(here))
+    # of each block: borders in it, and its tokens behind the last of them, which the next block's first sentence goes on from
+    sentences = own.groupBy("file", "block", "n_ended").agg(F.count_if(~F.col("ends")).alias("n"))
+    blocks = sentences.groupBy("file", "block").agg(F.max("n_ended").alias("borders"), F.max_by("n", "n_ended").alias("behind"))
+    w = Window.partitionBy("file").orderBy("block")
+    blocks = blocks.select("*", F.coalesce(F.sum("borders").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ended"), F.sum((F.col("borders") > 0).cast("int")).over(w).alias("run"))
+    # blocks without a border go on with one sentence: what they have of it adds up
+    blocks = blocks.withColumn("sofar", F.sum("behind").over(Window.partitionBy("file", "run").orderBy("block")))
+    offsets = blocks.select("file", "block", "ended", F.coalesce(F.lag("sofar").over(w), F.lit(0)).alias("opened"))
+    rows = own.filter(~F.col("ends")).join(offsets, ["file", "block"])
     parts = F.split("v", r"\s+")
-    _refuse(rows.filter(F.size(parts) < 2), "fewer than two columns")
-    return rows.select("file", "sentence", (F.row_number().over(Window.partitionBy("file", "sentence").orderBy("line"))).alias("position"), F.get(parts, 0).alias("token"), F.element_at(parts, -1).alias("tag"))
+    _refuse(lines.filter(~F.col("ends") & (F.size(parts) < 2)), "fewer than two columns")
+    place = F.row_number().over(Window.partitionBy("file", "block", "n_ended").orderBy("line"))
+    position = place + F.when(F.col("n_ended") == 0, F.col("opened")).otherwise(0)
+    return rows.select("file", (F.col("ended") + F.col("n_ended")).alias("sentence"), position.cast("int").alias("position"), F.get(parts, 0).alias("token"), F.element_at(parts, -1).alias("tag"))
 
 
 def bio_spans(tokens: DataFrame, by: list[str]) -> DataFrame:
@@ -107,8 +125,60 @@ def count_maps(samples: DataFrame, columns: list[str]) -> DataFrame:
     return samples.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "field", "value").groupBy("field", "value").count()
 
 
-def write_corpus(samples: DataFrame, path: str) -> None:
-    samples.select(*sorted(samples.columns)).write.mode("errorifexists").json(path)
+#: Rows of a corpus file, at most: its digest is taken in one piece.
+FILE_ROWS = 100_000
+# Columns that a corpus is counted by.
+COUNTED = ("language", "source", "split", "assertion_type", "entity_type", "domain", "transformation", "template_group")
+
+
+def _path(spark: SparkSession, path: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def write_corpus(samples: DataFrame, root: str, counted: list[str] | None = None) -> None:
+    """samples as JSON lines below root/data, sorted columns, with a manifest in root/manifest: the digest of every file that
+    was written, and counts by value of each counted column (those of COUNTED that are there; entities count by theirs).
+
+    The manifest is written aside and renamed last, so a corpus whose job ended early has none and is refused by
+    read_corpus. A root that holds anything is left alone.
+    """
+    spark = samples.sparkSession
+    fs, p = _path(spark, root)
+    if fs.exists(p):
+        raise CorpusError(f"{root} exists")
+    samples.select(*sorted(samples.columns)).write.option("maxRecordsPerFile", FILE_ROWS).json(f"{root}/data")
+    rows = spark.read.schema(samples.schema).json(f"{root}/data")
+    inside = [c for c in COUNTED if "entities" in rows.columns and c in rows.schema["entities"].dataType.elementType.names]
+    names = counted if counted is not None else [c for c in COUNTED if c in rows.columns]
+    counts = count_maps(rows, names) if names else None
+    if inside and counted is None:
+        entities = count_maps(rows.select(F.explode("entities").alias("e")).select("e.*"), inside)
+        counts = entities if counts is None else counts.unionByName(entities)
+    aside = f"{root}/_manifest"
+    _digests(spark, root).write.json(f"{aside}/files")
+    if counts is not None:
+        counts.withColumnRenamed("count", "n").write.json(f"{aside}/counts")
+    if not fs.rename(_path(spark, aside)[1], _path(spark, f"{root}/manifest")[1]):
+        raise CorpusError("manifest not written")
+
+
+def _digests(spark: SparkSession, root: str) -> DataFrame:
+    files = spark.read.format("binaryFile").load(f"{root}/data")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("path"), F.sha2("content", 256).alias("sha256"))
+
+
+def read_corpus(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame:
+    """The samples of write_corpus(). A corpus without a manifest, or with files that are missing, changed or not listed,
+    is refused before anything is read."""
+    fs, p = _path(spark, f"{root}/manifest")
+    if not fs.exists(p):
+        raise CorpusError("no manifest: the corpus was not written to its end")
+    manifest = spark.read.schema("path string, sha256 string").json(f"{root}/manifest/files")
+    bad = verify_manifest(spark, f"{root}/data", manifest).filter(~F.col("path").startswith("_")).orderBy("path").head(3)
+    if bad:
+        raise CorpusError("; ".join(f"{r['path']} {r['fault']}" for r in bad))
+    return spark.read.schema(schema).json(f"{root}/data") if schema else spark.read.json(f"{root}/data")
 
 
 def write_report(report: DataFrame, path: str, fmt: str = "json") -> None:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import normalise, spans, validators
+from ..functions import normalise, spans, tables, validators
 from ..operators import asof, conversations, detect, evaluate, generate, golden, integrity, intervals, language, merge, ner, prepare
 from ..streaming.vault import windowed_counts
 from . import golden_cases, lexicon, policies, probes, rules, taxonomy
@@ -306,7 +306,8 @@ def category_matches(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("doc_id", F.floor(F.col("e_start") / 20).cast("int").alias("line")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""{_EXACT}, m AS (SELECT *, {_RATIOS} FROM (SELECT label, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, 0::BIGINT AS tn, sum(fn)::BIGINT AS fn FROM x GROUP BY label) WHERE tp + fn > 0)
+SELECT 2.0::DOUBLE * sum(tp) / sum(2 * tp + fp + fn) AS micro_f1, avg(f1) AS macro_f1, sum(f1 * (tp + fn)) / sum(tp + fn) FILTER (WHERE f1 IS NOT NULL) AS weighted_f1 FROM m""")
 def average_f1(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.averages(label_metrics(spark, d))
 
@@ -357,16 +358,20 @@ WHEN 4 THEN ['wrong_category', 'overlapping_prediction_conflict'] WHEN 5 THEN ['
 || CASE WHEN k % 3 = 0 AND k % 8 <> 1 THEN ['unsupported_transformation'] ELSE [] END || CASE WHEN k % 3 = 1 AND k % 8 IN (0, 2, 3, 7) THEN ['normalization_failure'] ELSE [] END) AS failure FROM (SELECT o_orderkey AS k FROM orders)""")
 def failure_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Every kind of failure, from one expected span a document and predictions made from its key."""
+    k = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    support = F.when(F.col("doc_id") % 3 == 0, "deliberately_unsupported").otherwise("supported")
+    samples = k.select("doc_id", F.when(F.col("doc_id") % 3 == 1, "fullwidth").otherwise("original").alias("transformation"), support.alias("support"))
+    return evaluate.sample_failures(evaluate.failures(*_kinds_of_failure(spark, d)), samples, ("fullwidth",))
+
+
+def _kinds_of_failure(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     k = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"))
     span = lambda a, b, x: f"named_struct('start', {a}, 'end', {b}, 'label', '{x}')"
     right, part, wide, other, far = span(10, 20, "a"), span(12, 20, "a"), span(8, 25, "a"), span(10, 20, "b"), span(40, 50, "a")
     kinds = [(), (right,), (part,), (wide,), (other,), (right, far), (right, right), (far,)]
     made = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN array({', '.join(x)})" for i, x in enumerate(kinds) if x) + " END"
     e = k.select("doc_id", F.lit(10).alias("start"), F.lit(20).alias("end"), F.lit("a").alias("label"))
-    p = k.select("doc_id", F.explode(F.expr(made)).alias("s")).select("doc_id", "s.*")
-    support = F.when(F.col("doc_id") % 3 == 0, "deliberately_unsupported").otherwise("supported")
-    samples = k.select("doc_id", F.when(F.col("doc_id") % 3 == 1, "fullwidth").otherwise("original").alias("transformation"), support.alias("support"))
-    return evaluate.sample_failures(evaluate.failures(e, p), samples, ("fullwidth",))
+    return e, k.select("doc_id", F.explode(F.expr(made)).alias("s")).select("doc_id", "s.*")
 
 
 @query("""SELECT CASE k % 6 WHEN 0 THEN 'negative_controls' WHEN 1 THEN 'standard_clean' WHEN 2 THEN 'supported_adversarial' WHEN 3 THEN 'partially_supported_adversarial' WHEN 4 THEN 'unsupported_challenge' ELSE 'negative_controls' END AS release_group,
@@ -406,6 +411,38 @@ def corpus_checks(spark: SparkSession, d: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+@query("""SELECT k AS doc_id, k % 8 IN (2, 3) AS boundary_only, CASE WHEN k % 8 IN (0, 5) THEN 1 ELSE 2 END::BIGINT AS n_failures FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 8 <> 1""")
+def boundary_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a document's failures are all a matter of boundaries."""
+    return evaluate.boundary_only(*_kinds_of_failure(spark, d))
+
+
+@query(f"""{_MET}, g AS (SELECT doc_id, line, label, least(sum(e), sum(p)) AS n FROM r GROUP BY ALL), a AS (SELECT sum(n)::BIGINT AS n, sum(CASE WHEN (doc_id + line) % 12 <> 0 THEN n ELSE 0 END)::BIGINT AS n_right FROM g WHERE (doc_id + line) % 4 = 0)
+SELECT n, n_right, n_right / n::DOUBLE AS accuracy FROM a""")
+def action_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """How often matched spans have the action that every fourth line is to have; the others state none."""
+    e, p = _spans(spark, d)
+    k = F.col("doc_id") + F.floor(F.col("start") / 20)
+    wanted = e.select("doc_id", F.col("start").alias("e_start"), F.col("end").alias("e_end"), F.when(k % 4 == 0, "mask").alias("e_action")).distinct()
+    given = p.select("doc_id", F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.when((k % 4 == 0) & (k % 12 != 0), "mask").otherwise("allow").alias("p_action")).distinct()
+    return evaluate.action_accuracy(evaluate.greedy_matches(e, p), wanted, given)
+
+
+@query("""WITH d AS (SELECT o_orderkey % 3 = 0 AS eu, o_orderkey % 5 = 0 AS u, o_orderkey % 2 = 0 AS es, o_orderkey % 4 <> 0 AS s, o_orderkey % 7 = 0 AS l FROM orders)
+SELECT count(*) AS n, count(*) FILTER (WHERE eu = u) / count(*)::DOUBLE AS unsafe_accuracy, count(*) FILTER (WHERE es = s) / count(*)::DOUBLE AS disposition_accuracy, count(*) FILTER (WHERE s AND l) / count(*) FILTER (WHERE s)::DOUBLE AS approved_leak_rate FROM d""")
+def document_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions about documents, as orders' keys make them, against what is wanted."""
+    k = F.col("o_orderkey")
+    ok = lambda c: F.when(c, "ok").otherwise("blocked")
+    rows = table(spark, d, "orders").select((k % 3 == 0).alias("expected_unsafe"), (k % 5 == 0).alias("unsafe"), ok(k % 2 == 0).alias("expected_status"), ok(k % 4 != 0).alias("status"), (k % 7 == 0).alias("leaked"))
+    return evaluate.document_decisions(rows)
+
+
+@query("SELECT count(DISTINCT event_type) AS n_tiers, count(DISTINCT event_type) > 1 AS mixed FROM events")
+def mixed_tiers(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.tier_check(table(spark, d, "events").select(F.col("event_type").alias("tier")))
+
+
 @query(f"{_EXACT} SELECT label, sum(fn)::BIGINT AS n FROM x GROUP BY label HAVING sum(fn) > 0")
 def missed_ranking(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.error_ranking(label_metrics(spark, d), "fn")
@@ -552,6 +589,34 @@ def model_spans(spark: SparkSession, d: str) -> DataFrame:
     return ner.surest(found, "k").select("k", "text", "entity_type", "start")
 
 
+# --- detectors as functions of SQL ---
+
+
+@query(f"SELECT lang, v AS text, count(*) AS n FROM ({_IPV4}) GROUP BY ALL")
+def spans_by_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The table function in a LATERAL join, one rule asked for."""
+    tables.register(spark)
+    docs = table(spark, d, "documents").select("lang", "text")
+    return spark.sql("SELECT d.lang, s.text, count(*) AS n FROM {docs} d, LATERAL sensitive_spans(d.text, rules => 'ipv4') s GROUP BY d.lang, s.text", docs=docs)
+
+
+@query(f"""SELECT k, 'email' AS entity_type, 'user' || {probes.K} || '@example.com' AS text, 'pseudonymize' AS decision, 'high_confidence_structured_pii' AS reason FROM (SELECT c_custkey AS k FROM customer)
+UNION ALL SELECT k, 'password', 'secret' || {probes.K}, 'block', 'policy_block' FROM (SELECT c_custkey AS k FROM customer)""")
+def entities_by_sql(spark: SparkSession, d: str) -> DataFrame:
+    tables.register(spark)
+    rows = _keys(spark, d).select("k", F.expr(f"'Mail user' || {probes.K} || '@example.com' || chr(10) || 'password: secret' || {probes.K}").alias("text"))
+    return spark.sql("SELECT k, s.entity_type, s.text, s.decision, s.reason FROM {rows} r, LATERAL sensitive_entities(r.text, policy => 'default') s", rows=rows)
+
+
+@query("""SELECT event_id, CASE WHEN e IS NULL OR o IS NULL OR e NOT IN ('prompt', 'tool_call', 'tool_result') THEN 'deny' WHEN o = 'ALLOW' THEN 'allow' WHEN o IN ('REDACTED', 'PSEUDONYMIZED') THEN 'replace' ELSE 'deny' END AS decision
+FROM (SELECT event_id, """ + probes.choice("event_id", ("prompt", "tool_call", "tool_result", "other")) + " AS e, NULLIF(" + probes.choice("event_id // 4", ("ALLOW", "REDACTED", "PSEUDONYMIZED", "REVIEW", "BLOCK", "none")) + ", 'none') AS o FROM events)")
+def dispatched_events(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions on events of hosts by their kind and the outcome of what they carry."""
+    e = F.expr(probes.choice("event_id", ("prompt", "tool_call", "tool_result", "other")))
+    o = F.expr("NULLIF(" + probes.choice("event_id DIV 4", ("ALLOW", "REDACTED", "PSEUDONYMIZED", "REVIEW", "BLOCK", "none")) + ", 'none')")
+    return table(spark, d, "events").select("event_id", conversations.dispatch(e, o).alias("decision"))
+
+
 # --- the engine on a labelled corpus made from keys ---
 
 

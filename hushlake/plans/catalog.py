@@ -667,7 +667,30 @@ def safe_payloads(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def synthetic_corpus(spark: SparkSession, d: str) -> DataFrame:
-    return generate.samples(spark, "medium")
+    return generate.samples_of(table(spark, d, "orders"), "o_orderkey")
+
+
+_FORM = probes.choice("k", [f for _, f in generate.FORMATS])
+_MADE = f"SELECT k, CASE WHEN k % 5 = 0 THEN 'original' ELSE {probes.choice('k', generate.TRANSFORMATIONS)} END AS transformation, CASE WHEN k % 5 = 0 THEN 0 WHEN {probes.choice('k', generate.TRANSFORMATIONS)} = 'nested-overlap' THEN 3 ELSE 2 END AS entities FROM (SELECT o_orderkey AS k FROM orders)"
+
+
+@query(f"""SELECT transformation, count(*) AS n, sum(entities)::BIGINT AS n_entities, sum(entities)::BIGINT AS n_right, sum(entities)::BIGINT AS n_inside, sum(entities)::BIGINT AS n_actions, count(*) FILTER (WHERE entities > 0 AND transformation <> 'original') AS n_applied FROM ({_MADE}) GROUP BY ALL""")
+def generated_slices(spark: SparkSession, d: str) -> DataFrame:
+    """By transformation: samples made, their spans, those whose text is what stands at their place, lie within the text, and
+    have the action of their type, and samples that the transformation changed."""
+    own = generate.samples_of(table(spark, d, "orders"), "o_orderkey")
+    many = lambda test: F.sum(F.size(F.filter("entities", test)).cast("long"))
+    actions = F.create_map(*[F.lit(x) for t in taxonomy.TYPES for x in (t, taxonomy.ACTION[t])])
+    return own.groupBy("transformation").agg(
+        F.count("*").alias("n"), many(lambda e: F.lit(True)).alias("n_entities"), many(lambda e: F.substring(F.col("text"), e["start"] + 1, e["end"] - e["start"]) == e["text"]).alias("n_right"),
+        many(lambda e: (e["start"] >= 0) & (e["start"] < e["end"]) & (e["end"] <= F.length("text"))).alias("n_inside"), many(lambda e: F.element_at(actions, e["entity_type"]) == e["expected_action"]).alias("n_actions"), F.count_if("applied").alias("n_applied"),
+    )
+
+
+@query(f"SELECT {_FORM} AS format, CASE WHEN k % 5 = 0 THEN 'negative' ELSE 'positive' END AS sign, count(*) AS n FROM (SELECT o_orderkey AS k FROM orders) GROUP BY ALL")
+def generated_formats(spark: SparkSession, d: str) -> DataFrame:
+    own = generate.samples_of(table(spark, d, "orders"), "o_orderkey")
+    return own.groupBy("format", F.substring_index("template_group", "-", 1).alias("sign")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -106,8 +106,31 @@ def test_payloads(spark):
 
 
 def test_generator_is_deterministic_and_offsets_hold(spark):
-    a, b = generate.samples(spark, 300).collect(), generate.samples(spark, 300).collect()
-    assert a == b and all(r["span_text"] is None or r["text"][r["start"] : r["end"]] == r["span_text"] for r in a)
+    """Every span's text stands at its place, in code points, whatever the transformation did to the values."""
+    a, b = (sorted(generate.samples(spark, 630).collect()) for _ in range(2))
+    assert a == b and {r["transformation"] for r in a} == set(generate.TRANSFORMATIONS) and len({r["template_group"] for r in a if r["entities"]}) == 36
+    for r in a:
+        assert all(r["text"][e["start"] : e["end"]] == e["text"] for e in r["entities"])
+        assert bool(r["entities"]) == r["template_group"].startswith("positive")
+        assert r["applied"] == (r["transformation"] != "original")
+        if r["transformation"] == "nested-overlap":
+            one, _, inner = r["entities"]
+            assert (inner["start"], inner["end"], inner["entity_type"]) == (one["start"] + 1, one["end"] - 1, "unknown_sensitive")
+
+
+def test_generator_keeps_transformations_to_their_kind(spark):
+    forms = {"initials": ("person", lambda v: v.endswith(".") and len(v) <= 8), "spaced-iban": ("iban", lambda v: len(v) == 22 and v[4] == " "), "split-phone": ("phone", lambda v: v.count(" - ") == 2), "email-obfuscation": ("email", lambda v: " [at] " in v and "@" not in v), "hyphenation": ("person", lambda v: "-" in v and not any(map(str.isdigit, v)))}
+    rows = generate.samples(spark, 420).filter(F.col("transformation").isin(*forms)).collect()
+    for r in rows:
+        kind, test = forms[r["transformation"]]
+        for e in r["entities"]:
+            assert test(e["text"]) == (e["entity_type"] == kind), (r["transformation"], e)
+
+
+def test_generator_with_nulls_repeats_and_nothing(spark):
+    rows = generate.samples_of(spark.createDataFrame([(None,), (7,), (7,)], "k int"), "k").collect()
+    assert len(rows) == 2 and rows[0] == rows[1]
+    assert generate.samples_of(spark.createDataFrame([], "k int"), "k").count() == 0
 
 
 def test_conll(spark, tmp_path):

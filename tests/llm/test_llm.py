@@ -297,6 +297,27 @@ def test_toxicity_scores_misspellings():
     assert clean < 0.5 < bad and clean < misspelt and 0 <= empty <= 1
 
 
+def test_toxicity_scores_are_those_of_the_formula(spark):
+    """Every score against a sum over words, one at a time: null, empty, repeated, long texts, a clashing column."""
+    weights, bias = toxicity.fit(["a calm day for all", "you vile lout, begone"] * 60, [0, 1] * 60)
+
+    def plainly(text):
+        words = [w for w in map(toxicity.plain, (text or "").split()) if w]
+        total, size = 0.0, 0.0
+        for w, n in Counter(words).items():
+            ids, _ = toxicity.bags([w], toxicity.SIZES, toxicity.BUCKETS)
+            total += n**0.5 * float(weights[ids].astype(float).mean())
+            size += n**0.5
+        return 1 / (1 + np.exp(-np.clip(total / (size + toxicity.PAD) + bias, -60, 60)))
+
+    rows = [(1, None), (2, ""), (3, "... !"), (4, "vile lout"), (4, "vile lout"), (5, "a calm day " * 3000), (6, "begone, v!le louts")]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, Score string")
+    got = sorted((r["doc_id"], r["score"]) for r in toxicity.score_toxicity(df, (weights, bias)).collect())
+    assert [i for i, _ in got] == [i for i, _ in rows]
+    assert np.allclose([x for _, x in got], [plainly(t) for _, t in rows], atol=1e-6)
+    assert toxicity.score_toxicity(df.limit(0), (weights, bias)).collect() == []
+
+
 def test_html_text(spark):
     w = np.array(html_text.fitted_weights())
     page = '<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/">Home</a></li><li><a>News</a></li></ul></nav><div class="ad">buy now please do</div><article><h1>Head &amp; line</h1><p>First <b>bo</b>ld words here.<br>After break<p>Second paragraph, longer than that.</p><div class="notice">accept this</div><p>Third one ends it.</p></article><section class="comments"><p>I think so too</p></section><form><label>Name</label></form><footer>&copy; us</footer></body></html>'
@@ -542,11 +563,11 @@ def operators(spark):
         "substring": lambda d: substring_dedup.dedup_substrings(d),
         "packing": lambda d: packing.pack(d, BPE, 64, 2),
         "pieces": lambda d: pieces.encode_pieces(d, SPM),
-        "toxicity": lambda d: toxicity.score(d, model) if hasattr(toxicity, "score") else d,
+        "toxicity": lambda d: toxicity.score_toxicity(d, model),
     }
 
 
-@pytest.mark.parametrize("name", ["line", "language", "jaccard", "substring", "packing", "pieces"])
+@pytest.mark.parametrize("name", ["line", "language", "jaccard", "substring", "packing", "pieces", "toxicity"])
 def test_odd_rows_and_no_rows(spark, name):
     run = operators(spark)[name]
     full, none = run(odd_table(spark)), run(odd_table(spark, 0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +15,9 @@ from ..plans import rules as R
 from ..plans.taxonomy import lookup
 
 
+_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("entity_type", pa.string()), ("confidence", pa.float64()), ("source", pa.string()), ("rule", pa.string()), ("precedence", pa.int32())]))
+
+
 def _guarded(text: Column, guard: str, spans: Column) -> Column:
     return F.when(text.rlike(guard), spans).otherwise(no_spans())
 
@@ -113,14 +116,17 @@ def credential_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def _scan_series(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [] if t is None else scan(t))
+def _scan_array(text: pa.Array) -> pa.Array:
+    return pa.array([[] if t is None else scan(t) for t in text.to_pylist()], _ARROW)
+
+
+_scan_array.__annotations__ = {"text": pa.Array, "return": pa.Array}
 
 
 def detect(df: DataFrame, text: str = "text", out: str = "candidates") -> DataFrame:
     """df and an array of candidate spans of all rules in the offsets of the text, one Arrow-batched pass over each text.
     Null texts have no spans."""
-    return df.withColumn(out, F.pandas_udf(_scan_series, SPANS)(F.col(text)))
+    return df.withColumn(out, F.arrow_udf(_scan_array, SPANS)(F.col(text)))
 
 
 def rule_findings(df: DataFrame, rule: R.Rule, *keep: str) -> DataFrame:
@@ -130,5 +136,6 @@ def rule_findings(df: DataFrame, rule: R.Rule, *keep: str) -> DataFrame:
 
 
 def findings(df: DataFrame, column: str = "candidates", *keep: str) -> DataFrame:
-    """One row a span."""
-    return df.select(*keep, F.explode(column).alias("s")).select(*keep, "s.*")
+    """One row a span. An inner explode would bring a filter on the array's size, which is pushed below the expressions (or
+    the Arrow stage) that make the array, and so has every text searched twice."""
+    return df.select(*keep, F.explode_outer(column).alias("s")).filter(F.col("s").isNotNull()).select(*keep, "s.*")

@@ -701,8 +701,11 @@ def hourly_events(spark: SparkSession, d: str) -> DataFrame:
 # --- rules on rows made for them: hits and near misses from keys ---
 
 
-def _keys(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+def _keys(spark: SparkSession, d: str, share: int = 4096) -> DataFrame:
+    """Customers' keys, at most about share of them in a task: a file of millions is still one split, but a text made from a
+    key takes up to a millisecond. Their number comes from the file's footers."""
+    k = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    return k.repartition(max(1, -(-k.count() // share)))
 
 
 def _probe_query(name: str, p: probes.Probe, spans_of) -> None:
@@ -724,7 +727,7 @@ for _p, _f in zip(probes.OTHER_PROBES, (detect.prefix_spans, detect.creditor_spa
 
 def _scanned(spark: SparkSession, d: str, some: list[probes.Probe]) -> DataFrame:
     """The Arrow stage over all rows made for rules: how many spans each rule finds in them, and how many where it should."""
-    keys = _keys(spark, d)
+    keys = _keys(spark, d, 1 << 16)  # once for each rule
     own = [keys.select(F.lit(p.rule).alias("wanted"), F.expr(p.text).alias("text"), F.expr(p.value).alias("value"), F.expr(p.start).alias("at")) for p in some]
     rows = reduce(DataFrame.unionAll, own)
     found = detect.findings(detect.detect(rows), "candidates", "wanted", "value", "at")

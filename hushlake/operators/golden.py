@@ -53,7 +53,8 @@ def observed(fixtures: DataFrame, policy: Policy | str = "gdpr_strict") -> DataF
             yield pd.DataFrame([_read(t, rule) for t in batch], columns=names)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return fixtures.withColumn("seen", F.pandas_udf(run, SEEN)(F.col("input")))
+    # as nondeterministic no filter on what was seen is pushed below it, which would read every text again
+    return fixtures.withColumn("seen", F.pandas_udf(run, SEEN).asNondeterministic()(F.col("input")))
 
 
 def _none(c: str, kind: str) -> Column:

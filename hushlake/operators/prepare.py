@@ -24,7 +24,8 @@ def prepared(text: Column, policy: Policy | str = "default") -> Column:
         return pd.DataFrame([core.prepare(t, rule) for t in batch], columns=["status", "outcome", "safe_text", "mapping", "counts", "reasons", "n_entities"])
 
     run.__annotations__ = {"batch": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(run, RESULT)(text)
+    # a filter on the result would be pushed below it, and every text be read again for each such use
+    return F.pandas_udf(run, RESULT).asNondeterministic()(text)
 
 
 def prepare(df: DataFrame, policy: Policy | str = "default", text: str = "text") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import by_document, one_to_one, sweep
+from .intervals import by_document, dealt, one_to_one, sweep
 
 SPAN_KEY = ["doc_id", "start", "end", "label"]
 
@@ -34,11 +36,11 @@ def dedupe_predictions(predicted: DataFrame) -> DataFrame:
 
 
 def exact_counts(expected: DataFrame, predicted: DataFrame) -> DataFrame:
-    """tp, fp, fn per document and label; equal spans match one to one."""
-    e = expected.groupBy(*SPAN_KEY).agg(F.count("*").alias("ne"))
-    p = predicted.groupBy(*SPAN_KEY).agg(F.count("*").alias("np"))
-    both = e.join(p, SPAN_KEY, "full").fillna(0, ["ne", "np"])
-    hit = F.least("ne", "np")
+    """tp, fp, fn per document and label; equal spans match one to one, those with a null anywhere none."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    rows = expected.select(*SPAN_KEY, one.alias("ne"), none.alias("np")).unionByName(predicted.select(*SPAN_KEY, none.alias("ne"), one.alias("np")))
+    both = dealt(rows, "doc_id").groupBy(*SPAN_KEY).agg(F.sum("ne").alias("ne"), F.sum("np").alias("np"))
+    hit = F.when(reduce(and_, [F.col(c).isNotNull() for c in SPAN_KEY]), F.least("ne", "np")).otherwise(none)
     return both.groupBy("doc_id", "label").agg(F.sum(hit).alias("tp"), F.sum(F.col("np") - hit).alias("fp"), F.sum(F.col("ne") - hit).alias("fn"))
 
 
@@ -96,7 +98,7 @@ def report_axes(samples: DataFrame, annotations: DataFrame, predicted: DataFrame
     """(axis, value, n, tp, fp, tn, fn, ratios) of exact counts along axes of samples (doc_id, text, ...), whether their
     entities are mixed, length of text, and each assertion_type that annotations (spans with assertion_type) hold."""
     counts = exact_counts(annotations, predicted).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    kinds = annotations.groupBy("doc_id").agg(F.count_distinct("label").alias("kinds"), F.collect_set("assertion_type").alias("said"))
+    kinds = dealt(annotations.select("doc_id", "label", "assertion_type"), "doc_id").groupBy("doc_id").agg(F.size(F.collect_set("label")).alias("kinds"), F.collect_set("assertion_type").alias("said"))
     mixed = F.when(F.col("kinds").isNull(), "negative").when(F.col("kinds") > 1, "mixed_entities").otherwise("single_entity_type")
     length = F.when(F.length("text") < 80, "short").when(F.length("text") < 300, "medium").otherwise("long")
     own = samples.join(counts, "doc_id", "left").join(kinds, "doc_id", "left")

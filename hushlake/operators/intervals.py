@@ -14,6 +14,18 @@ from pyspark.sql import types as T
 BLOCK = 4096
 
 
+#: Rows that a task holds at a time when it counts or joins spans.
+DEAL = 1 << 19
+
+
+def dealt(rows: DataFrame, *by: str, like: DataFrame | None = None) -> DataFrame:
+    """rows dealt by columns over so many tasks that one gets about DEAL of them, whatever their number and the session's shuffle
+    partitions. Rows are counted for that, which takes no more than the footers if they are a table's. What is grouped by
+    these columns and more isn't shuffled again, nor is a table of keys, that hardly ever repeat, held before the shuffle. like
+    is a table to count instead, where rows are no more but take work."""
+    return rows.repartition(max(1, -(-(rows if like is None else like).count() // DEAL)), *by)
+
+
 def grouped_batches(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """(rows, group) of whole groups only: rows come sorted by their first columns, keys of them; group numbers runs of rows
     equal in those. A group that a batch cuts off is held back until its rest has come."""
@@ -121,7 +133,7 @@ def by_document(expected: DataFrame, predicted: DataFrame, key: list[str], value
     cols = [*key, "start", "end", *values]
     e = expected.select(*cols, F.lit(1).cast("long").alias("ne"), F.lit(0).cast("long").alias("np"))
     p = predicted.select(*cols, F.lit(0).cast("long").alias("ne"), F.lit(1).cast("long").alias("np"))
-    counts = e.unionByName(p).repartition(*key).groupBy(*cols).agg(F.sum("ne").alias("ne"), F.sum("np").alias("np"))
+    counts = dealt(e.unionByName(p), *key).groupBy(*cols).agg(F.sum("ne").alias("ne"), F.sum("np").alias("np"))
     rows = counts.sortWithinPartitions(*key, "start", "end", *values)
     n = len(key)
     schema = T.StructType([rows.schema[c] for c in key] + T._parse_datatype_string(out).fields)

@@ -302,8 +302,9 @@ def relaxed_counts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{_MET}, g AS (SELECT doc_id, line, sum(e) AS e, sum(p) AS p FROM r GROUP BY doc_id, line) SELECT doc_id, line::INT AS line, least(e, p)::BIGINT AS n FROM g""")
 def category_matches(spark: SparkSession, d: str) -> DataFrame:
     """Matches whatever their labels: one for each line that has both sides."""
-    m = evaluate.greedy_matches(*_spans(spark, d), same_label=False)
-    return m.groupBy("doc_id", F.floor(F.col("e_start") / 20).cast("int").alias("line")).agg(F.count("*").alias("n"))
+    e, p = _spans(spark, d)
+    m = evaluate.greedy_matches(e, p, same_label=False)
+    return intervals.dealt(m, "doc_id", like=e).groupBy("doc_id", F.floor(F.col("e_start") / 20).cast("int").alias("line")).agg(F.count("*").alias("n"))
 
 
 @query(f"""{_EXACT}, m AS (SELECT *, {_RATIOS} FROM (SELECT label, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, 0::BIGINT AS tn, sum(fn)::BIGINT AS fn FROM x GROUP BY label) WHERE tp + fn > 0)
@@ -423,8 +424,9 @@ def action_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """How often matched spans have the action that every fourth line is to have; the others state none."""
     e, p = _spans(spark, d)
     k = F.col("doc_id") + F.floor(F.col("start") / 20)
-    wanted = e.select("doc_id", F.col("start").alias("e_start"), F.col("end").alias("e_end"), F.when(k % 4 == 0, "mask").alias("e_action")).distinct()
-    given = p.select("doc_id", F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.when((k % 4 == 0) & (k % 12 != 0), "mask").otherwise("allow").alias("p_action")).distinct()
+    wanted = e.select("doc_id", F.col("start").alias("e_start"), F.col("end").alias("e_end"), F.when(k % 4 == 0, "mask").alias("e_action"))
+    given = p.select("doc_id", F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.when((k % 4 == 0) & (k % 12 != 0), "mask").otherwise("allow").alias("p_action"))
+    wanted, given = (intervals.dealt(x, *x.columns[:3]).distinct() for x in (wanted, given))
     return evaluate.action_accuracy(evaluate.greedy_matches(e, p), wanted, given)
 
 
@@ -530,10 +532,10 @@ SELECT *, {_RATIOS} FROM (SELECT axis, value, count(*)::BIGINT AS n, sum(tp)::BI
 def report_axes(spark: SparkSession, d: str) -> DataFrame:
     """The report along all axes: orders are samples, a third to an eighth of them with each value."""
     e, p = _spans(spark, d)
-    said = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 20).cast("int").alias("start"), F.expr(_SAID_OF).alias("assertion_type")).distinct()
+    said = F.expr(_SAID_OF.replace("l_linenumber", "(start DIV 20)"))
     k = F.col("o_orderkey")
     samples = table(spark, d, "orders").select(k.alias("doc_id"), F.repeat(F.lit("x"), (k % 400).cast("int")).alias("text"), *[F.concat(F.lit(a), (k % n).cast("string")).alias(a) for a, n in _AXES.items()])
-    return evaluate.report_axes(samples, e.join(said, ["doc_id", "start"]), p, list(_AXES))
+    return evaluate.report_axes(samples, e.withColumn("assertion_type", said), p, list(_AXES))
 
 
 @query("""WITH k AS (SELECT o_orderkey AS k FROM orders), e AS (SELECT k, 'health' AS category, k % 2 = 0 AS negated FROM k WHERE k % 4 <> 3 UNION ALL SELECT k, 'union', false FROM k WHERE k % 8 = 2),

@@ -5,7 +5,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from hushlake.functions import normalise, scan
-from hushlake.operators import detect, golden, prepare
+from hushlake.operators import detect, evaluate, golden, intervals, prepare
 from hushlake.plans import catalog, golden_cases, rules
 
 
@@ -57,3 +57,20 @@ def test_views_of_spaces_need_no_cells():
         assert normalise.spaces_only(text) == norm and normalise.spaces(text) == normalise.runs(cells)
         place = normalise.place(normalise.spaces(text))
         assert all(place(a, b) == (cells[a][1], cells[b - 1][2]) for a in range(len(norm)) for b in range(a + 1, len(norm) + 1))
+
+
+def test_spans_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "DEAL", 100)
+    e = spark.range(1000).selectExpr("id DIV 10 AS doc_id", "CAST(id % 10 * 20 AS INT) AS start", "CAST(id % 10 * 20 + 9 AS INT) AS end", "'a' AS label")
+    counts = evaluate.exact_counts(e, e.filter("start > 0"))
+    # twenty shares in all, of which neither side is aggregated before it is dealt, and nothing is shuffled after
+    assert plan(counts).count("Exchange") == 1 and "hashpartitioning(doc_id" in plan(counts) and ", 19)" in plan(counts)
+    assert counts.agg(F.sum("tp"), F.sum("fp"), F.sum("fn"), F.count("*")).first() == (900, 0, 100, 100)
+    assert evaluate.relaxed_counts(e, e).agg(F.sum("tp"), F.sum("fp"), F.sum("fn")).first() == (1000, 0, 0)
+
+
+def test_spans_with_nulls_match_none(spark):
+    rows = [(1, 0, 5, None), (1, 0, 5, None), (None, 0, 5, "a")]
+    e = spark.createDataFrame(rows, "doc_id long, start int, end int, label string")
+    p = spark.createDataFrame(rows[1:], e.schema)
+    assert sorted(map(tuple, evaluate.exact_counts(e, p).collect()), key=repr) == [(1, None, 0, 1, 2), (None, "a", 0, 1, 1)]

@@ -39,8 +39,10 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok, self.letters = Tokenizer.from_file(path), _byte_letters()
-        self.model = self.tok.model
+        self.model, self.space = self.tok.model, self.letters[32]
         self.seen: dict[str, bytes] = {}  # chunks behind a space, without it; those without a space before begin with one
+        self.old: dict[str, bytes] = {}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
         self.line = self._ids(["\n"])[0]
 
     @classmethod
@@ -71,27 +73,56 @@ class ChunkEncoder:
             chunks[0] = " " + chunks[0]
         got = list(map(self.seen.get, chunks))
         if None in got:
-            new = {chunks[i]: b"" for i, x in enumerate(got) if x is None}
-            hard = [c for c in new if not self._easy(c, new)]
-            new.update(zip(hard, self._ids([c[1:] if c[0] == " " else " " + c for c in hard]), strict=True))
-            got = [new[c] if x is None else x for c, x in zip(chunks, got, strict=True)]
-            if len(self.seen) > self.LIMIT:
-                self.seen.clear()
-            self.seen.update((k, v) for k, v in new.items() if len(k) <= _LONG)
+            hard: dict[str, list[int]] = {}
+            for i in [i for i, x in enumerate(got) if x is None]:
+                chunk = chunks[i]
+                if (ids := self._known(chunk)) is None and (ids := self._easy(chunk)) is None:
+                    hard.setdefault(chunk, []).append(i)
+                else:
+                    got[i] = ids
+            for (chunk, at), ids in zip(hard.items(), self._ids([c[1:] if c[0:1] == " " else " " + c for c in hard]), strict=True):
+                self._keep(chunk, ids)
+                for i in at:
+                    got[i] = ids
         return got
 
-    def _easy(self, chunk: str, out: dict[str, bytes]) -> bool:
-        """Letters, perhaps with closing marks: one or two pre-tokens, which go to the merges directly."""
-        bare = chunk[1:] if chunk[0:1] == " " else chunk
+    def _known(self, chunk: str) -> bytes | None:
+        if (ids := self.seen.get(chunk)) is None and (ids := self.old.get(chunk)) is not None:
+            self._keep(chunk, ids)
+        return ids
+
+    def _keep(self, chunk: str, ids: bytes) -> None:
+        """Chunks are kept in two halves: the older one goes when the younger is full, but for what was met again since."""
+        if len(chunk) <= _LONG:
+            self.seen[chunk] = ids
+            if 2 * len(self.seen) >= self.LIMIT:
+                self.old, self.seen = self.seen, {}
+
+    def _easy(self, chunk: str) -> bytes | None:
+        """Letters, perhaps with closing marks: one or two pre-tokens, which go to the merges directly. The word is kept by
+        itself, as it comes with and without marks."""
+        if chunk.isalpha() and chunk.isascii():  # most
+            ids = self._merged(self.space + chunk)
+            self._keep(chunk, ids)
+            return ids
+        inner = chunk[0:1] != " "
+        bare = chunk if inner else chunk[1:]
         word = bare.rstrip(".,;:!?$&%#*")
         if not word.isalpha():
-            return False
-        lead = "" if chunk[0] == " " else self.letters[32]
-        ids = [t.id for t in self.model.tokenize(lead + word.encode().decode("latin-1").translate(self.letters))]
-        if len(word) < len(bare):
-            ids += [t.id for t in self.model.tokenize(bare[len(word) :])]
-        out[chunk] = np.array(ids, "<u4").tobytes()
-        return True
+            return None
+        marks = bare[len(word) :]
+        own = chunk[: len(chunk) - len(marks)] if marks else chunk
+        if not marks or (ids := self._known(own)) is None:
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = self._merged(self.space + letters if inner else letters)
+            self._keep(own, ids)
+        if marks:
+            ids += self._merged(marks)
+            self._keep(chunk, ids)
+        return ids
+
+    def _merged(self, pre_token: str) -> bytes:
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(pre_token)])
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(chunks, add_special_tokens=False)] if chunks else []

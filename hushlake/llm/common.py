@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +81,40 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(bound))
 
 
+#: What a Python worker keeps from one task to the next. Spark deals it the tasks of later stages too, whatever they run.
+_kept: dict[Any, Any] = {}
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """make()'s value, kept by this worker until a tidied task comes."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def _trim() -> None:
+    """Hand freed memory back to the machine: Arrow's pool and the C library hold on to it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not every C library has it
+        pass
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, by a worker that drops what other tasks have it keep, and at the end hands back what is free: an
+    executor's idle workers stay for a minute and count as its memory."""
+
+    @functools.wraps(run)
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _kept.clear()
+        yield from run(batches)
+        _trim()
+
+    return own
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df without columns that an operator is about to add; Spark's names ignore case."""
     low = {n.lower() for n in names}

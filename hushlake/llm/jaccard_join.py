@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, discard, grams, mix, small_batches, texts, written
+from .common import WordHash, discard, grams, mix, small_batches, texts, tidied, written
 from .components import components
 
 #: Sizes in one band differ by less than this factor.
@@ -154,6 +154,7 @@ def _profiles(docs: DataFrame, rule: Rule) -> DataFrame:
     same task that has the same set first; for those first ones the counts of token groups, the keys, and the
     needs of its bands."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, first = WordHash(), {}
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
@@ -180,6 +181,7 @@ def _profiles(docs: DataFrame, rule: Rule) -> DataFrame:
 def _met(keyed: DataFrame) -> DataFrame:
     """(key, m) of every member of a bucket of two and more: rows come sorted and stream by."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row, if nothing says yet whether its bucket has another
         last = None
@@ -212,6 +214,7 @@ def _stars(met: DataFrame, needs: DataFrame) -> DataFrame:
 def _sets(pairs: DataFrame, docs: DataFrame, points: DataFrame, rule: Rule) -> DataFrame:
     """(m, s): the sets of the rows in pairs; only their texts are read into sets."""
 
+    @tidied
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for b in batches:
@@ -231,6 +234,7 @@ def _verified(pairs: DataFrame, own: DataFrame, rule: Rule) -> DataFrame:
     leads = placed.select("a", "part").distinct().join(own.withColumnRenamed("m", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "s")
     members = placed.join(own.withColumnRenamed("m", "b"), "b").select("a", "part", "b", "s")
 
+    @tidied
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, t = None, np.zeros(0, np.uint64)
         for b in batches:
@@ -252,6 +256,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that the summed coordinate minima of their count vectors allow to link: vectors are far smaller
     than sets, so most chance meetings end here."""
 
+    @tidied
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             va, vb, na, nb = (b.column(i).to_pylist() for i in (2, 3, 4, 5))
@@ -335,6 +340,7 @@ def _block_pairs(members: DataFrame, points: DataFrame, rule: Rule) -> DataFrame
         ok = label[q] != label[p]
         return np.stack([np.minimum(m[q[ok]], m[p[ok]]), np.maximum(m[q[ok]], m[p[ok]])], 1)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None  # rows of a group that goes on in the next batch
         for b in itertools.chain(batches, [None]):

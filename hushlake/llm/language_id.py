@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import appended, plus, small_batches, texts, without
+from .common import appended, plus, small_batches, texts, tidied, without
 from .subwords import bags
 
 SIZES, BUCKETS = (1, 2, 3), 1 << 17
@@ -18,6 +18,8 @@ TRAIN_ROWS, TRAIN_CHARS = 600, 700_000
 #: Training sequences and words in each; texts are cut into chains of so many words for scoring too.
 SEQUENCES, CHAIN = 8000, 24
 UNKNOWN = "und"
+#: Texts are tagged in groups of so many rows and bytes, and new words get their emissions so many at a time.
+GROUP_ROWS, GROUP_BYTES, NEW_WORDS = 200, 1 << 19, 4096
 
 
 def letters(token: str) -> str:
@@ -112,7 +114,7 @@ def fit(samples: dict[str, list[str]], sequences: int = SEQUENCES, epochs: int =
 class Tagger:
     """Predicts texts with a field; the emissions of a word are remembered up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __init__(self, field: Field):
         self.field = field
@@ -131,8 +133,9 @@ class Tagger:
             base = self.top
             if base + len(real) > len(self.rows):
                 self.rows = np.concatenate([self.rows[:base], np.zeros((base + len(real), self.rows.shape[1]), np.float32)])
-            if real:
-                self.rows[base : base + len(real)] = self.field.emissions(real)
+            for i in range(0, len(real), NEW_WORDS):
+                some = real[i : i + NEW_WORDS]
+                self.rows[base + i : base + i + len(some)] = self.field.emissions(some)
             numbers = iter(range(base, base + len(real)))
             self.at.update((t, next(numbers) if w else -1) for t, w in zip(new, words, strict=True))
             self.top = base + len(real)
@@ -163,6 +166,19 @@ class Tagger:
         return np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], np.nan)
 
 
+def grouped(docs: list[bytes]) -> Iterator[list[str]]:
+    """Texts, decoded, in groups of at most GROUP_ROWS rows and GROUP_BYTES bytes; a longer text is a group of its own."""
+    group, size = [], 0
+    for t in docs:
+        if group and (len(group) == GROUP_ROWS or size + len(t) > GROUP_BYTES):
+            yield group
+            group, size = [], 0
+        group.append(t.decode())
+        size += len(t)
+    if group:
+        yield group
+
+
 def training_samples(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> dict[str, list[str]]:
     """lang -> at most rows texts, first in the order of a hash of their id, up to chars characters."""
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
@@ -194,13 +210,13 @@ def identify(docs: DataFrame, field: Field) -> DataFrame:
     docs = without(docs, ["lang_pred", "score", "sure"])
     sent = docs.sparkSession.sparkContext.broadcast(field)  # BUCKETS floats a language
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(sent.value)
         labels = [*tagger.field.labels, UNKNOWN]
         for b in batches:
-            own = [t.decode() for t in texts(b)]
-            got = [tagger.shares(own[i : i + 200]) for i in range(0, len(own), 200)] if labels[0] != UNKNOWN else []
-            share = np.concatenate(got) if got else np.full((len(own), 2), np.nan)
+            got = [tagger.shares(own) for own in grouped(texts(b))] if labels[0] != UNKNOWN else []
+            share = np.concatenate(got) if got else np.full((len(b), 2), np.nan)
             none = np.isnan(share[:, 0])
             share, sure = share[:, :-1], np.where(none, 0, np.nan_to_num(share[:, -1])).clip(0, 1).astype(np.float64)
             best = np.where(none, len(labels) - 1, np.nan_to_num(share).argmax(1))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import appended, plus, small_batches, texts, without, written
+from .common import appended, plus, small_batches, texts, tidied, without, written
 from .mphf import Mphf, build
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -33,6 +33,7 @@ def _digests(keys: list[bytes]) -> np.ndarray:
 def _line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, h, f) of the distinct line keys of every row."""
 
+    @tidied
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts, sizes = [np.empty((0, 2), np.uint64)], []
@@ -139,6 +140,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadca
         rows = table.collect()  # at most broadcast_bytes
         index = spark.sparkContext.broadcast([r.asDict() for r in rows])
 
+        @tidied
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = {r["shard"]: _Shard(r) for r in index.value}
             for b in batches:
@@ -152,6 +154,7 @@ def _routed(docs: DataFrame, table: DataFrame, shards: int, min_docs: int, min_c
     """The way for an index too large to send: packed hashes go to the shards, hot ones come back by document content."""
     key = F.xxhash64("text")
 
+    @tidied
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = b.column(0).to_pylist()
@@ -163,6 +166,7 @@ def _routed(docs: DataFrame, table: DataFrame, shards: int, min_docs: int, min_c
             cols = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["shard", "k", "d"])
 
+    @tidied
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, shard = -1, None
         for b in batches:
@@ -181,6 +185,7 @@ def _routed(docs: DataFrame, table: DataFrame, shards: int, min_docs: int, min_c
     hot = hot.groupBy("k").agg(F.collect_list("d").alias("hot_lines"))
     joined = docs.withColumn("__k", key).join(hot.withColumnRenamed("k", "__k"), "__k", "left").drop("__k")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [set().union(*[{x[i : i + 16] for i in range(0, len(x), 16)} for x in (p or [])]) for p in b.column(b.schema.get_field_index("hot_lines")).to_pylist()]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts, written
+from .common import kept, small_batches, texts, tidied, written
 
 #: White space other than space and line feed: texts that hold it take the general way.
 _RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -33,7 +33,6 @@ class ChunkEncoder:
     where the byte-level pre-tokenizer always cuts, so chunks that come again are looked up, not encoded again."""
 
     LIMIT = 400_000
-    _made: dict[str, ChunkEncoder] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -50,9 +49,7 @@ class ChunkEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        return kept((cls, path), lambda: cls(path))
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -195,6 +192,7 @@ def ranked(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = [F.col("length").desc(), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
     spread = pieces.repartitionByRange(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
 
+    @tidied
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
         for b in batches:
@@ -232,6 +230,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 1024, end_id: i
     plan = docs.sparkSession.sparkContext.broadcast((before, runs))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
+    @tidied
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, runs = plan.value
         stride = int(runs[:, 1].max(initial=0)) + 1

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, appended, discard, grams, plus, small_batches, texts, without, written
+from .common import WordHash, appended, discard, grams, plus, small_batches, texts, tidied, without, written
 
 #: Words in the fingerprints that lead equal windows to each other.
 GRAM = 16
@@ -40,6 +40,7 @@ def _fingerprints(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, h, c1, c2, fs) per document of at least window words: hashes of its text and (128 bits) of its words, and its
     fingerprints."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for b in batches:
@@ -70,6 +71,7 @@ def _ordered_hits(index: DataFrame) -> DataFrame:
     in an earlier task: those rows wait for the tasks' last windows, one row each.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = least = None
         for b in batches:
@@ -109,6 +111,7 @@ def _repeated_starts(docs: DataFrame, window: int) -> DataFrame:
     shared = each.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f")
     to_index = each.join(shared, "f").groupBy("doc_id", "h").agg(F.collect_list("f").alias("fs")).withColumnRenamed("doc_id", "__id")
 
+    @tidied
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for b in batches:
@@ -157,6 +160,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, rejoin: bool = True) ->
     others = docs.drop("text")
     out = plus(others, "text string, n_words long, n_removed long")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             copy, starts = (b.column(b.schema.get_field_index(n)) for n in ("copy", "starts"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scan import scan
+from ..functions.scan import scan_all
 from ..functions.spans import SPANS, as_spans, matches, no_spans, tail
 from ..functions.validators import VALIDATORS, identifier_valid, internal_host, trim_iban
 from ..plans import rules as R
@@ -117,7 +117,7 @@ def credential_spans(text: Column) -> Column:
 
 
 def _scan_array(text: pa.Array) -> pa.Array:
-    return pa.array([[] if t is None else scan(t) for t in text.to_pylist()], _ARROW)
+    return pa.array(scan_all(text.to_pylist()), _ARROW)
 
 
 _scan_array.__annotations__ = {"text": pa.Array, "return": pa.Array}

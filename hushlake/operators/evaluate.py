@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks
 from .intervals import by_document, dealt, one_to_one, sweep
 
 SPAN_KEY = ["doc_id", "start", "end", "label"]
@@ -371,14 +372,14 @@ def latency_summary(samples: DataFrame, by: str, value: str) -> DataFrame:
     return own.select(by, middle.alias("median"), "p95", "least", "most")
 
 
-def ratcliff(pairs: DataFrame, a: str, b: str, out: str = "ratio") -> DataFrame:
-    """Similarity of two texts by longest matching blocks, in Arrow batches."""
-    import difflib
+def ratcliff(pairs: DataFrame, a: str, b: str, out: str = "ratio", least: float | None = None) -> DataFrame:
+    """Similarity of two texts by longest matching blocks, in Arrow batches: difflib's ratio without junk (functions.blocks).
+    With least, only pairs that reach it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf[out] = [difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(pdf[a], pdf[b], strict=True)]
-            yield pdf
+            pdf[out] = [blocks.ratio(x, y, least or 0.0) for x, y in zip(pdf[a], pdf[b], strict=True)]
+            yield pdf if least is None else pdf[pdf[out] >= least]
 
     ddl = pairs.schema.simpleString()[len("struct<") : -1]
     return pairs.mapInPandas(run, f"{ddl},{out}:double")

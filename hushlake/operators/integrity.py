@@ -62,7 +62,7 @@ def near_pairs(df: DataFrame, split: str, key: str = "doc_id", distance: int = 2
         return ids
     t = one.select(key, "text")
     full = ids.join(t.select(F.col(key).alias("left_id"), F.col("text").alias("left_text")), "left_id").join(t.select(F.col(key).alias("right_id"), F.col("text").alias("right_text")), "right_id")
-    return ratcliff(full.filter("left_text <> right_text"), "left_text", "right_text").filter(F.col("ratio") >= ratio).select("left_id", "right_id", "ratio")
+    return ratcliff(full.filter("left_text <> right_text"), "left_text", "right_text", least=ratio).select("left_id", "right_id", "ratio")
 
 
 def split_leakage(df: DataFrame, groups: list[str], split: str = "split") -> DataFrame:
